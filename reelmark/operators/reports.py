@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmark.plans.joins import lookup_join
+from reelmark.plans.joins import lookup_join, repeat_rows
 from reelmark.plans.quantiles import exact_quantiles
+from reelmark.session import cut_lineage
 
 NUMERIC = ("session_span_minutes", "total_seconds_watched", "session_count", "completion_ratio")
 TEXT = ("user_id", "item_id", "session_start_timestamp", "session_end_timestamp", "outcome")
@@ -34,11 +35,22 @@ def outcome_distribution(sessions: DataFrame) -> DataFrame:
     )
 
 
-def _long(rows: DataFrame, columns: tuple[str, ...], kind: str) -> DataFrame:
+def _value_counts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(metric, value as text, n): each column's distinct values, from one scan, written for reuse."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast(kind).alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in columns]
     )
-    return rows.select(F.explode(pairs).alias("_p")).select("_p.metric", "_p.value")
+    return cut_lineage(
+        rows.select(F.explode(pairs).alias("_p"))
+        .select("_p.metric", "_p.value")
+        .where(F.col("value").isNotNull())
+        .groupBy("metric", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _numbers(counted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return counted.where(F.col("metric").isin(*columns)).withColumn("value", F.col("value").cast("double"))
 
 
 def describe_sessions(
@@ -48,14 +60,25 @@ def describe_sessions(
 
     Among equally frequent texts the first in order is the top one.
     """
-    numbers = _long(sessions, numeric, "double")
+    counted = _value_counts(sessions, numeric + text)
+    numbers = _numbers(counted, numeric)
+    n, value = F.col("n"), F.col("value")
     moments = numbers.groupBy("metric").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+        F.sum("n").alias("count"),
+        (F.sum(value * n) / F.sum("n")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    # One row per described column, so broadcasting it does not depend on the data.
+    spread = (
+        numbers.join(F.broadcast(moments.select("metric", "mean", "count")), "metric")
+        .groupBy("metric", "count")
+        .agg(F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("_squares"))
+        .select(
+            "metric",
+            F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))).alias("std"),
+        )
+    )
     quartiles = (
         exact_quantiles(numbers, [0.25, 0.5, 0.75])
         .groupBy("metric")
@@ -64,29 +87,28 @@ def describe_sessions(
         .toDF("metric", "p25", "p50", "p75")
     )
     texts = (
-        _long(sessions, text, "string")
-        .where(F.col("value").isNotNull())
-        .groupBy("metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted.where(F.col("metric").isin(*text))
         .groupBy("metric")
         .agg(
             F.sum("n").alias("count"),
             F.count(F.lit(1)).alias("unique"),
             # least of (-n, value): the most frequent, ties by text
-            F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("_top"),
+            F.min(F.struct((-n).alias("n"), "value")).alias("_top"),
         )
     )
-    def rounded(name: str):
+
+    def rounded(name: str) -> Column:
         return F.round(name, 2).alias(name)
 
+    figures = ("mean", "std", "min", "p25", "p50", "p75", "max")
     nothing = F.lit(None)
-    numeric_rows = moments.join(quartiles, "metric", "left").select(
+    numeric_rows = moments.join(spread, "metric").join(quartiles, "metric").select(
         "metric",
         "count",
         nothing.cast("long").alias("unique"),
         nothing.cast("string").alias("top"),
         nothing.cast("long").alias("freq"),
-        *[rounded(name) for name in ("mean", "std", "min", "p25", "p50", "p75", "max")],
+        *[rounded(name) for name in figures],
     )
     text_rows = texts.select(
         "metric",
@@ -94,7 +116,7 @@ def describe_sessions(
         "unique",
         F.col("_top.value").alias("top"),
         (-F.col("_top.n")).alias("freq"),
-        *[nothing.cast("double").alias(name) for name in ("mean", "std", "min", "p25", "p50", "p75", "max")],
+        *[nothing.cast("double").alias(name) for name in figures],
     )
     return numeric_rows.unionByName(text_rows).withColumnRenamed("metric", "column_name")
 
@@ -106,7 +128,7 @@ def session_histograms(
 
     A column whose maximum is 0 gets the range -0.5 to 0.5, so its zeros land in the middle.
     """
-    values = _long(sessions, columns, "double").where(F.col("value").isNotNull())
+    values = _numbers(_value_counts(sessions, columns), columns)
     # One row per column, so both sides of the joins below have a fixed size.
     ranges = values.groupBy("metric").agg(F.max("value").alias("_max"))
     low = F.when(F.col("_max") == 0, -0.5).otherwise(0.0)
@@ -117,7 +139,7 @@ def session_histograms(
         values.join(F.broadcast(ranges), "metric")
         .where(F.col("value") >= F.col("_low"))
         .groupBy("metric", number.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     return frame.join(F.broadcast(counted), ["metric", "bin"], "left").select(
@@ -153,13 +175,9 @@ def sessions_items_genres(sessions: DataFrame, library: DataFrame, genres: DataF
         salt_on=["user_id", "session_start_timestamp"],
     )
     rows = joined.select("user_id", "item_id", "item_name", F.explode("_genres").alias("_g"))
-    return rows.select(
-        "user_id",
-        "item_id",
-        "item_name",
-        F.col("_g.genre_name").alias("genre_name"),
-        F.explode(F.array_repeat(F.lit(1), F.col("_g.n").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+    return repeat_rows(
+        rows.select("user_id", "item_id", "item_name", "_g.genre_name", F.col("_g.n").alias("_n")), "_n"
+    )
 
 
 def stats_with_item_names(stats: DataFrame, library: DataFrame) -> DataFrame:

@@ -102,8 +102,10 @@ def _nearest_in_block(k: int):
     def nearest(_key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(candidates):
+            # By first title: of candidates with equal scores only the first k can then place, since each
+            # stands for at least one title. For the same reason nothing below the k-th best score can.
+            candidates = candidates.iloc[np.argsort(candidates["members"].str[0].to_numpy(), kind="stable")]
             members = candidates["members"].to_list()
-            # Every candidate stands for at least one title, so nothing below the k-th best can place.
             keep = min(k, len(candidates))
             batch = max(1, CELLS // len(candidates))
             for first in range(0, len(queries), batch):
@@ -111,7 +113,8 @@ def _nearest_in_block(k: int):
                 similarity = _similarity(some, candidates)
                 floor = -np.partition(-similarity, keep - 1, axis=1)[:, keep - 1]
                 for query_id, scores, least in zip(some["query_id"], similarity, floor):
-                    near = ((-scores[c], title) for c in np.flatnonzero(scores >= least) for title in members[c])
+                    chosen = [*np.flatnonzero(scores > least), *np.flatnonzero(scores == least)[:k]]
+                    near = ((-scores[c], title) for c in chosen for title in members[c])
                     found.extend((query_id, title, -score) for score, title in heapq.nsmallest(k, near))
         return pd.DataFrame(found, columns=["query_id", "title", "similarity"])
 
@@ -233,19 +236,24 @@ def user_taste_vector(watched: DataFrame, vectors: DataFrame, id_column: str = "
     )
     units = normalize_vectors(vectors).select(F.col(id_column).alias("title"), "vector")
     rows = lookup_join(per_title, units, "title", "inner", salt_on=["user_id"])
+    # An entry of weight one without a genre rides along, so one grouping yields sums and total weight.
+    total_entry = F.array(F.struct(F.lit(None).cast("string").alias("genre"), F.lit(1.0).alias("weight")))
     summed = (
-        rows.select("user_id", F.col("weight").alias("_w"), F.explode("vector").alias("_e"))
+        rows.select("user_id", F.col("weight").alias("_w"), F.explode(F.concat("vector", total_entry)).alias("_e"))
         .groupBy("user_id", F.col("_e.genre").alias("genre"))
         .agg(F.sum(F.col("_w") * F.col("_e.weight")).alias("_sum"))
     )
-    totals = rows.groupBy("user_id").agg(F.sum("weight").alias("_total")).where(F.col("_total") != 0)
     # A user's rows are bounded by the number of genres from here on.
-    mean = summed.join(totals, "user_id").withColumn("_mean", F.col("_sum") / F.col("_total"))
-    norm = F.sqrt(F.sum(F.col("_mean") * F.col("_mean")).over(Window.partitionBy("user_id")))
-    return (
-        mean.withColumn("_norm", norm)
-        .where(F.col("_norm") > 0)
-        .select("user_id", "genre", (F.col("_mean") / F.col("_norm")).alias("weight"))
+    of_user = Window.partitionBy("user_id")
+    total = F.max(F.when(F.col("genre").isNull(), F.col("_sum"))).over(of_user)
+    mean = (
+        summed.withColumn("_total", total)
+        .where(F.col("genre").isNotNull() & (F.col("_total") != 0))
+        .withColumn("_mean", F.col("_sum") / F.col("_total"))
+        .withColumn("_norm", F.sqrt(F.sum(F.col("_mean") * F.col("_mean")).over(of_user)))
+    )
+    return mean.where(F.col("_norm") > 0).select(
+        "user_id", "genre", (F.col("_mean") / F.col("_norm")).alias("weight")
     )
 
 

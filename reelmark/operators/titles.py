@@ -36,24 +36,34 @@ def genre_counts(titles_genres: DataFrame) -> DataFrame:
     )
 
 
-def genre_values(titles_genres: DataFrame, limit: int = MAX_GENRE_COLUMNS) -> list[str]:
+def title_genre_counts(titles: DataFrame, genres: DataFrame) -> DataFrame:
+    """The same counts straight from the two tables.
+
+    Tags are counted before the join, so a title has at most one row per genre there and no title can
+    be hot; the join's partitioning by title then also serves the encodings that group by it.
+    """
+    counted = genres.groupBy("t_const", "genre").agg(F.count(F.lit(1)).alias("weight"))
+    named = titles.where(F.col("primary_name").isNotNull()).select("t_const", "primary_name")
+    return counted.join(named, "t_const").select("t_const", "primary_name", "genre", "weight")
+
+
+def genre_values(rows: DataFrame, limit: int = MAX_GENRE_COLUMNS) -> list[str]:
     """Sorted genre names. They become columns, so more than ``limit`` is an error, not a cut."""
-    rows = titles_genres.where(F.col("genre").isNotNull()).select("genre").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} genres: use genre_counts, which needs no columns")
-    return sorted(row.genre for row in rows)
+    found = rows.where(F.col("genre").isNotNull()).select("genre").distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} genres: use the counts, which need no columns")
+    return sorted(row.genre for row in found)
 
 
-def onehot_genres(titles_genres: DataFrame, genres: list[str] | None = None) -> DataFrame:
+def onehot_genres(counts: DataFrame, genres: list[str] | None = None) -> DataFrame:
     """One row per (t_const, primary_name), one ``genre_*`` count column per genre in sorted order.
 
     Genres that differ only by case need ``spark.sql.caseSensitive`` to be columns of one table.
     """
-    values = genre_values(titles_genres) if genres is None else genres
-    named = titles_genres.where(F.col("primary_name").isNotNull())
+    values = genre_values(counts) if genres is None else genres
     if not values:
-        return named.select("t_const", "primary_name").distinct()
-    wide = named.groupBy("t_const", "primary_name").pivot("genre", values).agg(F.count(F.lit(1)).cast("int"))
+        return counts.select("t_const", "primary_name").distinct()
+    wide = counts.groupBy("t_const", "primary_name").pivot("genre", values).agg(F.sum("weight").cast("int"))
     return wide.select(
         "t_const",
         "primary_name",
@@ -65,18 +75,14 @@ def select_genre_columns(encoded: DataFrame) -> list[str]:
     return [name for name in encoded.columns if name.startswith("genre_")]
 
 
-def genre_vectors(titles_genres: DataFrame) -> DataFrame:
+def genre_vectors(counts: DataFrame) -> DataFrame:
     """One row per title with its vector as a sorted list of (genre, weight).
 
     A title whose only genres are null keeps an empty list, the zero vector. The list is bounded by
     the number of distinct genres because repeated tags are counted first.
     """
     entry = F.when(F.col("genre").isNotNull(), F.struct("genre", F.col("weight").cast("double").alias("weight")))
-    return (
-        genre_counts(titles_genres)
-        .groupBy("t_const", "primary_name")
-        .agg(F.sort_array(F.collect_list(entry)).alias("vector"))
-    )
+    return counts.groupBy("t_const", "primary_name").agg(F.sort_array(F.collect_list(entry)).alias("vector"))
 
 
 def encoded_to_vectors(encoded: DataFrame) -> DataFrame:

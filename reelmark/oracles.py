@@ -563,6 +563,7 @@ SELECT outcome, count(*) AS "count" FROM sessions GROUP BY outcome ORDER BY "cou
 ORACLES["onehot_genres"] = ONEHOT
 ORACLES["genre_counts"] = f"""WITH {TITLES}
 SELECT t_const, primary_name, genre, count(*) AS weight FROM tagged WHERE primary_name IS NOT NULL GROUP BY ALL"""
+ORACLES["title_genre_counts"] = ORACLES["genre_counts"]
 _NUMBERS = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS "count", CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top,
   CAST(NULL AS BIGINT) AS freq, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std,

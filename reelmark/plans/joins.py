@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-SALTS = 16
+MIN_SALTS, MAX_SALTS = 4, 32
+NULL_SALTS = 1 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -26,21 +29,40 @@ def lookup_join(
     *,
     salt_on: list[str | Column] | None = None,
     limit_bytes: int | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equal ``on`` columns.
 
     The lookup is broadcast only when its estimated size is under the limit. Past that, one hot key
     may own a large share of ``facts``, so its rows are spread over ``salts`` sub-keys and the lookup
     is repeated once per sub-key; each fact row still meets every lookup row of its key exactly once.
-    ``salt_on`` names columns that tell the rows of one key apart (default: all of them).
+    The number of sub-keys follows how much larger the facts are, so the copies never outweigh them
+    by much. Null keys match nothing and are spread over far more. ``salt_on`` names columns that
+    tell the rows of one key apart (default: all of them). What is left of a skew after that is for
+    Spark's own skew-join splitting, which these plans allow.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup, limit_bytes):
         return facts.join(F.broadcast(lookup), keys, how)
-    spread = salt_on or [F.col(f"`{name}`") for name in facts.columns]
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    if salts is None:
+        salts = min(MAX_SALTS, max(MIN_SALTS, estimated_bytes(facts) // max(1, estimated_bytes(lookup))))
+    spread = F.xxhash64(*(salt_on or [F.col(f"`{name}`") for name in facts.columns]))
+    has_null = reduce(lambda a, b: a | b, [F.col(f"`{key}`").isNull() for key in keys])
+    salt = F.pmod(spread, F.when(has_null, NULL_SALTS).otherwise(salts).cast("long")).cast("int")
+    salted_facts = facts.withColumn("_salt", salt)
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def repeat_rows(rows: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
+    """Each row ``times`` times, without ever holding that many copies in one array."""
+    n = F.col(times).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(chunk).cast("long"))
+    return (
+        rows.where(n > 0)
+        .withColumn("_from", F.explode(starts))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk), n - F.col("_from")))))
+        .drop("_from", "_copy", times)
+    )

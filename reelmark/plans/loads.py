@@ -186,7 +186,7 @@ def similar_titles(
     encoded = encoded_cache(
         spark,
         cache_path,
-        lambda: titles.onehot_genres(titles.titles_genres_join(store.read("titles"), store.read("genres"))),
+        lambda: titles.onehot_genres(titles.title_genre_counts(store.read("titles"), store.read("genres"))),
         refresh,
     )
     return similar.knn_similar_titles(titles.encoded_to_vectors(encoded), "t_const", k)

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmark.session import cut_lineage
-
 SPLITS = 256
 
 
-def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(counted: DataFrame, probabilities: list[float]) -> DataFrame:
     """Linear-interpolation quantiles per metric: (metric, probability, quantile).
 
-    ``values`` has (metric, value). Equal values are counted first. Approximate quantiles then cut
-    each metric into buckets; bucket totals give every bucket's offset, and only the buckets that
-    hold a wanted rank are put in order. The answer is exact whatever the cut points are.
+    ``counted`` has (metric, value, n), each value once per metric, and is read three times.
+    Approximate quantiles cut each metric into buckets; bucket totals give every bucket's offset, and
+    only the buckets that hold a wanted rank are put in order. The answer is exact whatever the cut
+    points are.
     """
-    # One row per distinct value, at most; written because three reads of it follow.
-    counted = cut_lineage(
-        values.where(F.col("value").isNotNull())
-        .groupBy("metric", F.col("value").cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     cuts = counted.groupBy("metric").agg(
         F.array_distinct(F.percentile_approx("value", shares, 10_000)).alias("_cuts")

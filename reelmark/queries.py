@@ -59,8 +59,12 @@ def _item_genres(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    return titles.title_genre_counts(data.titles(spark, sf), data.genres(spark, sf))
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return titles.genre_vectors(data.titles_genres(spark, sf))
+    return titles.genre_vectors(_counts(spark, sf))
 
 
 def _store(spark: SparkSession, name: str) -> TableStore:
@@ -134,7 +138,7 @@ for _name in tsv.FILES:
 @query
 def src_encoded_cache(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "encoded-cache")
-    cache.encoded_cache(spark, path, lambda: titles.onehot_genres(data.titles_genres(spark, sf)))
+    cache.encoded_cache(spark, path, lambda: titles.onehot_genres(_counts(spark, sf)))
 
     def not_again() -> DataFrame:
         raise AssertionError("the second read must come from the cache")
@@ -326,7 +330,7 @@ def snapshot_backup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sink_encoded_cache(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "encoded")
-    cache.sink_encoded_cache(titles.onehot_genres(data.titles_genres(spark, sf)), path)
+    cache.sink_encoded_cache(titles.onehot_genres(_counts(spark, sf)), path)
     return spark.read.parquet(path)
 
 
@@ -436,7 +440,7 @@ def resolution_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def select_genre_columns(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = titles.onehot_genres(data.titles_genres(spark, sf))
+    encoded = titles.onehot_genres(_counts(spark, sf))
     cells = F.array(*[F.col(f"`{c}`") for c in titles.select_genre_columns(encoded)])
     return encoded.select(
         "t_const",
@@ -584,7 +588,7 @@ def outcome_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def onehot_genres(spark: SparkSession, sf: str) -> DataFrame:
-    return titles.onehot_genres(data.titles_genres(spark, sf))
+    return titles.onehot_genres(_counts(spark, sf))
 
 
 @query
@@ -592,6 +596,11 @@ def genre_counts(spark: SparkSession, sf: str) -> DataFrame:
     return titles.genre_counts(data.titles_genres(spark, sf))
 
 
+@query
+def title_genre_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _counts(spark, sf)
+
+
 @query
 def describe_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return reports.describe_sessions(_sessions(spark, sf))
