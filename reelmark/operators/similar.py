@@ -6,22 +6,17 @@ normalised vector (a *profile*) and spread to the titles afterwards.
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmark.functions.blocks import DIGITS, nearest_in_block
 from reelmark.plans.joins import lookup_join
 from reelmark.session import cut_lineage
 
-DIGITS = 9  # similarities are rounded before ranking, so ties do not hang on summation order
 QUERY_BLOCK = 4096  # most query vectors in one task
 CANDIDATE_BLOCK = 20_000  # most candidate vectors in one task
-CELLS = 4_000_000  # most scores held at once inside a task
-STRIP = 256  # genres multiplied at a time inside a task
 
 
 def _norm(vector: Column) -> Column:
@@ -59,82 +54,28 @@ def dense_to_vector(column: str) -> Column:
 # ---- exact k nearest by blocks -------------------------------------------------------------
 
 
-def _entries(vectors: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, genre and weight of every entry of every vector."""
-    lengths = vectors["genres"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(vectors)), lengths)
-    if not len(rows):
-        return rows, np.array([], dtype=object), np.array([])
-    return rows, np.concatenate(vectors["genres"].to_list()), np.concatenate(vectors["weights"].to_list())
-
-
-class _Sparse:
-    """Vectors over a shared list of genres, read out as dense column strips."""
-
-    def __init__(self, vectors: pd.DataFrame, genres: pd.Index):
-        rows, names, weights = _entries(vectors)
-        columns = genres.get_indexer(names)
-        order = np.argsort(columns, kind="stable")
-        order = order[np.searchsorted(columns[order], 0) :]  # entries outside the list are indexed -1
-        self.rows, self.columns, self.weights = rows[order], columns[order], weights[order]
-        self.height = len(vectors)
-
-    def strip(self, start: int, width: int) -> np.ndarray:
-        low, high = np.searchsorted(self.columns, [start, start + width])
-        dense = np.zeros((self.height, width))
-        dense[self.rows[low:high], self.columns[low:high] - start] = self.weights[low:high]
-        return dense
-
-
-def _similarity(queries: pd.DataFrame, candidates: pd.DataFrame) -> np.ndarray:
-    names = _entries(queries)[1]
-    genres = pd.Index(pd.unique(names))
-    left, right = _Sparse(queries, genres), _Sparse(candidates, genres)
-    similarity = np.zeros((left.height, right.height))
-    for start in range(0, len(genres), STRIP):
-        similarity += left.strip(start, STRIP) @ right.strip(start, STRIP).T
-    return similarity.round(DIGITS)
-
-
-def _nearest_in_block(k: int):
-    """Best k titles of one candidate block for each query of one query block."""
-
-    def nearest(_key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(candidates):
-            # By first title: of candidates with equal scores only the first k can then place, since each
-            # stands for at least one title. For the same reason nothing below the k-th best score can.
-            candidates = candidates.iloc[np.argsort(candidates["members"].str[0].to_numpy(), kind="stable")]
-            members = candidates["members"].to_list()
-            keep = min(k, len(candidates))
-            batch = max(1, CELLS // len(candidates))
-            for first in range(0, len(queries), batch):
-                some = queries.iloc[first : first + batch]
-                similarity = _similarity(some, candidates)
-                floor = -np.partition(-similarity, keep - 1, axis=1)[:, keep - 1]
-                for query_id, scores, least in zip(some["query_id"], similarity, floor):
-                    chosen = [*np.flatnonzero(scores > least), *np.flatnonzero(scores == least)[:k]]
-                    near = ((-scores[c], title) for c in chosen for title in members[c])
-                    found.extend((query_id, title, -score) for score, title in heapq.nsmallest(k, near))
-        return pd.DataFrame(found, columns=["query_id", "title", "similarity"])
-
-    return nearest
+def title_profiles(vectors: DataFrame, id_column: str = "t_const") -> DataFrame:
+    """(title, profile, vector): unit vectors with a key for each distinct one.
+
+    Written once: every search and taste below reads it, some of them more than once.
+    """
+    unit = normalize_vectors(vectors).select(F.col(id_column).alias("title"), "vector")
+    return cut_lineage(unit.withColumn("profile", F.md5(F.to_json("vector").cast("binary"))))
 
 
 def _first_members(titles: DataFrame, k: int) -> DataFrame:
-    """Profiles with the k smallest title ids that share them.
+    """Profiles with the k smallest title ids that share them: (profile, vector, members).
 
     All titles of a profile are equally near, so ties go by id and later ones can never place. The
     ranked filter is applied on the map side too, so a profile held by a third of all titles still
     sends k rows per task.
     """
-    by_id = Window.partitionBy("vector").orderBy("title")
+    by_id = Window.partitionBy("profile").orderBy("title")
     return (
-        titles.select("vector", "title")
-        .withColumn("_n", F.row_number().over(by_id))
+        titles.withColumn("_n", F.row_number().over(by_id))
         .where(F.col("_n") <= k)
-        .groupBy("vector")
-        .agg(F.sort_array(F.collect_list("title")).alias("members"))
+        .groupBy("profile")
+        .agg(F.any_value("vector").alias("vector"), F.sort_array(F.collect_list("title")).alias("members"))
     )
 
 
@@ -145,8 +86,8 @@ def _numbers(count: int) -> Column:
 def nearest_titles(queries: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
     """The k most similar titles per query: (query_id, title, similarity, position).
 
-    ``queries`` has (query_id, vector), ``profiles`` (vector, members with at least k ids each where
-    there are that many). Blocks of queries meet blocks of profiles in one task, which multiplies
+    ``queries`` has (query_id, vector), ``profiles`` (profile, vector, members), members being the
+    first k ids of the profile. Blocks of queries meet blocks of profiles in one task, which multiplies
     two small matrices and hands on k titles per query; scored pairs never become rows.
     """
     spark = queries.sparkSession
@@ -172,7 +113,7 @@ def nearest_titles(queries: DataFrame, profiles: DataFrame, k: int) -> DataFrame
         *sparse,
         "members",
         F.explode(_numbers(query_blocks)).alias("_query_block"),
-        F.pmod(F.xxhash64("vector"), F.lit(candidate_blocks)).alias("_candidate_block"),
+        F.pmod(F.xxhash64("profile"), F.lit(candidate_blocks)).alias("_candidate_block"),
     )
     block = ["_query_block", "_candidate_block"]
     id_type = queries.schema["query_id"].dataType.simpleString()
@@ -181,37 +122,29 @@ def nearest_titles(queries: DataFrame, profiles: DataFrame, k: int) -> DataFrame
         left.groupBy(*block)
         .cogroup(right.groupBy(*block))
         .applyInPandas(
-            _nearest_in_block(k), f"query_id {id_type}, title {title_type}, similarity double"
+            nearest_in_block(k), f"query_id {id_type}, title {title_type}, similarity double"
         )
     )
     best_first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "title")
     return scored.withColumn("position", F.row_number().over(best_first)).where(F.col("position") <= k)
 
 
-def title_profiles(vectors: DataFrame, id_column: str) -> DataFrame:
-    """(title, vector) with unit vectors, written once because the search reads it more than once."""
-    unit = normalize_vectors(vectors).select(F.col(id_column).alias("title"), "vector")
-    return cut_lineage(unit)
-
-
-def knn_similar_titles(vectors: DataFrame, id_column: str = "t_const", k: int = 5) -> DataFrame:
+def knn_similar_titles(titles: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest other titles of every title: (title, rank, neighbour, distance).
 
-    distance = 1 - cosine, ties by id. The title itself is left out by id, so k + 1 are fetched per
-    profile; titles sharing nothing have distance 1 and fill up when fewer than k overlap.
+    ``titles`` comes from `title_profiles`. distance = 1 - cosine, ties by id. The title itself is
+    left out by id, so k + 1 are fetched per profile; titles sharing nothing have distance 1 and fill
+    up when fewer than k overlap.
     """
-    titles = title_profiles(vectors, id_column)
     profiles = cut_lineage(_first_members(titles, k + 1))
-    queries = profiles.select(F.md5(F.to_json("vector").cast("binary")).alias("query_id"), "vector")
+    queries = profiles.select(F.col("profile").alias("query_id"), "vector")
     best = (
         nearest_titles(queries, profiles, k + 1)
-        .groupBy("query_id")
+        .groupBy(F.col("query_id").alias("profile"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "title", "similarity"))).alias("_best"))
     )
-    keyed = titles.select(
-        F.md5(F.to_json("vector").cast("binary")).alias("query_id"), F.col("title").alias("_self")
-    )
-    found = lookup_join(keyed, best, "query_id", "inner", salt_on=["_self"])
+    keyed = titles.select("profile", F.col("title").alias("_self"))
+    found = lookup_join(keyed, best, "profile", "inner", salt_on=["_self"])
     others = F.slice(F.filter("_best", lambda e: e["title"] != F.col("_self")), 1, k)
     return found.select(
         F.col("_self").alias("title"), F.posexplode(others).alias("_n", "_e")
@@ -223,19 +156,18 @@ def knn_similar_titles(vectors: DataFrame, id_column: str = "t_const", k: int =
     )
 
 
-def user_taste_vector(watched: DataFrame, vectors: DataFrame, id_column: str = "t_const") -> DataFrame:
+def user_taste_vector(watched: DataFrame, titles: DataFrame) -> DataFrame:
     """Each user's weighted mean of the unit vectors watched, scaled to length one, in long form.
 
     ``watched`` has (user_id, title, weight), one row per viewing; null weights count for nothing.
-    Users whose weights add up to zero have no mean and drop out.
+    ``titles`` comes from `title_profiles`. Users whose weights add up to zero have no mean and drop out.
     """
     per_title = (
         watched.where(F.col("weight").isNotNull())
         .groupBy("user_id", "title")
         .agg(F.sum("weight").alias("weight"))
     )
-    units = normalize_vectors(vectors).select(F.col(id_column).alias("title"), "vector")
-    rows = lookup_join(per_title, units, "title", "inner", salt_on=["user_id"])
+    rows = lookup_join(per_title, titles.select("title", "vector"), "title", "inner", salt_on=["user_id"])
     # An entry of weight one without a genre rides along, so one grouping yields sums and total weight.
     total_entry = F.array(F.struct(F.lit(None).cast("string").alias("genre"), F.lit(1.0).alias("weight")))
     summed = (
@@ -257,11 +189,9 @@ def user_taste_vector(watched: DataFrame, vectors: DataFrame, id_column: str = "
     )
 
 
-def knn_for_user(
-    taste: DataFrame, vectors: DataFrame, id_column: str = "t_const", k: int = 20
-) -> DataFrame:
+def knn_for_user(taste: DataFrame, titles: DataFrame, k: int = 20) -> DataFrame:
     """The k titles nearest to each user's taste, watched ones included: (user_id, rank, title, distance)."""
-    profiles = cut_lineage(_first_members(title_profiles(vectors, id_column), k))
+    profiles = cut_lineage(_first_members(titles, k))
     queries = cut_lineage(
         taste.groupBy(F.col("user_id").alias("query_id")).agg(
             F.sort_array(F.collect_list(F.struct("genre", "weight"))).alias("vector")

@@ -189,4 +189,4 @@ def similar_titles(
         lambda: titles.onehot_genres(titles.title_genre_counts(store.read("titles"), store.read("genres"))),
         refresh,
     )
-    return similar.knn_similar_titles(titles.encoded_to_vectors(encoded), "t_const", k)
+    return similar.knn_similar_titles(similar.title_profiles(titles.encoded_to_vectors(encoded)), k)

@@ -661,7 +661,7 @@ def head_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def topk_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.knn_similar_titles(_vectors(spark, sf), k=1).select("title", "neighbour", "distance")
+    return similar.knn_similar_titles(similar.title_profiles(_vectors(spark, sf)), k=1).select("title", "neighbour", "distance")
 
 
 @query
@@ -758,7 +758,7 @@ def l2_normalize_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def knn_similar_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.knn_similar_titles(_vectors(spark, sf))
+    return similar.knn_similar_titles(similar.title_profiles(_vectors(spark, sf)))
 
 
 @query
@@ -774,24 +774,25 @@ def knn_dense_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = data.table(spark, sf, "embeddings").select(
         "vec_id", similar.dense_to_vector("embedding").alias("vector")
     )
-    return similar.knn_similar_titles(vectors, "vec_id")
+    return similar.knn_similar_titles(similar.title_profiles(vectors, "vec_id"))
 
 
-def _taste(spark: SparkSession, sf: str) -> DataFrame:
+def _taste(spark: SparkSession, sf: str, profiles: DataFrame) -> DataFrame:
     watched = _sessions(spark, sf).select(
         "user_id", F.col("item_id").alias("title"), F.col("completion_ratio").alias("weight")
     )
-    return similar.user_taste_vector(watched, _vectors(spark, sf))
+    return similar.user_taste_vector(watched, profiles)
 
 
 @query
 def user_taste_vector(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_taste(spark, sf), "weight")
+    return _rounded(_taste(spark, sf, similar.title_profiles(_vectors(spark, sf))), "weight")
 
 
 @query
 def knn_for_user(spark: SparkSession, sf: str) -> DataFrame:
-    return similar.knn_for_user(_taste(spark, sf), _vectors(spark, sf))
+    profiles = similar.title_profiles(_vectors(spark, sf))
+    return similar.knn_for_user(_taste(spark, sf, profiles), profiles)
 
 
 # ---- constraints -----------------------------------------------------------------------------------

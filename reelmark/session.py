@@ -49,6 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder, so reuse does not recompute and a lost executor costs a read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once to the shared folder and read back.
+
+    Reuse then costs a pruned Parquet read, a lost executor costs no recomputation, and the size of
+    the result, which join choices look at, is known rather than estimated.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

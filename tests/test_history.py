@@ -84,10 +84,11 @@ def test_hot_pair_and_copies(spark):
     assert as_brute(sessions) == brute_sessions(events, 900)
 
 
-def test_marks_equal_lag(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 100, 0])
+def test_marks_equal_lag(spark, hot_rows):
     rng = random.Random(5)
-    events = [("u", str(rng.randrange(2)), "Movie", rng.randrange(60) * 100, 1) for _ in range(200)]
-    got = {r.row_id: r for r in history.mark_sessions(make_events(spark, events), 5).collect()}
+    events = [("u", str(rng.randrange(3) // 2), "Movie", rng.randrange(60) * 100, 1) for _ in range(200)]
+    got = {r.row_id: r for r in history.mark_sessions(make_events(spark, events), 5, hot_rows).collect()}
     assert len(got) == len(events)
     order = sorted(range(len(events)), key=lambda i: (events[i][1], events[i][3], i))
     group, previous = 0, None

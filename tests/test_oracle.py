@@ -50,9 +50,10 @@ def test_session_plan(spark):
 
 def test_member_lists_are_cut_before_the_shuffle(spark):
     titles = spark.read.parquet(f"{SF}/part.parquet").selectExpr(
-        "array(named_struct('genre', p_type, 'weight', 1d)) AS vector", "p_partkey AS title"
+        "p_type AS profile", "array(named_struct('genre', p_type, 'weight', 1d)) AS vector", "p_partkey AS title"
     )
     plan = similar._first_members(titles, 3)._jdf.queryExecution().executedPlan().toString()
     # read bottom up: a partial limit per vector, the exchange, the final limit
     final, exchange = plan.index("WindowGroupLimit"), plan.index("Exchange")
     assert final < exchange < plan.index("WindowGroupLimit", exchange)
+    assert plan.count("Exchange") == 1

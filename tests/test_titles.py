@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from conftest import rows
+from reelmark.functions import blocks
 from reelmark.operators import similar, titles
 
 ROWS = [
@@ -63,14 +64,14 @@ def random_vectors(spark, count, vocabulary, seed):
     return frame, unit
 
 
-@pytest.mark.parametrize("query_block,candidate_block,cells,strip", [(4096, 20000, 4_000_000, 256), (7, 9, 40, 3)])
-def test_neighbours_equal_brute_force(spark, monkeypatch, query_block, candidate_block, cells, strip):
+@pytest.mark.parametrize("query_block,candidate_block", [(4096, 20000), (7, 9)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, query_block, candidate_block):
     monkeypatch.setattr(similar, "QUERY_BLOCK", query_block)
     monkeypatch.setattr(similar, "CANDIDATE_BLOCK", candidate_block)
     frame, unit = random_vectors(spark, 60, 8, seed=3)
     scores = (unit @ unit.T).round(9)
     got: dict[str, list] = {}
-    for r in similar.knn_similar_titles(frame, k=5).orderBy("title", "rank").collect():
+    for r in similar.knn_similar_titles(similar.title_profiles(frame), k=5).orderBy("title", "rank").collect():
         got.setdefault(r.title, []).append((r.neighbour, r.distance))
     for i in range(60):
         order = sorted((j for j in range(60) if j != i), key=lambda j: (-scores[i, j], j))[:5]
@@ -78,14 +79,14 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, query_block, candidate
 
 
 def test_block_scores_in_small_steps(monkeypatch):
-    monkeypatch.setattr(similar, "CELLS", 10)
-    monkeypatch.setattr(similar, "STRIP", 2)
+    monkeypatch.setattr(blocks, "CELLS", 10)
+    monkeypatch.setattr(blocks, "STRIP", 2)
     rng = np.random.default_rng(0)
     left, right = rng.random((9, 7)), rng.random((6, 7))
     names = np.array([f"g{i}" for i in range(7)], dtype=object)
     queries = pd.DataFrame({"query_id": range(9), "genres": [names] * 9, "weights": list(left)})
     candidates = pd.DataFrame({"members": [np.array([10 * i, 10 * i + 5]) for i in range(6)], "genres": [names] * 6, "weights": list(right)})
-    out = similar._nearest_in_block(3)(None, queries, candidates)
+    out = blocks.nearest_in_block(3)(None, queries, candidates)
     scores = (left @ right.T).round(9)
     for q in range(9):
         flat = sorted((-scores[q, c], t) for c in range(6) for t in (10 * c, 10 * c + 5))[:3]
@@ -96,7 +97,7 @@ def test_block_scores_in_small_steps(monkeypatch):
 def test_fewer_titles_than_neighbours(spark):
     frame, _ = random_vectors(spark, 9, 3, seed=1)
     few = frame.where("t_const in ('t001', 't002', 't003')")
-    assert similar.knn_similar_titles(few, k=5).groupBy("title").count().toDF("t", "n").select("n").distinct().first().n == 2
+    assert similar.knn_similar_titles(similar.title_profiles(few), k=5).groupBy("title").count().toDF("t", "n").select("n").distinct().first().n == 2
 
 
 def test_dense_normalize(spark):
@@ -107,16 +108,17 @@ def test_dense_normalize(spark):
 
 def test_taste_and_user_neighbours(spark):
     frame, unit = random_vectors(spark, 40, 6, seed=9)
+    profiles = similar.title_profiles(frame)
     other = next(i for i in range(10, 40) if unit[i].any())
     watched = [("u", "t001", 0.5), ("u", "t001", 0.25), ("u", "t002", 1.0), ("u", "t003", None), ("u", "gone", 1.0),
                ("zero", "t004", 0.0), ("v", f"t{other:03d}", 2.0)]
-    taste = similar.user_taste_vector(spark.createDataFrame(watched, "user_id string, title string, weight double"), frame)
+    taste = similar.user_taste_vector(spark.createDataFrame(watched, "user_id string, title string, weight double"), profiles)
     mean = np.average(unit[[1, 1, 2]], axis=0, weights=[0.5, 0.25, 1.0])
     want = mean / np.linalg.norm(mean)
     got = {(r.user_id, r.genre): r.weight for r in taste.collect()}
     assert {g: w for (u, g), w in got.items() if u == "u"} == pytest.approx({f"g{i}": w for i, w in enumerate(want) if w})
     assert {u for u, _ in got} == {"u", "v"}
-    near = similar.knn_for_user(taste, frame, k=20).where("user_id = 'u'").orderBy("rank").collect()
+    near = similar.knn_for_user(taste, profiles, k=20).where("user_id = 'u'").orderBy("rank").collect()
     scores = (unit @ want).round(9)
     order = sorted(range(40), key=lambda j: (-scores[j], j))[:20]
     assert [r.title for r in near] == [f"t{j:03d}" for j in order]
