@@ -250,7 +250,7 @@ def sessions_agg(
         .otherwise("unknown")
     )
     return sessions.select(
-        fn.content_key(F.col("user_id"), F.col("item_id"), F.unix_timestamp(start)).alias("session_id"),
+        fn.content_key(F.col("user_id"), F.col("item_id"), start).alias("session_id"),
         "user_id",
         "item_id",
         start,

@@ -129,21 +129,26 @@ def nearest_titles(queries: DataFrame, profiles: DataFrame, k: int) -> DataFrame
     return scored.withColumn("position", F.row_number().over(best_first)).where(F.col("position") <= k)
 
 
-def knn_similar_titles(titles: DataFrame, k: int = 5) -> DataFrame:
+def knn_similar_titles(titles: DataFrame, k: int = 5, of: DataFrame | None = None) -> DataFrame:
     """The k nearest other titles of every title: (title, rank, neighbour, distance).
 
-    ``titles`` comes from `title_profiles`. distance = 1 - cosine, ties by id. The title itself is
+    ``titles`` comes from `title_profiles`; ``of``, a frame with the titles to ask for, narrows the
+    questions but not the answers. distance = 1 - cosine, ties by id. The title itself is
     left out by id, so k + 1 are fetched per profile; titles sharing nothing have distance 1 and fill
     up when fewer than k overlap.
     """
     profiles = cut_lineage(_first_members(titles, k + 1))
-    queries = profiles.select(F.col("profile").alias("query_id"), "vector")
+    if of is None:
+        asked, queries = titles, profiles
+    else:
+        asked = cut_lineage(lookup_join(titles, of.select("title").distinct(), "title", "left_semi"))
+        queries = cut_lineage(asked.groupBy("profile").agg(F.any_value("vector").alias("vector")))
     best = (
-        nearest_titles(queries, profiles, k + 1)
+        nearest_titles(queries.select(F.col("profile").alias("query_id"), "vector"), profiles, k + 1)
         .groupBy(F.col("query_id").alias("profile"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "title", "similarity"))).alias("_best"))
     )
-    keyed = titles.select("profile", F.col("title").alias("_self"))
+    keyed = asked.select("profile", F.col("title").alias("_self"))
     found = lookup_join(keyed, best, "profile", "inner", salt_on=["_self"])
     others = F.slice(F.filter("_best", lambda e: e["title"] != F.col("_self")), 1, k)
     return found.select(

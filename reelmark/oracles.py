@@ -61,7 +61,7 @@ grouped AS (
          count(*) AS n, max(item_type) AS kind
   FROM marked GROUP BY user_id, item_id, grp),
 sessions AS (
-  SELECT md5(g.user_id || chr(31) || g.item_id || chr(31) || CAST(epoch(s) AS BIGINT)) AS session_id,
+  SELECT md5(g.user_id || chr(31) || g.item_id || chr(31) || strftime(s, '%Y-%m-%d %H:%M:%S')) AS session_id,
          g.user_id, g.item_id, s AS session_start_timestamp, e AS session_end_timestamp,
          date_diff('second', s, e) // 60 AS session_span_minutes, w AS total_seconds_watched,
          n AS session_count,
@@ -285,14 +285,14 @@ SELECT t_const, primary_name,
 FROM tagged WHERE primary_name IS NOT NULL GROUP BY t_const, primary_name"""
 
 
-def nearest(k: int) -> str:
-    return f"""WITH {VECTORS},
+def nearest(k: int, before: str = VECTORS, asked: str = "true") -> str:
+    return f"""WITH {before},
 shared AS (
   SELECT a.t_const AS title, b.t_const AS neighbour, sum(a.weight * b.weight) AS s
   FROM units a JOIN units b ON a.genre = b.genre AND a.t_const <> b.t_const GROUP BY 1, 2),
 scored AS (
   SELECT a.t_const AS title, b.t_const AS neighbour, round(coalesce(s, 0), 9) AS s
-  FROM vectors a JOIN vectors b ON a.t_const <> b.t_const
+  FROM (SELECT * FROM vectors WHERE {asked}) a JOIN vectors b ON a.t_const <> b.t_const
   LEFT JOIN shared ON shared.title = a.t_const AND shared.neighbour = b.t_const),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY s DESC, neighbour) AS rank FROM scored)
 SELECT title, CAST(rank AS INTEGER) AS rank, neighbour, round(1 - s, 9) AS distance FROM ranked WHERE rank <= {k}"""
@@ -463,6 +463,13 @@ ORACLES["table_row_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 )
+ORACLES["count_rows"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}"
+    for name, source in (
+        ("crew_staging", "lineitem"), ("episodes", "orders"), ("titles", "part"), ("genres_staging", "part"),
+        ("persons", "customer"), ("ratings", "part"), ("roles", "lineitem"),
+    )
+)
 ORACLES["load_metrics"] = f"""WITH {SESSIONS}
 SELECT 'raw_events' AS table_name, count(*) AS "rows", true AS timed FROM events
 UNION ALL SELECT 'sessions', count(*), true FROM sessions"""
@@ -644,6 +651,9 @@ SELECT vec_id, position, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 9) A
 FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS norm FROM cells)"""
 ORACLES["knn_similar_titles"] = nearest(5)
 ORACLES["knn_similar_titles_encoded"] = nearest(5)
+ORACLES["knn_of_watched_titles"] = nearest(
+    5, f"{SESSIONS}, {VECTORS}", "t_const IN (SELECT item_id FROM sessions)"
+)
 ORACLES["knn_dense_vectors"] = """WITH cells AS (
   SELECT vec_id, unnest(range(0, len(embedding))) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 units AS (SELECT vec_id, p, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM cells),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 MIN_SALTS, MAX_SALTS = 4, 32
 NULL_SALTS = 1 << 20
 

@@ -47,7 +47,8 @@ def load_library(
     spark: SparkSession, store: TableStore, paths: LandedPaths, rebuild: bool = False
 ) -> tuple[list[dict], int]:
     """Ingest the whole catalogue, then prune what it no longer has; returns write metrics and items pruned."""
-    items = library.filter_item_types(landing.catalog_pages(spark, paths.catalog))
+    # Parsed once; the five reads below then take only the columns they need.
+    items = cut_lineage(library.filter_item_types(landing.catalog_pages(spark, paths.catalog)))
     projected = library.project_library_item(items)
     required = schemas.TableSpec(projected.schema, schemas.TABLES["library_items"].not_null)
     quality.require_valid(projected, required, "library_items")
@@ -67,7 +68,7 @@ def load_library(
         ),
         store.overwrite(
             "item_genres",
-            with_row_ids(maintenance.upsert_item_genres(old("item_genres"), genres, ids), "uuid"),
+            with_row_ids(cut_lineage(maintenance.upsert_item_genres(old("item_genres"), genres, ids)), "uuid"),
         ),
         store.overwrite(
             "item_tags", maintenance.upsert_item_tags(old("item_tags"), library.tag_source_concat(items))

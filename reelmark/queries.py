@@ -340,6 +340,12 @@ def table_row_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reports.table_row_counts({name: data.table(spark, sf, name) for name in names})
 
 
+@query
+def count_rows(spark: SparkSession, sf: str) -> DataFrame:
+    files = data.landed_tsv_files(spark, sf)
+    return reports.table_row_counts({name: tsv.read_tsv(spark, path, name) for name, path in files.items()})
+
+
 @query
 def load_metrics(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "metrics")
@@ -769,6 +775,12 @@ def knn_similar_titles_encoded(spark: SparkSession, sf: str) -> DataFrame:
     return loads.similar_titles(spark, store, scratch_path(spark, "encoded"))
 
 
+@query
+def knn_of_watched_titles(spark: SparkSession, sf: str) -> DataFrame:
+    watched = _sessions(spark, sf).select(F.col("item_id").alias("title"))
+    return similar.knn_similar_titles(similar.title_profiles(_vectors(spark, sf)), of=watched)
+
+
 @query
 def knn_dense_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = data.table(spark, sf, "embeddings").select(

@@ -1,4 +1,8 @@
-"""Readers of landed JSON, one document per line."""
+"""Readers of landed JSON, one document per line.
+
+Where order matters (a later entry replaces an earlier one) the documents of one file must differ in
+``StartIndex``, the offset their page was requested with.
+"""
 
 from __future__ import annotations
 

@@ -101,5 +101,9 @@ class TableStore:
 
 
 def with_row_ids(rows: DataFrame, column: str, after: int = 0) -> DataFrame:
-    """Increasing ids above ``after``, unique within the load but not consecutive."""
+    """Increasing ids above ``after``, unique within the load but not consecutive.
+
+    ``rows`` must come from files without a shuffle in between: only then does a task that is run
+    again see the same rows in the same order and give them the same ids.
+    """
     return rows.withColumn(column, F.monotonically_increasing_id() + F.lit(after + 1))

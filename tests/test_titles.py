@@ -94,6 +94,14 @@ def test_block_scores_in_small_steps(monkeypatch):
         assert list(zip(-mine["similarity"], mine["title"])) == flat
 
 
+def test_neighbours_of_chosen_titles(spark):
+    frame, _ = random_vectors(spark, 30, 5, seed=11)
+    profiles = similar.title_profiles(frame)
+    chosen = spark.createDataFrame([("t003",), ("t006",), ("gone",)], "title string")
+    every = similar.knn_similar_titles(profiles).where("title in ('t003', 't006')")
+    assert rows(similar.knn_similar_titles(profiles, of=chosen)) == rows(every)
+
+
 def test_fewer_titles_than_neighbours(spark):
     frame, _ = random_vectors(spark, 9, 3, seed=1)
     few = frame.where("t_const in ('t001', 't002', 't003')")
