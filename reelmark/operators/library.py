@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelmark.functions import scalars as fn
 from reelmark.plans.joins import lookup_join
 
+# The media server counts runtime in ticks of 100 ns.
 TICKS_PER_SECOND = 10_000_000
 TICKS_PER_MINUTE = 600_000_000.0
 

@@ -141,7 +141,7 @@ def snapshot_backup(store: TableStore, names: tuple[str, ...], backup_root: str,
     for name in names:
         if not store.exists(name):
             continue
-        copied = copy.overwrite(name, store.read(name))["rows"]
+        copied = copy.overwrite(name, store.read(name), cluster=False)["rows"]
         live, kept = store.read(name).count(), copy.read(name).count()
         if not live == kept == copied:
             raise RuntimeError(f"backup of {name} has {kept} of {live} rows")

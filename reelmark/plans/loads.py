@@ -34,13 +34,14 @@ def _previous(store: TableStore, name: str, rebuild: bool) -> DataFrame:
 def load_ref_genres(
     spark: SparkSession, store: TableStore, paths: LandedPaths, rebuild: bool = False
 ) -> list[dict]:
-    return [
-        store.overwrite(
-            name,
-            maintenance.upsert_ref_genres(_previous(store, name, rebuild), landing.ref_genres(spark, path)),
+    metrics = []
+    for name, path in (("movie_genres", paths.movie_genres), ("tv_genres", paths.tv_genres)):
+        new = landing.ref_genres(spark, path)
+        quality.require_valid(new, schemas.TableSpec(new.schema, schemas.TABLES[name].not_null), name)
+        metrics.append(
+            store.overwrite(name, maintenance.upsert_ref_genres(_previous(store, name, rebuild), new))
         )
-        for name, path in (("movie_genres", paths.movie_genres), ("tv_genres", paths.tv_genres))
-    ]
+    return metrics
 
 
 def load_library(

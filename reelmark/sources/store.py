@@ -58,10 +58,12 @@ class TableStore:
             ]
         )
 
-    def _write(self, name: str, rows: DataFrame, location: str, mode: str, compression: str) -> dict:
+    def _write(
+        self, name: str, rows: DataFrame, location: str, mode: str, compression: str, cluster: bool
+    ) -> dict:
         """Write and count in one pass."""
         typed = self._typed(name, rows)
-        sort_by = TABLES[name].sort_by if name in TABLES else ()
+        sort_by = TABLES[name].sort_by if cluster and name in TABLES else ()
         if sort_by:
             # Ranges over all sort columns: a hot user or item still spans several files, and row-group
             # statistics do the work of an index.
@@ -73,18 +75,21 @@ class TableStore:
         ).parquet(location)
         return {"table_name": name, "rows": seen.get["rows"], "seconds": time.perf_counter() - started}
 
-    def overwrite(self, name: str, rows: DataFrame, compression: str = "zstd") -> dict:
-        """Replace the table; returns table_name, rows and seconds."""
+    def overwrite(self, name: str, rows: DataFrame, compression: str = "zstd", cluster: bool = True) -> dict:
+        """Replace the table; returns table_name, rows and seconds.
+
+        ``cluster=False`` keeps the rows where they are, for rows that already lie in table order.
+        """
         versions = self._versions(name)
         target = f"{self.root}/{name}/version={(versions[-1] if versions else 0) + 1}"
-        return self._write(name, rows, target, "overwrite", compression)
+        return self._write(name, rows, target, "overwrite", compression, cluster)
 
     def append(self, name: str, rows: DataFrame, compression: str = "zstd") -> dict:
         """Add rows to the version in force."""
         location = self.location(name)
         if location is None:
             return self.overwrite(name, rows, compression)
-        return self._write(name, rows, location, "append", compression)
+        return self._write(name, rows, location, "append", compression, cluster=True)
 
     def truncate(self, name: str) -> dict:
         return self.overwrite(name, self.spark.createDataFrame([], self.read(name).schema))

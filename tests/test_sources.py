@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 import pytest
 
 from conftest import rows
+from reelmark.functions import scalars as fn
 from reelmark.operators import titles
 from reelmark.sources import landing, tsv
 from reelmark.sources.cache import encoded_cache
@@ -23,6 +27,17 @@ def test_playback_log(spark, land):
     assert landing.playback_log(spark, path, num_days=5, as_of="2025-08-21").count() == 2
 
 
+def test_numbers_in_text_fields(spark, land):
+    path = land("log", {"Ann": [{**event("2025-08-20"), "item_id": 7, "duration": 90}]})
+    assert rows(landing.playback_log(spark, path), "item_id", "duration") == [("7", "90")]
+
+
+def test_local_now(spark):
+    shown = spark.range(1).select(fn.local_now().alias("t")).first().t
+    wanted = datetime.now(ZoneInfo("Australia/Melbourne")).replace(tzinfo=None)
+    assert abs((wanted - shown).total_seconds()) < 60
+
+
 def test_broken_json_fails(spark, tmp_path):
     (tmp_path / "log.json").write_text('{"Ann": [{"date": ')
     with pytest.raises(Exception):
