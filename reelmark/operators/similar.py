@@ -143,7 +143,8 @@ def knn_similar_titles(titles: DataFrame, k: int = 5, of: DataFrame | None = Non
     else:
         asked = cut_lineage(lookup_join(titles, of.select("title").distinct(), "title", "left_semi"))
         queries = cut_lineage(asked.groupBy("profile").agg(F.any_value("vector").alias("vector")))
-    best = (
+    # Written so that the join below knows its size: usually small enough to broadcast.
+    best = cut_lineage(
         nearest_titles(queries.select(F.col("profile").alias("query_id"), "vector"), profiles, k + 1)
         .groupBy(F.col("query_id").alias("profile"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "title", "similarity"))).alias("_best"))

@@ -47,7 +47,14 @@ def load_ref_genres(
 def load_library(
     spark: SparkSession, store: TableStore, paths: LandedPaths, rebuild: bool = False
 ) -> tuple[list[dict], int]:
-    """Ingest the whole catalogue, then prune what it no longer has; returns write metrics and items pruned."""
+    """Ingest the whole catalogue, then prune what it no longer has; returns write metrics and items pruned.
+
+    Fewer items than the pages announce means a page did not land: that stops the run, as pruning
+    against half a catalogue would drop the other half.
+    """
+    totals = landing.catalog_totals(spark, paths.catalog).first()
+    if totals["items_announced"] is not None and (totals["items_received"] or 0) < totals["items_announced"]:
+        raise ValueError(f"catalogue incomplete: {totals['items_received']} of {totals['items_announced']} items")
     # Parsed once; the five reads below then take only the columns they need.
     items = cut_lineage(library.filter_item_types(landing.catalog_pages(spark, paths.catalog)))
     projected = library.project_library_item(items)

@@ -168,6 +168,10 @@ def test_nightly_refresh(spark, store, land, tmp_path):
     assert (session.total_seconds_watched, session.session_count, session.completion_ratio, session.outcome) == (900, 2, 0.9, "completed")
     assert store.read("user_item_stats").first().total_sessions == 1
     assert TableStore(spark, next(str(p) for p in (tmp_path / "bak").iterdir())).read("movie_genres").first().name == "Gone"
+    # half a catalogue must not prune the other half
+    land("cat", {"TotalRecordCount": 2, "Items": [{"Id": "1", "Name": "One", "Type": "Movie"}]})
+    with pytest.raises(ValueError, match="1 of 2"):
+        loads.refresh_watch_history(spark, store, paths)
     # an item without a name breaks a declared constraint and stops the ingest
     land("cat", {"Items": [{"Id": "3", "Type": "Movie"}]})
     with pytest.raises(ValueError, match="item_name"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelmark.operators import history
+from reelmark.operators import history, similar
 from reelmark.plans import joins
 
 
@@ -67,3 +67,43 @@ def test_hot_pair_reaches_the_window_as_slots(spark, tmp_path):
 
     written = shuffled(sessions._jdf.queryExecution().executedPlan())
     assert written and max(written) <= 8 * (86_400 // 901 + 2)
+
+
+def test_profile_held_by_most_titles(spark, monkeypatch):
+    """Most titles share one vector; their neighbours come from a list of k + 1, joined with salts."""
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
+    titles = spark.range(3000).selectExpr(
+        "lpad(cast(id as string), 5, '0') AS t_const",
+        """if(id < 2900, array(named_struct('genre', 'Drama', 'weight', 1d)),
+              array(named_struct('genre', 'Drama', 'weight', 1d),
+                    named_struct('genre', concat('g', id % 7), 'weight', 1d))) AS vector""",
+    )
+    near = similar.knn_similar_titles(similar.title_profiles(titles), k=3)
+    got = {}
+    for r in near.orderBy("title", "rank").collect():
+        got.setdefault(r.title, []).append((r.neighbour, r.distance))
+    assert len(got) == 3000
+    assert got["02000"] == [("00000", 0.0), ("00001", 0.0), ("00002", 0.0)]
+    assert got["00001"] == [("00000", 0.0), ("00002", 0.0), ("00003", 0.0)]
+    assert got["02905"] == [("02912", 0.0), ("02919", 0.0), ("02926", 0.0)]
+
+
+def test_hot_item_in_every_lookup(spark, monkeypatch):
+    """An item with most of the sessions gives the same statistics through salted joins."""
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
+    events = spark.range(6000).select(
+        F.col("id").alias("row_id"),
+        F.concat(F.lit("u"), (F.col("id") % 500).cast("string")).alias("user_id"),
+        F.when(F.col("id") % 10 != 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("item_id"),
+        F.lit("Movie").alias("item_type"),
+        F.timestamp_seconds(F.lit(1_750_000_000) + F.col("id") * 1000).alias("event_ts"),
+        F.lit(100).cast("long").alias("duration"),
+    )
+    library = spark.createDataFrame([("hot", "Movie", 200), ("3", "Movie", 400)], "item_id string, item_type string, runtime_seconds long")
+    sessions = history.sessions_agg(events, library)
+    assert sessions.count() == 6000
+    by_item = {r.item_id: r for r in sessions.groupBy("item_id").agg(F.max("completion_ratio").alias("r"), F.count("*").alias("n")).collect()}
+    assert (by_item["hot"].n, by_item["hot"].r) == (5400, 0.5)
+    assert by_item["3"].r == 0.25
+    stats = history.user_item_stats(sessions, library)
+    assert stats.agg(F.sum("total_sessions")).first()[0] == 6000
