@@ -12,7 +12,7 @@ from reelmark.operators import history, library, maintenance, quality, similar,
 from reelmark.session import cut_lineage
 from reelmark.sources import landing, tsv
 from reelmark.sources.cache import encoded_cache
-from reelmark.sources.store import TableStore, with_row_ids
+from reelmark.sources.store import TableStore, empty, with_row_ids
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class LandedPaths:
 
 def _previous(store: TableStore, name: str, rebuild: bool) -> DataFrame:
     rows = store.read(name)
-    return store.spark.createDataFrame([], rows.schema) if rebuild else rows
+    return empty(store.spark, rows.schema) if rebuild else rows
 
 
 def load_ref_genres(

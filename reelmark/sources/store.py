@@ -10,6 +10,7 @@ import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reelmark.schemas import TABLES
 
@@ -43,7 +44,7 @@ class TableStore:
         """The table; one that was never written is empty."""
         location = self.location(name)
         if location is None:
-            return self.spark.createDataFrame([], TABLES[name].schema)
+            return empty(self.spark, TABLES[name].schema)
         reader = self.spark.read
         return (reader.schema(TABLES[name].schema) if name in TABLES else reader).parquet(location)
 
@@ -92,7 +93,7 @@ class TableStore:
         return self._write(name, rows, location, "append", compression, cluster=True)
 
     def truncate(self, name: str) -> dict:
-        return self.overwrite(name, self.spark.createDataFrame([], self.read(name).schema))
+        return self.overwrite(name, empty(self.spark, self.read(name).schema))
 
     def drop(self, name: str) -> None:
         fs, path = self._fs(f"{self.root}/{name}")
@@ -105,6 +106,11 @@ class TableStore:
             fs.delete(path, True)
 
 
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, and Catalyst knows it; an empty local list would count as of unknown size."""
+    return spark.range(0).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in schema])
+
+
 def with_row_ids(rows: DataFrame, column: str, after: int = 0) -> DataFrame:
     """Increasing ids above ``after``, unique within the load but not consecutive.
 
