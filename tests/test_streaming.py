@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from conftest import rows
 from reelmark.operators import history
@@ -23,7 +24,9 @@ def test_live_sessions_equal_batch(spark, tmp_path):
         [event("end", "2025-09-30 00:00:01")],
     ]
     for i, events in enumerate(days):
-        (folder / f"{i}.json").write_text("".join(json.dumps({e["user_name"]: [e]}) + "\n" for e in events))
+        landed = folder / f"{i}.json"
+        landed.write_text("".join(json.dumps({e["user_name"]: [e]}) + "\n" for e in events))
+        os.utime(landed, (1_700_000_000 + i, 1_700_000_000 + i))  # the stream takes files in this order
     stream = live.live_sessions(live.playback_stream(spark, str(folder), files_per_trigger=1), late_minutes=60)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     live.write_sessions(stream, out, state).start().awaitTermination(120)
