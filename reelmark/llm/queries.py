@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import op1_mix, op2_pack, op5_shard, op10_counts
+from reelmark.llm import op1_mix, op2_pack, op3_urls, op4_search, op5_shard, op9_extract, op10_counts
+from reelmark.llm import op7_language as op7_language_id
 from reelmark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +49,78 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = op10_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+#: The rules to judge by.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(h = '{host}' OR h LIKE '%.{host}') AND starts_with(p, '{path}')"
+
+
+ORACLES["op3_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p FROM cut
+), lower_host AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, p FROM parts
+), ruled AS (
+  SELECT *, CASE WHEN {_fits('www.example.com', '/en/')} THEN 'www.example.com/en/'
+    WHEN {_fits('example.com', '/en/')} THEN 'example.com/en/'
+    WHEN {_fits('net', '/es/')} THEN 'net/es/' WHEN {_fits('net', '/fr/')} THEN 'net/fr/'
+    WHEN {_fits('com', '/')} THEN 'com/' END AS rule FROM lower_host
+)
+SELECT page_id, h AS host, p AS path, rule,
+  CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = op7_language_id.fit(docs, ~op7_language_id.held_out())
+    judged = op7_language_id.identify(docs.select("doc_id", "text"), model)
+    return judged.select(
+        "doc.doc_id", F.coalesce(F.crc32(F.col("doc.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score",
+    )
+
+
+@query
+def op9_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return op9_extract.extract(pages, op9_extract.fit(pages))
+
+
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
