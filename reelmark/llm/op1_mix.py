@@ -69,13 +69,15 @@ def mix(
     id_column: str = "doc_id",
     weights: tuple[int, ...] = (5, 2, 1),
     most: int = 3,
-    shards: int = 64,
+    shards: int | None = None,
+    shard_words: int = 1 << 22,
     block_words: int = 1 << 14,
     seed: int = 17,
 ) -> DataFrame:
     """One row per document: doc (struct), size, source_size, target, taken, draws array<(pass, shard)>.
 
-    ``draws`` says how often the mix takes the document and into which shards. `order_key` sorts a shard.
+    ``draws`` says how often the mix takes the document and into which shards; without ``shards``, there
+    are as many as hold ``shard_words`` words each. `order_key` sorts a shard.
     """
     spark = docs.sparkSession
     sized = docs.select(F.struct("*").alias("doc"), F.col(source).alias("source"), size.alias("size")).withColumn(
@@ -105,6 +107,9 @@ def mix(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("vec")
     )
     vector = cut_lineage(vector.withColumn("draws", F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    if shards is None:
+        shards = max(1, -(-(sources.agg(F.sum("target")).first()[0] or 0) // shard_words))
+        shards = int(shards)
     sums = spark.range(shards + 1).withColumnRenamed("id", "pos").crossJoin(vector.select("draws"))  # one row
     sums = cut_lineage(sums.select("pos", F.expr(f"(draws * pos) div {shards}").alias("sum")))
     counts = cut_lineage(contingency.split_tree(vector, sums, shards, seed))

@@ -12,8 +12,8 @@ power of two need no padding, so a stream's last, short window is split into suc
 
 The stream is worked off in bounded stretches: the plan of a stretch is kept up to its last cut but one,
 where the next stretch takes over. A task holds one batch of documents at a time, and nothing is
-shuffled; a window's id names the task and its place there, and rows are sorted within the task first, so
-a repeated task gives the same pieces.
+shuffled; a window's id names the task and its place there. A repeated task gives the same pieces if it
+reads the same rows, as it does from files; write a table first whose order may change.
 
 Defined results: a null text is empty; an empty document is its end token alone; a document longer than a
 window is cut; repeated rows and null ids are packed row by row; an empty table gives no pieces. Only the
@@ -232,4 +232,4 @@ def pack(docs: DataFrame, path: str, *, id_column: str = "doc_id", text: str = "
         yield from out(packer.close())
 
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.sortWithinPartitions(id_column, "_text").mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema)

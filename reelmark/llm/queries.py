@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm import op1_mix, op2_pack, op3_urls, op4_search, op5_shard, op9_extract, op10_counts
+from reelmark.llm import op1_mix, op2_pack, op3_urls, op4_search, op5_shard, op6_neardup, op8_jaccard, op9_extract, op10_counts
 from reelmark.llm import op7_language as op7_language_id
 from reelmark.llm.frames import table
 
@@ -124,3 +124,49 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id"
+    )
+
+
+ORACLES["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.u = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+"""
+
+
+ORACLES["op8_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s FROM w
+), grams AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON u = doc_id
+"""
