@@ -106,12 +106,12 @@ def mix(
     vector = quotas.agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("vec")
     )
-    vector = cut_lineage(vector.withColumn("draws", F.aggregate("vec", F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    vector = cut_lineage(vector)
+    draws = sum(vector.first()["vec"])
     if shards is None:
         shards = max(1, -(-(sources.agg(F.sum("target")).first()[0] or 0) // shard_words))
         shards = int(shards)
-    sums = spark.range(shards + 1).withColumnRenamed("id", "pos").crossJoin(vector.select("draws"))  # one row
-    sums = cut_lineage(sums.select("pos", F.expr(f"(draws * pos) div {shards}").alias("sum")))
+    sums = spark.range(shards + 1).select(F.col("id").alias("pos"), F.expr(f"({draws} * id) div {shards}").alias("sum"))
     counts = cut_lineage(contingency.split_tree(vector, sums, shards, seed))
 
     runs = running(counts.withColumnRenamed("entry", "rank"), "rank", "leaf", "n", "start").where("n > 0")
