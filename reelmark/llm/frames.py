@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmark.session import cut_lineage
+from reelmark.session import cut_lineage, scratch_path
 
 LOCAL_BITS = 33  # monotonically_increasing_id puts the partition above these bits
 CHUNK = 4096
@@ -51,3 +51,15 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
     local = F.col("_id").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
     return marked.join(offsets, "_part").withColumn(name, F.col("_offset") + local).drop("_id", "_part", "_offset")
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `cut_lineage`, with the path, for steps that `removed` drops once they are used up."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

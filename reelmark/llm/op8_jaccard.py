@@ -3,11 +3,13 @@
 A document's set holds the hashes of its shingles. Two sets of Jaccard similarity 0.8 share at least
 T = ceil(4/9 (n1 + n2)) shingles. Exactly equal sets are one class from the start; then
 
-1. Each class lists the least 3/10 of its hashes. If two sets link, more than a tenth of a set's size must
+1. Each class lists the least 3/10 of its hashes. If two sets link, more than a tenth of either's size must
    be shared within these lists (below the smaller of the two lists' ends at most 7/10 of a set is
    unseen), so a class with fewer listed shingles that others list too links with nothing and leaves.
-2. What is left is joined to islands by listed shingles: every link lies within an island. A shingle ties its
-   classes to the least one, so a list of any length costs one row a class.
+2. The same again: as a link needs more than n/10 of a class's shared shingles, one of them is among the
+   rarest s - n/10 of the s it has, on both sides. These join what is left to islands, and every link lies
+   within an island; passages that many documents hold are not among the rarest and tie nothing. A shingle
+   ties its classes to the least one, so a list of any length costs one row a class.
 3. Whole sets of an island meet in one task, or, beyond ``TASK`` shingles, block by block. There each set
    searches the island's inverted lists: the short ones are merged with a heap that skips what can't
    reach the count, the long ones are probed by bisection (DivideSkip), and sets reaching T are links.
@@ -32,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.llm import graph, pretokens
+from reelmark.llm.frames import removed, written
 from reelmark.session import cut_lineage
 
 WORDS = 5
@@ -43,6 +46,7 @@ LISTED = 3  # tenths of a set
 TASK = 1 << 20  # shingles
 BLOCK_BYTES = 3 << 20
 BITMAP = 1 << 23
+SEEN = 1 << 20
 MU = 0.0085  # DivideSkip's published constant for choosing how many long lists to probe
 
 
@@ -236,15 +240,19 @@ def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
 
 
 def _documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Written once: row, id, key, n, print, and the listed hashes."""
+    """row, id, key, n, print, and the listed hashes, which copies in a task leave out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             sizes, prints, listed = [], [], []
             for _, found in _sets(batch.column(3)):
                 sizes.append(len(found))
                 prints.append(_print(found) if len(found) else None)
-                listed.append(found[: LISTED * len(found) // 10 + 1].view(np.int64))
+                listed.append(found[: 0 if prints[-1] in seen else LISTED * len(found) // 10 + 1].view(np.int64))
+                seen.add(prints[-1])
+            if len(seen) > SEEN:
+                seen.clear()
             ends = np.cumsum([0, *map(len, listed)]).astype(np.int32)
             flat = pa.array(np.concatenate(listed) if listed else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -259,11 +267,11 @@ def _documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"),
         row_key(id_column, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    return cut_lineage(rows.mapInArrow(work, "row long, id long, key long, n long, print long, listed array<long>"))
+    return rows.mapInArrow(work, "row long, id long, key long, n long, print long, listed array<long>")
 
 
 def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the wanted nodes, read from the texts again.
+    """(node, shingles) of the wanted nodes, read from the texts again.
 
     A bitmap of fixed size says which prints may be wanted; the join after it decides. A task passes a
     print on once, so copies don't travel.
@@ -279,25 +287,23 @@ def _whole_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may, seen = np.unpackbits(shared.value).view(bool), set()
         for batch in batches:
-            nodes, sizes, whole = [], [], []
+            nodes, whole = [], []
             for _, found in _sets(batch.column(0)):
                 if len(found):
                     node = _print(found)
                     if may[node % BITMAP] and node not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        sizes.append(len(found))
                         whole.append(found.tobytes())
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
             if nodes:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary())],
-                    names=["node", "n", "shingles"],
+                    [pa.array(nodes, pa.int64()), pa.array(whole, pa.binary())], names=["node", "shingles"]
                 )
 
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.mapInArrow(work, "node long, n long, shingles binary")
+    return texts.mapInArrow(work, "node long, shingles binary")
 
 
 def _search(table: pa.Table) -> pa.Table:
@@ -317,30 +323,35 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
 
-def _listed_ties(listed: DataFrame) -> DataFrame:
-    """(shingle, hub) of the shingles that two classes list."""
-    return listed.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).where("hub < _top").drop("_top")
-
-
 def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, key, n_shingles, component_id, kept): kept is true of one row of each component.
 
     ``key`` is `row_key`, by which a caller finds the rows again.
     """
-    found = _documents(docs, id_column, text)
+    spark = docs.sparkSession
+    whole, path = written(_documents(docs, id_column, text), "listed")
+    found = cut_lineage(whole.drop("listed"))
     classes = cut_lineage(
         found.where("n > 0").groupBy(F.col("print").alias("node")).agg(
-            F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+            F.max("n").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
         )
     )
-    listed = found.where("n > 0").select(F.col("print").alias("node"), F.explode("listed").alias("shingle"))
-    shared = cut_lineage(listed.join(_listed_ties(listed).drop("hub"), "shingle"))
-    # Copies list the same shingles, so the count of a class is a multiple of its copies.
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("seen")).join(classes, "node").where(10 * F.col("seen") > F.col("n") * F.col("copies"))
-    able = cut_lineage(able.select("node", "n"))
-    left = cut_lineage(shared.join(able.select("node"), "node").distinct())
-    edges = left.join(_listed_ties(left), "shingle").select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v")
-    islands = cut_lineage(graph.components(edges).join(able, "node"))
+    listed = whole.where(F.size("listed") > 0).select(F.col("print").alias("node"), F.explode("listed").alias("shingle"))
+    common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
+    shared = listed.join(common, "shingle").groupBy("node").agg(F.array_distinct(F.collect_list("shingle")).alias("own"))
+    able = cut_lineage(shared.join(classes.select("node", "n"), "node").where(10 * F.size("own") > F.col("n")))
+    removed(spark, path)
+    left = able.select("node", "n", F.explode("own").alias("shingle"))
+    counts = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per_node = Window.partitionBy("node")
+    ranked = left.join(counts, "shingle").select(
+        "node", "n", "shingle",
+        F.row_number().over(per_node.orderBy("df", "shingle")).alias("rank"), F.count(F.lit(1)).over(per_node).alias("held"),
+    )
+    rare = cut_lineage(ranked.where("rank <= held - n div 10").select("node", "shingle"))
+    hubs = rare.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
+    edges = rare.join(hubs, "shingle").select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v")
+    islands = cut_lineage(graph.components(edges).join(classes.select("node", "n"), "node"))
 
     weights = islands.groupBy("root").agg(F.ceil(F.sum("n") / TASK).cast("int").alias("blocks"))
     total = islands.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -349,8 +360,8 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("root"))
     placed = placed.select("node", "root", "own", task.alias("task"), "blocks", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    whole = _whole_sets(docs, text, islands.select("node")).drop("n")
-    tied = placed.join(whole, "node").groupBy("blocks", "task", "a", "b").applyInArrow(_search, "u long, v long")
+    sets = _whole_sets(docs, text, islands.select("node"))
+    tied = placed.join(sets, "node").groupBy("blocks", "task", "a", "b").applyInArrow(_search, "u long, v long")
     joined = cut_lineage(graph.components(tied))
 
     named = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
