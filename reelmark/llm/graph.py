@@ -2,38 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmark.session import cut_lineage
 
+BATCH = 1 << 20  # links looked at together in a task
+
+
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of these links, and the least node that each reaches by them."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _contract(limit: int):
+    """Stars for the links of a task, ``limit`` at a time; ``new`` counts links that were not there.
+
+    The last node's link goes along into the next batch, where more of its links may follow.
+    """
+
+    def star(parts: list[pa.RecordBatch], carried: list[tuple]) -> tuple[pa.RecordBatch, list[tuple]]:
+        u = np.concatenate([np.array([c[0] for c in carried], np.int64), *(p.column(0).to_numpy() for p in parts)])
+        v = np.concatenate([np.array([c[1] for c in carried], np.int64), *(p.column(1).to_numpy() for p in parts)])
+        nodes, root = least_labels(u, v)
+        moved = nodes != root
+        links = u != v
+        known = np.unique(np.stack([np.maximum(u, v)[links], np.minimum(u, v)[links]], axis=1), axis=0)
+        out = np.stack([nodes[moved], root[moved]], axis=1)
+        same = len(known) + len(out) - len(np.unique(np.concatenate([known, out]), axis=0))
+        new = np.zeros(len(out), np.int64)
+        new[:1] = max(len(out), len(known)) - same
+        last = u[-1]
+        batch = pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(new)], names=["u", "v", "new"])
+        return batch, [(last, root[np.searchsorted(nodes, last)])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, carried = [], 0, []
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                out, carried = star(held, carried)
+                yield out
+                held, rows = [], 0
+        if rows:
+            yield star(held, carried)[0]
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-    return tuple(row)
+    return work
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, batch: int = BATCH) -> DataFrame:
     """(node, root) for every node of (u, v); root is the least node of its component.
 
-    Alternating large-star and small-star rounds: links move to ever smaller neighbours, the number of
-    links never grows, and rounds grow with the logarithm of the graph. A node's links meet by a joined
-    minimum, not in one group, so a hub is only a skewed join key. Each round is a written table.
+    Round by round, a node's links, smaller and larger, meet in one task, which contracts what it has to
+    stars, so links move to ever smaller nodes until no task finds anything to move. A task holds a batch of links, not all of a hub's: batches that share the hub
+    keep it connected. Every round is one shuffle and a written table, and no round has more links than twice
+    the first.
     """
-    now = cut_lineage(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut_lineage(small.unionByName(lower.withColumnRenamed("m", "v")).distinct())
-        before, state = state, _state(now)
-        if state == before:
+    stars = "u long, v long, new long"
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    while True:
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now = cut_lineage(both.repartition("u").sortWithinPartitions("u").mapInArrow(_contract(batch), stars))
+        if not now.agg(F.sum("new")).first()[0]:
             break
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    leaves = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

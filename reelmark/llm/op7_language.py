@@ -101,8 +101,10 @@ class Model:
             table = suffix_automaton(self.sign_of[lines[name]].tolist(), self.width)
             restart = np.maximum(table[0], 0)
             broken = table < 0
-            # Next state times two, plus one where a phrase ends before this sign.
-            self.tables.append((np.where(broken, restart, table) * 2 + broken).astype(np.int32).ravel())
+            # A phrase ends before a sign that can't go on; a sign never seen in training is one by itself.
+            ended = broken.astype(np.int32) + (broken & (table[0] < 0))
+            ended[0] = broken[0]
+            self.tables.append((np.where(broken, restart, table) * 4 + ended).astype(np.int32).ravel())
             self.bits.append(math.log2(len(lines[name]) + 1))
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +128,8 @@ class Model:
             sign = signs[at[:n] + t]
             for s, p, table in zip(state, phrases, self.tables):
                 went = table[s[:n] * self.width + sign]
-                p[:n] += went & 1
-                s[:n] = went >> 1
+                p[:n] += went & 3
+                s[:n] = went >> 2
         for k, p in enumerate(phrases):
             out[:, k] = np.bincount(doc, p, len(texts)) * self.bits[k]
         return out, size

@@ -47,6 +47,7 @@ TASK = 1 << 20  # shingles
 BLOCK_BYTES = 3 << 20
 BITMAP = 1 << 23
 SEEN = 1 << 20
+HEAP = 512  # entries of short lists that a heap merges
 MU = 0.0085  # DivideSkip's published constant for choosing how many long lists to probe
 
 
@@ -145,23 +146,33 @@ def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (entries[at], k, at))
 
 
-def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
-    """As `merge_skip`; the longest lists are probed instead of merged."""
-    lists = sorted(lists, key=len, reverse=True)
-    longest = len(lists[0])
-    probed = min(need - 1, int(need / (MU * math.log2(max(2, longest)) + 1)))
-    long, short = lists[:probed], lists[probed:]
-    for member, count in merge_skip(short, need - probed):
-        for k, entries in enumerate(long):
-            if count + len(long) - k < need:
-                break
-            at = bisect_left(entries, member)
-            count += at < len(entries) and entries[at] == member
-        if count >= need:
-            yield member, count
-
+def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `merge_skip`; the longest lists are probed instead of merged, for all members found so far at once.
 
-def links_of(n1: int, n2: int, shared: int) -> bool:
+    Where the short lists are long too, sorting their entries merges them: a heap step costs far more there.
+    """
+    lists = sorted(lists, key=len, reverse=True)
+    probed = min(need - 1, int(need / (MU * math.log2(max(2, len(lists[0]))) + 1)))
+    long, short, least = lists[:probed], lists[probed:], need - probed
+    if sum(map(len, short)) <= HEAP:
+        found = list(merge_skip([x.tolist() for x in short], least))
+        member = np.array([m for m, _ in found], np.int64)
+        count = np.array([c for _, c in found], np.int64)
+    else:
+        member, count = np.unique(np.concatenate(short), return_counts=True)
+        member, count = member[count >= least], count[count >= least]
+    for k, entries in enumerate(long):
+        able = count + (len(long) - k) >= need
+        if not able.all():
+            member, count = member[able], count[able]
+        if not len(member):
+            break
+        at = np.searchsorted(entries, member)
+        count = count + (entries[np.minimum(at, len(entries) - 1)] == member)
+    return member[count >= need], count[count >= need]
+
+
+def links_of(n1, n2, shared):
     """100 * intersection >= 80 * union."""
     return 9 * shared >= 4 * (n1 + n2)
 
@@ -187,13 +198,7 @@ def ties(sets: list[np.ndarray], block: list[int] | None = None) -> list[tuple[i
     lists = {
         int(t): (int(s), int(n)) for t, s, n in zip(token[change[size > 1]].tolist(), change[size > 1].tolist(), size[size > 1].tolist())
     }
-    cache: dict[int, list[int]] = {}
-
-    def entries(t: int) -> list[int]:
-        if t not in cache:
-            s, n = lists[t]
-            cache[t] = member[s : s + n].tolist()
-        return cache[t]
+    sizes = np.array([len(x) for x in sets])
 
     out = []
     open_ = Counter(range(len(sets)))  # sets not searched for yet, by component
@@ -211,10 +216,11 @@ def ties(sets: list[np.ndarray], block: list[int] | None = None) -> list[tuple[i
                 del open_[own]
             n = len(sets[q])
             need = -(-4 * n // 5)
-            near = [entries(t) for t in sets[q].tolist() if t in lists]
+            near = [member[s : s + e] for s, e in map(lists.get, filter(lists.__contains__, sets[q].tolist()))]
             if len(near) >= need:
-                for k, shared in divide_skip(near, need):
-                    if k != q and links_of(n, len(sets[k]), shared) and (block is None or block[k] != block[q]):
+                found, shared = divide_skip(near, need)
+                for k in found[links_of(n, sizes[found], shared)].tolist():
+                    if k != q and (block is None or block[k] != block[q]):
                         a, b = root(k), root(q)
                         if a != b:
                             out.append((k, q))
