@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelmark.plans.joins import lookup_join
 from reelmark.plans.latest import latest_by_key
 from reelmark.schemas import TABLES
+from reelmark.session import cut_lineage
 from reelmark.sources.store import TableStore, with_row_ids
 
 LOCAL_ZONE = "Australia/Melbourne"
@@ -107,11 +108,15 @@ def still_present(rows: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def prune_missing_items(store: TableStore, current: DataFrame) -> int:
-    """Rewrite the four item tables without items that are not current; returns how many items went."""
-    removed = missing_ids(store.read("library_items"), current).count()
+    """Rewrite the four item tables without the items that left the library; returns how many went.
+
+    Rows of items that the library never held stay, whether anything is pruned or not.
+    """
+    gone = cut_lineage(missing_ids(store.read("library_items"), current))
+    removed = gone.count()
     if removed:
         for name in ITEM_TABLES:
-            store.overwrite(name, still_present(store.read(name), current))
+            store.overwrite(name, lookup_join(store.read(name), gone, "item_id", "left_anti"))
     return removed
 
 

@@ -61,11 +61,21 @@ def catalog_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Items received and items announced; they differ when a page is missing."""
-    return _read(spark, path, schemas.CATALOG_PAGE).agg(
-        F.sum(F.coalesce(F.size("Items"), F.lit(0)).cast("long")).alias("items_received"),
-        F.max("TotalRecordCount").alias("items_announced"),
+    """Items received and items announced; they differ when a page is missing.
+
+    A page that landed twice counts once, so it can't make up for a missing one.
+    """
+    pages = _read(spark, path, schemas.CATALOG_PAGE).select(
+        # A page without a start index is a page of its own.
+        F.coalesce(
+            F.col("StartIndex").cast("string"),
+            F.concat(F.col("_metadata.file_path"), F.lit("#"), F.monotonically_increasing_id()),
+        ).alias("page"),
+        F.coalesce(F.size("Items"), F.lit(0)).cast("long").alias("items"),
+        "TotalRecordCount",
     )
+    each = pages.groupBy("page").agg(F.max("items").alias("items"), F.max("TotalRecordCount").alias("announced"))
+    return each.agg(F.sum("items").alias("items_received"), F.max("announced").alias("items_announced"))
 
 
 def series_metadata(spark: SparkSession, path: str) -> DataFrame:

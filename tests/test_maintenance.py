@@ -95,6 +95,15 @@ def test_prune(spark, store):
     assert maintenance.prune_missing_items(store, current) == 0
 
 
+@pytest.mark.parametrize("live", [("1", "2"), ("1",)])
+def test_prune_keeps_rows_of_items_never_in_the_library(spark, store, live):
+    items = [("1", "a", "Movie"), ("2", "b", "Movie")]
+    store.overwrite("library_items", spark.createDataFrame(items, "item_id string, item_name string, item_type string"))
+    store.overwrite("item_tags", spark.createDataFrame([("1", 1), ("2", 1), ("orphan", 1), (None, 1)], "item_id string, tag_id long"))
+    maintenance.prune_missing_items(store, spark.createDataFrame([(i,) for i in live], "item_id string"))
+    assert rows(store.read("item_tags"), "item_id") == sorted([(i,) for i in (*live, "orphan", None)], key=repr)
+
+
 def test_backup_and_truncate(spark, store, tmp_path):
     store.overwrite("movie_genres", spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string"))
     report = maintenance.snapshot_backup(store, ("movie_genres", "tv_genres"), str(tmp_path / "bak"), "20250820-010000")

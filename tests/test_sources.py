@@ -101,3 +101,10 @@ def test_cache_reads_through(spark, tmp_path):
     assert encoded_cache(spark, path, compute(2)).first().v == 1
     assert encoded_cache(spark, path, compute(3), refresh=True).first().v == 3
     assert calls == [1, 3]
+
+
+def test_a_doubled_page_does_not_make_up_for_a_missing_one(spark, land):
+    one = {"Id": "1", "Name": "a", "Type": "Movie"}
+    first = {"StartIndex": 0, "TotalRecordCount": 4, "Items": [one, {**one, "Id": "2"}]}
+    path = land("catalog", first, first)
+    assert tuple(landing.catalog_totals(spark, path).first()) == (2, 4)
