@@ -461,7 +461,10 @@ UNION ALL SELECT 'sessions', count(*), count(*) FROM sessions"""
 ORACLES["sink_encoded_cache"] = ONEHOT
 ORACLES["table_row_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    for t in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+        "pages", "benchmark", "labels", "conversations",
+    )
 )
 ORACLES["count_rows"] = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}"

@@ -336,7 +336,10 @@ def sink_encoded_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def table_row_counts(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    names = (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+        "pages", "benchmark", "labels", "conversations",
+    )
     return reports.table_row_counts({name: data.table(spark, sf, name) for name in names})
 
 
