@@ -71,8 +71,7 @@ def components(edges: DataFrame, batch: int = BATCH) -> DataFrame:
 
     Round by round, a node's links, smaller and larger, meet in one task, which contracts what it has to
     stars, so links move to ever smaller nodes until no task finds anything to move. A task holds a batch of links, not all of a hub's: batches that share the hub
-    keep it connected. Every round is one shuffle and a written table, and no round has more links than twice
-    the first.
+    keep it connected, and a batch hands its last node's link on. Every round is one shuffle and a written table.
     """
     stars = "u long, v long, new long"
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
