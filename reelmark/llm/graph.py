@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelmark.session import cut_lineage
 
 BATCH = 1 << 20  # links looked at together in a task
+HUB, SALTS = 2048, 32  # links of a node that meet in one task; keys that a node's links have in the join with the hubs
 
 
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,18 +67,34 @@ def _contract(limit: int):
     return work
 
 
-def components(edges: DataFrame, batch: int = BATCH) -> DataFrame:
+def _parted(links: DataFrame, hub: int) -> DataFrame:
+    """Adds ``part``: a node's links in parts of about ``hub``, each with the link to the node's least neighbour.
+
+    That link is what makes all parts of a node arrive at the same root.
+    """
+    hubs = links.groupBy("u").agg(F.count(F.lit(1)).alias("_links"), F.min("v").alias("_least")).where(F.col("_links") > hub)
+    hubs = hubs.withColumn("_parts", F.ceil(F.col("_links") / hub).cast("int"))
+    salted = hubs.select("u", "_parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    spread = links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "_salt"], "left")
+    part = F.coalesce(F.pmod(F.xxhash64("v", F.lit(1)), F.col("_parts")), F.lit(0)).cast("int")
+    least = hubs.select("u", F.col("_least").alias("v"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    return spread.select("u", "v", part.alias("part")).unionByName(least)
+
+
+def components(edges: DataFrame, batch: int = BATCH, hub: int = HUB) -> DataFrame:
     """(node, root) for every node of (u, v); root is the least node of its component.
 
     Round by round, a node's links, smaller and larger, meet in one task, which contracts what it has to
-    stars, so links move to ever smaller nodes until no task finds anything to move. A task holds a batch of links, not all of a hub's: batches that share the hub
-    keep it connected, and a batch hands its last node's link on. Every round is one shuffle and a written table.
+    stars, so links move to ever smaller nodes until no task finds anything to move. The links of a node with
+    more than ``hub`` are dealt out in parts, and a task looks at a batch of links at a time, handing its last
+    node's link on to the next. Every round is a written table.
     """
     stars = "u long, v long, new long"
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = cut_lineage(both.repartition("u").sortWithinPartitions("u").mapInArrow(_contract(batch), stars))
+        dealt = _parted(both, hub).repartition("u", "part").sortWithinPartitions("u", "part").select("u", "v")
+        now = cut_lineage(dealt.mapInArrow(_contract(batch), stars))
         if not now.agg(F.sum("new")).first()[0]:
             break
     leaves = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

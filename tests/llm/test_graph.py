@@ -22,16 +22,17 @@ def brute(edges):
     return {x: root(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("batch", [1 << 20, 40])
-def test_components_of_paths_hubs_and_random_links(spark, batch):
+@pytest.mark.parametrize("batch, hub", [(1 << 20, 1 << 20), (40, 1 << 20), (1 << 20, 20), (40, 7)])
+def test_components_of_paths_hubs_and_random_links(spark, batch, hub):
     draw = random.Random(3)
     edges = [(i, i + 1) for i in range(2000, 2120)] + [(5000, 5000 + i) for i in range(1, 300)]
+    edges += [(7000, 6000 + i) for i in range(1, 300)]  # the hub is the greatest
     edges += [(draw.randrange(600), draw.randrange(600)) for _ in range(360)] + [(7, 7)] + [(i + 1, i) for i in range(9000, 9040)]
     draw.shuffle(edges)
     # Small Arrow batches, so that a hub's links span several of a task.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        found = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5), batch).collect()
+        found = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5), batch, hub).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r["node"]: r["root"] for r in found} == brute(edges)
