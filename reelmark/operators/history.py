@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.functions import scalars as fn
-from reelmark.plans.joins import lookup_join
-from reelmark.session import cut_lineage
+from reelmark.plans.joins import lookup_join, null_safe_join
 
 # Playback times before this moment were logged seven hours behind UTC, later ones ten ahead.
 CLOCK_CUTOFF = "2025-08-15 11:10:00"
@@ -139,7 +138,7 @@ def _distinct_moments(events: DataFrame, gap_minutes: int) -> DataFrame:
             F.sum("_boundary").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         )
     )
-    return moments.join(slots, [*PAIR, "_slot"]).select(
+    return null_safe_join(moments, slots, [*PAIR, "_slot"], "inner").select(
         *PAIR,
         "event_ts",
         "_first_row",
@@ -149,26 +148,14 @@ def _distinct_moments(events: DataFrame, gap_minutes: int) -> DataFrame:
     )
 
 
-def _mark_by_window(events: DataFrame, gap_minutes: int) -> DataFrame:
-    in_order = Window.partitionBy(*PAIR).orderBy("event_ts", "row_id")
-    previous = F.lag("event_ts").over(in_order)
-    return (
-        events.withColumn("prev_event_timestamp", previous)
-        .withColumn(
-            "is_new_session",
-            _starts_session(F.col("prev_event_timestamp"), F.col("event_ts"), gap_minutes).cast("int"),
-        )
-        .withColumn(
-            "session_group_id",
-            F.sum("is_new_session").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-    )
-
+def mark_sessions(events: DataFrame, gap_minutes: int = 15) -> DataFrame:
+    """Each event with the previous event's time, a new-session flag and its session number.
 
-def _mark_by_slots(events: DataFrame, gap_minutes: int) -> DataFrame:
-    marked = lookup_join(
-        events, _distinct_moments(events, gap_minutes), [*PAIR, "event_ts"], "left", salt_on=["row_id"]
-    )
+    Order within a pair is (event_ts, row_id): of the events in one second only the first looks back
+    to an earlier second. All pairs go through their distinct moments, which bounds every window by time.
+    Events without a time come first and are one session; a null user or item is a user or item like others.
+    """
+    marked = null_safe_join(events, _distinct_moments(events, gap_minutes), [*PAIR, "event_ts"])
     first = F.col("row_id") == F.col("_first_row")
     return marked.select(
         *[F.col(f"`{c}`") for c in events.columns],
@@ -178,22 +165,6 @@ def _mark_by_slots(events: DataFrame, gap_minutes: int) -> DataFrame:
     )
 
 
-def mark_sessions(events: DataFrame, gap_minutes: int = 15, hot_rows: int = 1_000_000) -> DataFrame:
-    """Each event with the previous event's time, a new-session flag and its session number.
-
-    Order within a pair is (event_ts, row_id): of the events in one second only the first looks back
-    to an earlier second. Pairs of at most ``hot_rows`` events take one window over one shuffle. The
-    others, counted beforehand, go through their distinct moments, which bounds every window by time.
-    """
-    sizes = events.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = cut_lineage(sizes.where(F.col("_rows") > hot_rows).select(*PAIR))
-    if hot.isEmpty():
-        return _mark_by_window(events, gap_minutes)
-    cold = lookup_join(events, hot, PAIR, "left_anti", salt_on=["row_id"])
-    warm = lookup_join(events, hot, PAIR, "left_semi", salt_on=["row_id"])
-    return _mark_by_window(cold, gap_minutes).unionByName(_mark_by_slots(warm, gap_minutes))
-
-
 def with_runtime(facts: DataFrame, library: DataFrame, salt_on: list[str]) -> DataFrame:
     """Left-join the library's runtime (seconds) and type by item."""
     lookup = library.select(

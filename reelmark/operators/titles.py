@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reelmark.functions import scalars as fn
 from reelmark.plans.joins import lookup_join
 
-MAX_GENRE_COLUMNS = 10_000
 
 
 def filter_nonblank(rows: DataFrame, column: str) -> DataFrame:
@@ -47,11 +46,9 @@ def title_genre_counts(titles: DataFrame, genres: DataFrame) -> DataFrame:
     return counted.join(named, "t_const").select("t_const", "primary_name", "genre", "weight")
 
 
-def genre_values(rows: DataFrame, limit: int = MAX_GENRE_COLUMNS) -> list[str]:
-    """Sorted genre names. They become columns, so more than ``limit`` is an error, not a cut."""
-    found = rows.where(F.col("genre").isNotNull()).select("genre").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} genres: use the counts, which need no columns")
+def genre_values(rows: DataFrame) -> list[str]:
+    """Sorted genre names; they become columns, so the vocabulary, not the titles, comes to the driver."""
+    found = rows.where(F.col("genre").isNotNull()).select("genre").distinct().collect()
     return sorted(row.genre for row in found)
 
 

@@ -7,20 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
-MIN_SALTS, MAX_SALTS = 4, 32
 NULL_SALTS = 1 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: file sizes at the leaves, so no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame, limit_bytes: int | None = None) -> bool:
-    return estimated_bytes(df) <= (BROADCAST_LIMIT_BYTES if limit_bytes is None else limit_bytes)
-
-
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -28,32 +17,28 @@ def lookup_join(
     how: str = "left",
     *,
     salt_on: list[str | Column] | None = None,
-    limit_bytes: int | None = None,
-    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equal ``on`` columns.
 
-    The lookup is broadcast only when its estimated size is under the limit. Past that, one hot key
-    may own a large share of ``facts``, so its rows are spread over ``salts`` sub-keys and the lookup
-    is repeated once per sub-key; each fact row still meets every lookup row of its key exactly once.
-    The number of sub-keys follows how much larger the facts are, so the copies never outweigh them
-    by much. Null keys match nothing and are spread over far more. ``salt_on`` names columns that
-    tell the rows of one key apart (default: all of them). What is left of a skew after that is for
-    Spark's own skew-join splitting, which these plans allow.
+    Nothing is broadcast on an estimate: under `session.JOINS` Spark broadcasts the lookup only if what it
+    shuffled measures under the limit. Keys that own a large share of ``facts`` are left to Spark's
+    skew-join splitting, which has no ceiling and repeats only the lookup rows of a split partition.
+    Null keys match nothing and are spread by a hash of ``salt_on`` (default: all columns of the facts).
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(lookup, limit_bytes):
-        return facts.join(F.broadcast(lookup), keys, how)
-    if salts is None:
-        salts = min(MAX_SALTS, max(MIN_SALTS, estimated_bytes(facts) // max(1, estimated_bytes(lookup))))
     spread = F.xxhash64(*(salt_on or [F.col(f"`{name}`") for name in facts.columns]))
     has_null = reduce(lambda a, b: a | b, [F.col(f"`{key}`").isNull() for key in keys])
-    salt = F.pmod(spread, F.when(has_null, NULL_SALTS).otherwise(salts).cast("long")).cast("int")
-    salted_facts = facts.withColumn("_salt", salt)
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salt = F.when(has_null, F.pmod(spread, F.lit(NULL_SALTS))).otherwise(0).cast("int")
+    return facts.withColumn("_salt", salt).join(lookup.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join on ``on`` columns where null equals null; ``on`` columns come from the left."""
+    named = right.select(*[F.col(f"`{c}`").alias(f"_right_{c}" if c in on else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_right_{c}`")) for c in on])
+    return left.join(named, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def repeat_rows(rows: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:

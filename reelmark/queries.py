@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from reelmark import schemas
 from reelmark.functions import scalars as fn
 from reelmark.operators import history, library, maintenance, quality, reports, similar, titles
 from reelmark.plans import loads
-from reelmark.session import scratch_path
+from reelmark.session import scratch_path, tune_joins
 from reelmark.sources import cache, landing, tsv
 from reelmark.sources.store import TableStore
 
@@ -23,7 +24,12 @@ DIGITS = 9
 
 
 def query(fn_: Query) -> Query:
-    QUERIES[fn_.__name__] = fn_
+    @functools.wraps(fn_)
+    def tuned(spark: SparkSession, sf: str) -> DataFrame:
+        tune_joins(spark)
+        return fn_(spark, sf)
+
+    QUERIES[fn_.__name__] = tuned
     return fn_
 
 

@@ -84,11 +84,10 @@ def test_hot_pair_and_copies(spark):
     assert as_brute(sessions) == brute_sessions(events, 900)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 100, 0])
-def test_marks_equal_lag(spark, hot_rows):
+def test_marks_equal_lag(spark):
     rng = random.Random(5)
     events = [("u", str(rng.randrange(3) // 2), "Movie", rng.randrange(60) * 100, 1) for _ in range(200)]
-    got = {r.row_id: r for r in history.mark_sessions(make_events(spark, events), 5, hot_rows).collect()}
+    got = {r.row_id: r for r in history.mark_sessions(make_events(spark, events), 5).collect()}
     assert len(got) == len(events)
     order = sorted(range(len(events)), key=lambda i: (events[i][1], events[i][3], i))
     group, previous = 0, None
@@ -235,7 +234,7 @@ def test_malformed_event_fails(spark, field, value):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast(spark, how):
+def test_lookup_join_equals_broadcast(spark, how):
     facts = spark.range(2000).select(
         "id",
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(
@@ -243,14 +242,30 @@ def test_salted_join_equals_broadcast(spark, how):
         ).alias("k"),
     )
     lookup = spark.createDataFrame([("hot", 1), ("2", 2), ("5", 3)], "k string, v int")
-    small = joins.lookup_join(facts, lookup, "k", how, limit_bytes=1 << 63)
-    salted = joins.lookup_join(facts, lookup, "k", how, limit_bytes=0)
-    assert "_salt" in salted._jdf.queryExecution().toString()
-    assert "_salt" not in small._jdf.queryExecution().toString()
-    assert rows(salted) == rows(small)
+    assert rows(joins.lookup_join(facts, lookup, "k", how)) == rows(facts.join(F.broadcast(lookup), "k", how))
 
 
-def test_whole_job_with_salted_lookups(spark, monkeypatch):
+def test_lookup_of_deceptive_size_is_not_broadcast(spark, tmp_path):
+    """Files that compress well and rows that multiply look small to an estimate, not to a measured shuffle."""
+    spark.range(300_000).select("id", F.lit("x" * 40).alias("v")).write.option("compression", "zstd").parquet(str(tmp_path / "v"))
+    compressible = spark.read.parquet(str(tmp_path / "v"))
+    exploded = spark.range(300).select(F.explode(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999)).alias("id"), F.lit("x" * 40).alias("v"))
+    facts = spark.range(400_000)
+    for lookup in (compressible, exploded):
+        matched = joins.lookup_join(facts, lookup, "id").agg(F.count("v").alias("n"))
+        assert matched.collect()[0].n == 300_000
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_events_without_a_time(spark):
+    rows_ = [(0, "u", "1", None), (1, "u", "1", START), (2, "u", "1", None), (3, None, "1", START), (4, "u", "1", START)]
+    events = spark.createDataFrame(rows_, "row_id long, user_id string, item_id string, event_ts timestamp")
+    got = {r.row_id: (r.is_new_session, r.session_group_id) for r in history.mark_sessions(events, 5).collect()}
+    assert got == {0: (1, 1), 2: (0, 1), 1: (1, 2), 4: (0, 2), 3: (1, 1)}
+
+
+def test_whole_job_with_shuffled_lookups(spark):
     events = make_events(spark, [(f"u{i % 7}", "1" if i % 3 else str(i % 5), "Movie", i * 700, 60) for i in range(300)])
     library = make_library(spark, [(str(i), "Movie", 100 * i) for i in range(4)])
 
@@ -258,10 +273,14 @@ def test_whole_job_with_salted_lookups(spark, monkeypatch):
         sessions = history.sessions_agg(events, library)
         return rows(sessions), rows(history.user_item_stats(sessions, library))
 
-    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", 1 << 63)
     small = job()
-    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
-    assert job() == small
+    limit = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        assert job() == small
+    finally:
+        spark.conf.set(limit, before)
 
 
 def test_repeat_rows(spark):

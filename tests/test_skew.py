@@ -26,7 +26,7 @@ def test_spark_splits_what_salting_leaves(spark, tmp_path):
         )
         lookup = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
         hot = spark.createDataFrame([("hot", -1)], "k string, v long")
-        joined = joins.lookup_join(facts, lookup.unionByName(hot), "k", "left", limit_bytes=0, salt_on=["id"])
+        joined = joins.lookup_join(facts, lookup.unionByName(hot), "k", "left", salt_on=["id"])
         out = str(tmp_path / "joined")
         joined.write.parquet(out)
         assert spark.read.parquet(out).count() == 200_000
@@ -69,9 +69,8 @@ def test_hot_pair_reaches_the_window_as_slots(spark, tmp_path):
     assert written and max(written) <= 8 * (86_400 // 901 + 2)
 
 
-def test_profile_held_by_most_titles(spark, monkeypatch):
-    """Most titles share one vector; their neighbours come from a list of k + 1, joined with salts."""
-    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
+def test_profile_held_by_most_titles(spark):
+    """Most titles share one vector; their neighbours come from a list of k + 1, joined by title."""
     titles = spark.range(3000).selectExpr(
         "lpad(cast(id as string), 5, '0') AS t_const",
         """if(id < 2900, array(named_struct('genre', 'Drama', 'weight', 1d)),
@@ -88,9 +87,8 @@ def test_profile_held_by_most_titles(spark, monkeypatch):
     assert got["02905"] == [("02912", 0.0), ("02919", 0.0), ("02926", 0.0)]
 
 
-def test_hot_item_in_every_lookup(spark, monkeypatch):
-    """An item with most of the sessions gives the same statistics through salted joins."""
-    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", -1)
+def test_hot_item_in_every_lookup(spark):
+    """An item with most of the sessions gives the same statistics through the joins."""
     events = spark.range(6000).select(
         F.col("id").alias("row_id"),
         F.concat(F.lit("u"), (F.col("id") % 500).cast("string")).alias("user_id"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from reelmark.functions import blocks
@@ -36,9 +37,9 @@ def test_counts_from_tables(spark, tagged):
     assert rows(joined) == rows(tagged)
 
 
-def test_too_many_genres_is_an_error(spark, tagged):
-    with pytest.raises(ValueError):
-        titles.genre_values(tagged, limit=2)
+def test_every_genre_is_a_column(spark):
+    tagged = spark.range(12_000).select(F.format_string("g%05d", "id").alias("genre"))
+    assert titles.genre_values(tagged) == [f"g{i:05d}" for i in range(12_000)]
 
 
 def test_vectors_from_both_forms(spark, tagged):
