@@ -1,5 +1,7 @@
 """Embedding near-duplicates by NN-descent.
 
+0. Equal vectors (by 128 bits of hash) are one class that stands for its copies, so a vector that a third of
+   all rows hold is compared once; its copies link with each other and with whatever the class links with.
 1. Start: vectors that share a random-hyperplane signature meet in groups of bounded size, in several
    tables; each keeps its ``LIST`` nearest.
 2. Descent: neighbours of a vector, taken both ways, are compared with each other and improve each
@@ -33,7 +35,7 @@ from reelmark.session import cut_lineage
 LIST, TABLES, ROUNDS = 8, 8, 2
 GROUP, NEAR, BLOCK = 256, 48, 1024  # rows of a signature aimed at; of a neighbourhood; of a component's block
 AUDIT, RECALL, ATTEMPTS = 200, 0.98, 4
-TASK_ROWS = 1 << 14
+HOT, SALTS = 2048, 32  # copies of a class that are looked up by one task; keys that the copies of larger ones have
 
 
 def _best(unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +77,40 @@ def _pairs(table: pa.Table, keys: tuple[str, ...], floors: bool) -> pa.Table:
     return pa.table(dict(zip(("u", "v", "cos"), columns)))
 
 
+def equal_classes(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, x, dim, copies) of each class's first row; (row, id, a, b), the hashes of each row; (a, b, node, copies, least id).
+
+    Vectors that link with nothing have no second hash, and so no class.
+    """
+    nonzero = F.col("ok") & F.exists("x", lambda x: x != 0)
+    sound = F.coalesce(nonzero, F.lit(False))
+    first, second = F.xxhash64(F.lit(1), "x"), F.xxhash64(F.lit(2), "x")
+    named = cut_lineage(
+        every.select("row", "id", F.when(sound, first).otherwise(F.col("row")).alias("a"), F.when(sound, second).alias("b"))
+    )
+    classes = cut_lineage(
+        named.where(F.col("b").isNotNull()).groupBy("a", "b").agg(
+            F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")
+        )
+    )
+    firsts = classes.select(F.col("node").alias("row"), "copies")
+    return cut_lineage(every.join(firsts, "row").select("row", "x", F.size("x").alias("dim"), "copies")), named, classes
+
+
+def by_class(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, component_id, n_links) of every row; (a, b, copies, component_id, n_links) are the classes."""
+    found = F.struct("component_id", "n_links")
+    hot = classes.where(F.col("copies") > HOT).select(
+        "a", "b", found.alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    few = classes.where(F.col("copies") <= HOT).select("a", "b", found.alias("few"))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(hot, ["a", "b", "salt"], "left")
+    # Rows that have their class already keep out of the way of the second look-up.
+    spread = salted.withColumn("a", F.when(F.col("hot").isNull(), F.col("a")).otherwise(F.col("row")))
+    own = F.struct(F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return spread.join(few, ["a", "b"], "left").select("id", F.coalesce("hot", "few", own).alias("found")).select("id", "found.*")
+
+
 def _lists(pairs: DataFrame) -> DataFrame:
     """The LIST nearest of each vector."""
     order = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
@@ -136,7 +172,7 @@ def descend(valid: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def exact_links(valid: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(row, n_links) within components: (row, root), every pair of a component once, in blocks."""
+    """(row, n_links) of the classes in components (row, root): every pair of a component once, in blocks."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
     cut = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn(
@@ -149,27 +185,27 @@ def exact_links(valid: DataFrame, members: DataFrame, threshold: float) -> DataF
 
     def count(table: pa.Table) -> pa.Table:
         unit, rows = vectors.unit(vectors.matrix(table["x"])), table["row"].to_numpy()
-        own, a, b = (table[c].to_numpy() for c in ("own", "a", "b"))
+        own, a, b, copies = (table[c].to_numpy() for c in ("own", "a", "b", "copies"))
         found_rows, found = [], []
         for at in _segments(table, "root", "a", "b"):
             if a[at[0]] == b[at[0]]:
-                n = (unit[at] @ unit[at].T >= threshold).sum(axis=1)
-                n -= (unit[at] * unit[at]).sum(axis=1) >= threshold  # itself
+                hit = unit[at] @ unit[at].T >= threshold
+                np.fill_diagonal(hit, True)  # copies link, whatever rounding makes of 1
                 found_rows.append(rows[at])
-                found.append(n)
+                found.append(hit @ copies[at] - 1)
             else:
                 left, right = at[own[at] == a[at[0]]], at[own[at] == b[at[0]]]
                 hit = unit[left] @ unit[right].T >= threshold
                 found_rows += [rows[left], rows[right]]
-                found += [hit.sum(axis=1), hit.sum(axis=0)]
+                found += [hit @ copies[right], copies[left] @ hit]
         return pa.table({"row": np.concatenate(found_rows), "n": np.concatenate(found).astype(np.int64)})
 
-    joined = cut.withColumn("task", task).join(valid.select("row", "dim", "x"), "row")
+    joined = cut.withColumn("task", task).join(valid, "row")
     return joined.groupBy("dim", "task").applyInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links"))
 
 
 def audit(valid: DataFrame, links: DataFrame, threshold: float, seed: int) -> float:
-    """The share of true links found, over ``AUDIT`` vectors against all rows by brute force."""
+    """The share of true links found, over the links of ``AUDIT`` classes with all rows by brute force."""
     asked = valid.orderBy(F.xxhash64("row", F.lit(seed))).limit(AUDIT).select("row", "dim", "x").collect()
     by_dim: dict[int, list] = {}
     for r in asked:
@@ -183,18 +219,22 @@ def audit(valid: DataFrame, links: DataFrame, threshold: float, seed: int) -> fl
                 dim = batch.column(2)[int(at[0])].as_py()
                 if dim in units:
                     hits = units[dim] @ vectors.unit(vectors.matrix(batch.column(1).take(pa.array(at)))).T >= threshold
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[dim], pa.int64()), pa.array(hits.sum(axis=1))], names=["row", "n"])
+                    found = hits @ batch.column(3).to_numpy()[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[dim], pa.int64()), pa.array(found)], names=["row", "n"])
 
-    true = valid.select("row", "x", "dim").mapInArrow(count, "row long, n long").groupBy("row").agg((F.sum("n") - 1).alias("true"))
-    both = true.join(links, "row", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n_links", F.lit(0))))).first()
+    true = valid.select("row", "x", "dim", "copies").mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
+    # Copies are no finding: only links with other classes count.
+    known = true.join(valid.select("row", "copies"), "row").join(links, "row", "left").select(
+        (F.col("n") - F.col("copies")).alias("true"), (F.coalesce("n_links", F.col("copies") - 1) + 1 - F.col("copies")).alias("found")
+    )
+    both = known.agg(F.sum("true"), F.sum(F.least("true", "found"))).first()
     return 1.0 if not both[0] else both[1] / both[0]
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95, *, id_column: str = "vec_id", vector: str = "embedding", seed: int = 41) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     every = vectors.rows(table, id_column, vector)
-    nonzero = F.col("ok") & F.exists("x", lambda x: x != 0)
-    valid = cut_lineage(every.where(nonzero).select("row", "x", F.size("x").alias("dim")))
+    valid, named, classes = equal_classes(every)
     count = valid.count()
     links = members = lists = None
     for attempt in range(ATTEMPTS if count else 0):
@@ -207,14 +247,19 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, *, id_column: str
         links = cut_lineage(exact_links(valid, members, threshold))
         if audit(valid, links, threshold, seed) >= RECALL:
             break
-    ids = every.select("row", "id")
     if links is None:
-        named = ids.withColumns({"root": F.col("row"), "n_links": F.lit(0).cast("long")})
+        judged = named.select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     else:
-        named = ids.join(members, "row", "left").join(links, "row", "left")
-    named = named.select("row", "id", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(least, "root").select(
+        ties = members.join(links, "row").withColumnRenamed("row", "node")
+        rooted = cut_lineage(
+            classes.join(ties, "node", "left").select(
+                "a", "b", "copies", "least", F.coalesce("root", "node").alias("root"),
+                F.coalesce("n_links", F.col("copies") - 1).cast("long").alias("n_links"),
+            )
+        )
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        judged = by_class(named, cut_lineage(rooted.join(least, "root").drop("root", "least")))
+    return judged.select(
         F.col("id").alias(id_column), "n_links", "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )

@@ -102,6 +102,8 @@ def vector_rows():
     x = draw.standard_normal((300, 16))
     x[60:90] = x[5] + 0.02 * draw.standard_normal((30, 16))
     x[100] = x[101]
+    x[200:220] = x[70]  # copies of a vector that has near ones
+    x[230:240] = x[230]  # and of one that has none
     rows = [(i, v.tolist(), "r") for i, v in enumerate(x)]
     return rows + [(400, None, "r"), (401, [1.0, None] * 8, "r"), (402, [float("nan")] * 16, "r"), (403, [float("inf")] * 16, "r"), (404, [0.0] * 16, "r"), (405, [], "r"), (406, [1.0, 2.0], "r"), (450, [3.0, 1.0], "r")]
 
@@ -120,7 +122,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert op4_search.top_k(spark.createDataFrame([], VECS), F.col("id") % 50 == 0, 5).count() == 0
 
 
-def test_near_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [4, 2048])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(op6_neardup, "HOT", hot)
     rows = vector_rows() + [(7, vector_rows()[5][1], "r")]
     got = op6_neardup.near_duplicates(spark.createDataFrame(rows, VECS)).collect()
     good = [k for k, (_, v, _) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
