@@ -168,10 +168,11 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def create_all(store: TableStore, names: tuple[str, ...], prefix: str = "") -> list[str]:
-    """Catalog entries for stored tables; a table never written is created empty first."""
+    """Catalog entries for stored tables, which must lie in one folder: one never written is created empty
+    first, and one that rows were appended to is rewritten."""
     made = []
     for name in names:
-        if not store.exists(name):
+        if not store.in_one_folder(name):
             store.overwrite(name, store.read(name))
         create_table(store.spark, f"{prefix}{name}", name, store.location(name))
         made.append(f"{prefix}{name}")

@@ -60,11 +60,15 @@ def dq_max_length(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 def require_valid(rows: DataFrame, spec: TableSpec, name: str) -> None:
-    """Fail on a broken NOT NULL or key, as the stores with declared constraints do."""
+    """Fail on a broken NOT NULL, length or key, as the stores with declared constraints do."""
     if spec.not_null:
         broken = dq_not_null(rows, spec.not_null).where("null_count > 0").limit(5).collect()
         if broken:
             raise ValueError(f"{name}: nulls in {[r.column_name for r in broken]}")
+    if spec.max_length:
+        broken = dq_max_length(rows, spec.max_length).where("too_long > 0").collect()  # a row a column
+        if broken:
+            raise ValueError(f"{name}: too long {[(r.column_name, r.longest) for r in broken]}")
     for keys in spec.unique:
         clash = dq_unique(rows, keys).limit(1).collect()
         if clash:

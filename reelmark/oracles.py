@@ -316,7 +316,7 @@ taste AS (
 _PLAYBACK = """SELECT date, time, user_id, item_name, item_id, item_type, CAST(duration AS VARCHAR) AS duration,
   remote_address, user_name, false AS user_has_image FROM raw_events"""
 ORACLES["src_playback_log"] = f"WITH {EVENTS} {_PLAYBACK}"
-ORACLES["src_playback_log_recent"] = f"WITH {EVENTS} {_PLAYBACK} WHERE CAST(date AS DATE) >= DATE '2024-01-21'"
+ORACLES["src_playback_log_recent"] = f"WITH {EVENTS} {_PLAYBACK} WHERE CAST(date AS DATE) BETWEEN DATE '2024-01-21' AND DATE '2024-01-31'"
 ORACLES["src_catalog_pages"] = f"""WITH {ITEMS}
 SELECT id AS "Id", label AS "Name", kind AS "Type", {SERIES_ID} AS "SeriesId", {TICKS} AS "RunTimeTicks",
   {_OWN_WIDTH} AS "Width", {_OWN_HEIGHT} AS "Height", p_retailprice / 100 AS "CommunityRating",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelmark import schemas
 from reelmark.operators import history, library, maintenance, quality, similar, titles
-from reelmark.session import cut_lineage
+from reelmark.session import cut_lineage, job
 from reelmark.sources import landing, tsv
 from reelmark.sources.cache import encoded_cache
 from reelmark.sources.store import TableStore, empty, with_row_ids
@@ -44,6 +44,7 @@ def load_ref_genres(
     return metrics
 
 
+@job
 def load_library(
     spark: SparkSession, store: TableStore, paths: LandedPaths, rebuild: bool = False
 ) -> tuple[list[dict], int]:
@@ -90,10 +91,17 @@ def load_library(
 
 
 def load_history(
-    spark: SparkSession, store: TableStore, playback: str, cutoff: str = history.CLOCK_CUTOFF, **session_options
+    spark: SparkSession,
+    store: TableStore,
+    playback: str,
+    cutoff: str = history.CLOCK_CUTOFF,
+    num_days: int | None = None,
+    as_of: str | None = None,
+    **session_options,
 ) -> list[dict]:
-    """Raw events, sessions and statistics from the playback log; each table is replaced."""
-    events = history.normalize_tz(history.project_raw_event(landing.playback_log(spark, playback)), cutoff)
+    """Raw events, sessions and statistics from the playback log, or its last days; each table is replaced."""
+    log = landing.playback_log(spark, playback, num_days, as_of)
+    events = history.normalize_tz(history.project_raw_event(log), cutoff)
     metrics = [maintenance.sink_raw_events(store, events)]
     metrics.append(
         maintenance.sink_sessions(
@@ -108,6 +116,7 @@ def load_history(
     return metrics
 
 
+@job
 def refresh_watch_history(
     spark: SparkSession,
     store: TableStore,
@@ -118,20 +127,18 @@ def refresh_watch_history(
     """The nightly rebuild from empty tables; returns (table_name, rows, seconds).
 
     Genres come first because the library needs their ids, the library before the sessions because
-    they need its runtimes. With ``backup_root`` the previous state is copied there before anything
-    is replaced, and a failed copy stops the run.
+    they need its runtimes: completion ratios are right in the one write of the sessions. With
+    ``backup_root`` the previous state is copied there before anything is replaced, and a failed copy
+    stops the run. Versions that are no longer in force go at the end.
     """
+    names = schemas.REF_GENRE_TABLES + schemas.LIBRARY_TABLES + schemas.WATCH_HISTORY_TABLES
     if backup_root:
-        names = schemas.REF_GENRE_TABLES + schemas.LIBRARY_TABLES + schemas.WATCH_HISTORY_TABLES
         maintenance.snapshot_backup(store, names, backup_root)
     metrics = load_ref_genres(spark, store, paths, rebuild=True)
     metrics += load_library(spark, store, paths, rebuild=True)[0]
     metrics += load_history(spark, store, paths.playback, **options)
-    metrics.append(
-        store.overwrite(
-            "sessions", history.update_completion_ratios(store.read("sessions"), store.read("library_items"))
-        )
-    )
+    for name in names:
+        store.vacuum(name)
     return load_metrics(spark, metrics)
 
 
@@ -147,44 +154,48 @@ def _next_id(store: TableStore, name: str) -> int:
     return store.read(name).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
 
 
+@job
 def load_imdb_tables(
     spark: SparkSession, store: TableStore, files: dict[str, str], mode: str = "append"
 ) -> DataFrame:
     """Load the eight metadata tables; returns (table_name, rows, seconds).
 
     ``files`` maps each file-backed table of `tsv.FILES` to its path. Appending a key that is already
-    there is an error; ``mode="overwrite"`` replaces the tables instead. The two files that feed more
-    than one table are parsed into staging tables first and read from there.
+    there is an error; ``mode="overwrite"`` replaces the tables instead. Each file is parsed once. A null in
+    a required column, a text over its length or a repeated key stops the load before any table changes.
     """
     write = {"append": store.append, "overwrite": store.overwrite}[mode]
-    metrics = []
-    for name in schemas.STAGING_TABLES:
-        metrics.append(store.overwrite(name, tsv.read_tsv(spark, files[name], name)))
 
-    def lists(staging: str, column: str, alias: str) -> DataFrame:
-        return titles.lateral_split(store.read(staging), column, alias)
+    def parsed(name: str) -> DataFrame:
+        return cut_lineage(tsv.read_tsv(spark, files[name], name))
 
+    staged = {name: parsed(name) for name in schemas.STAGING_TABLES}
     rows = {
-        "directors": lists("crew_staging", "directors_csv", "n_const"),
-        "episodes": tsv.read_tsv(spark, files["episodes"], "episodes"),
-        "genres": lists("genres_staging", "genres", "genre"),
-        "persons": tsv.read_tsv(spark, files["persons"], "persons"),
-        "ratings": tsv.read_tsv(spark, files["ratings"], "ratings"),
-        "titles": tsv.read_tsv(spark, files["titles"], "titles"),
-        "writers": lists("crew_staging", "writers_csv", "n_const"),
-        "roles": tsv.read_tsv(spark, files["roles"], "roles"),
+        "directors": titles.lateral_split(staged["crew_staging"], "directors_csv", "n_const"),
+        "episodes": parsed("episodes"),
+        "genres": titles.lateral_split(staged["genres_staging"], "genres", "genre"),
+        "persons": parsed("persons"),
+        "ratings": parsed("ratings"),
+        "titles": parsed("titles"),
+        "writers": titles.lateral_split(staged["crew_staging"], "writers_csv", "n_const"),
+        "roles": parsed("roles"),
     }
-    for name, new in rows.items():
+    for name, new in (staged | rows).items():
         spec = schemas.TABLES[name]
-        if "id" in spec.schema.names:
-            new = with_row_ids(new, "id", _next_id(store, name) if mode == "append" else 0)
+        quality.require_valid(new, schemas.TableSpec(spec.schema, spec.not_null, (), spec.max_length), name)
         if spec.unique:
             keys = list(spec.unique[0])
             seen = new.select(*keys)
             if mode == "append":
                 seen = seen.unionByName(store.read(name).select(*keys))
-            quality.require_valid(seen, schemas.TableSpec(spec.schema, tuple(keys), spec.unique), name)
+            quality.require_valid(seen, schemas.TableSpec(spec.schema, (), spec.unique), name)
+    metrics = [store.overwrite(name, new) for name, new in staged.items()]
+    for name, new in rows.items():
+        if "id" in schemas.TABLES[name].schema.names:
+            new = with_row_ids(new, "id", _next_id(store, name) if mode == "append" else 0)
         metrics.append(write(name, new))
+    for name in (*staged, *rows):
+        store.vacuum(name)
     return load_metrics(spark, metrics)
 
 

@@ -31,7 +31,6 @@ class TableSpec:
     not_null: tuple[str, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
     max_length: dict[str, int] = field(default_factory=dict)
-    foreign_key: tuple[str, str, str] | None = None  # column, other table, other column
     sort_by: tuple[str, ...] = ()  # layout on disk, in place of an index
 
 
@@ -55,7 +54,6 @@ TABLES: dict[str, TableSpec] = {
             "total_seconds_watched", "session_count",
         ),
         unique=(("user_id", "item_id", "session_start_timestamp"),),
-        foreign_key=("item_id", "library_items", "item_id"),
         sort_by=("user_id", "session_end_timestamp"),
     ),
     "user_item_stats": TableSpec(
@@ -68,7 +66,6 @@ TABLES: dict[str, TableSpec] = {
         ),
         not_null=("user_id", "item_id", "total_sessions", "total_seconds_watched"),
         unique=(("user_id", "item_id"),),
-        foreign_key=("item_id", "library_items", "item_id"),
         sort_by=("user_id", "adherence_score"),
     ),
     "library_items": TableSpec(
@@ -84,20 +81,17 @@ TABLES: dict[str, TableSpec] = {
     ),
     "item_genres": TableSpec(
         _struct(uuid=_L, item_id=_S, genre_id=_L, genre_name=_S),
-        foreign_key=("item_id", "library_items", "item_id"),
         sort_by=("item_id",),
     ),
     "item_tags": TableSpec(
         _struct(item_id=_S, tag_id=_L, tag_name=_S),
         unique=(("item_id", "tag_id"),),
-        foreign_key=("item_id", "library_items", "item_id"),
         sort_by=("item_id",),
     ),
     "item_provider_ids": TableSpec(
         _struct(item_id=_S, provider=_S, provider_item_id=_S),
         not_null=("item_id", "provider", "provider_item_id"),
         unique=(("item_id", "provider"),),
-        foreign_key=("item_id", "library_items", "item_id"),
         sort_by=("provider", "item_id"),
     ),
     "movie_genres": TableSpec(_struct(id=_L, name=_S), ("id", "name"), (("id",), ("name",))),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,10 @@ SETTINGS = {
 }
 
 
+#: Folder of the job that is running, within the application's.
+_JOB_FOLDER: ContextVar[str] = ContextVar("job_folder", default="")
+
+
 def build_session(app_name: str = "reelmark", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -62,13 +69,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the application's own part of the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_JOB_FOLDER.get()}{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote there; call when no frame made from it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def job(run: Callable) -> Callable:
+    """For a job, a function of (spark, ...) whose result needs none of its steps: they go when it ends."""
+
+    @functools.wraps(run)
+    def cleaned(spark: SparkSession, *args, **options):
+        folder = f"{_JOB_FOLDER.get()}job-{uuid.uuid4().hex}/"
+        token = _JOB_FOLDER.set(folder)
+        try:
+            return run(spark, *args, **options)
+        finally:
+            _JOB_FOLDER.reset(token)
+            _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{folder}")
+
+    return cleaned
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
 def playback_log(spark: SparkSession, path: str, num_days: int | None = None, as_of: str | None = None) -> DataFrame:
     """Events of documents shaped {user name: [event, ...]}.
 
-    ``num_days`` keeps events dated within that many days before ``as_of`` (default: now). A user's
+    ``num_days`` keeps events dated within that many days up to ``as_of`` (default: today). A user's
     events may be spread over any number of documents, so no single line has to hold them all.
     """
     # A JSON object with free keys is a map; as plain text per line it parses with the map's schema.
@@ -34,7 +34,7 @@ def playback_log(spark: SparkSession, path: str, num_days: int | None = None, as
     if num_days is None:
         return events
     until = F.lit(as_of).cast("date") if as_of else F.current_date()
-    return events.where(F.to_date("date") >= F.date_sub(until, num_days))
+    return events.where(F.to_date("date").between(F.date_sub(until, num_days), until))
 
 
 def _in_place(spark: SparkSession, path: str, schema, items: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Parquet tables under one root, each write of a table being a new version folder.
 
 A table that is being read can thus be rewritten, and a version counts only once Spark's job commit
-has put its ``_SUCCESS`` marker there, so a lost job leaves the previous version in force.
+has put its ``_SUCCESS`` marker there, so a lost job leaves the previous version in force. An append is
+a folder of its own beside the version, which counts by the same rule.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelmark.schemas import TABLES
+from reelmark.session import cut_lineage
 
 
 class TableStore:
@@ -35,18 +38,28 @@ class TableStore:
         versions = self._versions(name)
         return f"{self.root}/{name}/version={versions[-1]}" if versions else None
 
+    def appended(self, name: str, version: int) -> list[str]:
+        """Folders of the rows added to a version since it was written."""
+        fs, pattern = self._fs(f"{self.root}/{name}/added={version}.*/_SUCCESS")
+        return sorted(s.getPath().getParent().toString() for s in fs.globStatus(pattern) or [])
+
     def exists(self, name: str) -> bool:
         return self.location(name) is not None
 
+    def in_one_folder(self, name: str) -> bool:
+        versions = self._versions(name)
+        return bool(versions) and not self.appended(name, versions[-1])
+
     # -- reading and writing
 
     def read(self, name: str) -> DataFrame:
         """The table; one that was never written is empty."""
-        location = self.location(name)
-        if location is None:
+        versions = self._versions(name)
+        if not versions:
             return empty(self.spark, TABLES[name].schema)
+        paths = [f"{self.root}/{name}/version={versions[-1]}", *self.appended(name, versions[-1])]
         reader = self.spark.read
-        return (reader.schema(TABLES[name].schema) if name in TABLES else reader).parquet(location)
+        return (reader.schema(TABLES[name].schema) if name in TABLES else reader).parquet(*paths)
 
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
         if name not in TABLES:
@@ -59,19 +72,17 @@ class TableStore:
             ]
         )
 
-    def _write(
-        self, name: str, rows: DataFrame, location: str, mode: str, compression: str, cluster: bool
-    ) -> dict:
-        """Write and count in one pass."""
+    def _write(self, name: str, rows: DataFrame, location: str, compression: str, cluster: bool) -> dict:
+        """Write and count in one pass; ``rows`` is worked out once."""
         typed = self._typed(name, rows)
         sort_by = TABLES[name].sort_by if cluster and name in TABLES else ()
         if sort_by:
             # Ranges over all sort columns: a hot user or item still spans several files, and row-group
-            # statistics do the work of an index.
-            typed = typed.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+            # statistics do the work of an index. Choosing the ranges reads the rows a first time, hence written ones.
+            typed = cut_lineage(typed).repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
         seen = Observation(f"write-{name}")
         started = time.perf_counter()
-        typed.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).option(
+        typed.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option(
             "compression", compression
         ).parquet(location)
         return {"table_name": name, "rows": seen.get["rows"], "seconds": time.perf_counter() - started}
@@ -83,14 +94,15 @@ class TableStore:
         """
         versions = self._versions(name)
         target = f"{self.root}/{name}/version={(versions[-1] if versions else 0) + 1}"
-        return self._write(name, rows, target, "overwrite", compression, cluster)
+        return self._write(name, rows, target, compression, cluster)
 
     def append(self, name: str, rows: DataFrame, compression: str = "zstd") -> dict:
-        """Add rows to the version in force."""
-        location = self.location(name)
-        if location is None:
+        """Add rows to the version in force; all of them are seen, or none."""
+        versions = self._versions(name)
+        if not versions:
             return self.overwrite(name, rows, compression)
-        return self._write(name, rows, location, "append", compression, cluster=True)
+        target = f"{self.root}/{name}/added={versions[-1]}.{uuid.uuid4().hex}"
+        return self._write(name, rows, target, compression, cluster=True)
 
     def truncate(self, name: str) -> dict:
         return self.overwrite(name, empty(self.spark, self.read(name).schema))
@@ -102,8 +114,9 @@ class TableStore:
     def vacuum(self, name: str) -> None:
         """Remove versions no longer in force; call when nothing reads them any more."""
         for version in self._versions(name)[:-1]:
-            fs, path = self._fs(f"{self.root}/{name}/version={version}")
-            fs.delete(path, True)
+            for folder in [*self.appended(name, version), f"{self.root}/{name}/version={version}"]:
+                fs, path = self._fs(folder)
+                fs.delete(path, True)
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:

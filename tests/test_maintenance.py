@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import sqlite3
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from reelmark.operators import maintenance
 from reelmark.plans import loads
+from reelmark.session import job, scratch_path
 from reelmark.sources import tsv
 from reelmark.sources.store import TableStore
 
@@ -37,6 +39,43 @@ def test_unfinished_version_is_ignored(spark, store, tmp_path):
     store.overwrite("tv_genres", spark.createDataFrame([(1, "A")], "id long, name string"))
     (tmp_path / "store" / "tv_genres" / "version=2").mkdir()
     assert rows(store.read("tv_genres")) == [(1, "A")]
+    # nor is an append whose job was lost half way
+    store.append("tv_genres", spark.createDataFrame([(2, "B")], "id long, name string"))
+    store.append("tv_genres", spark.createDataFrame([(3, "C")], "id long, name string"))
+    lost = next(f for f in (tmp_path / "store" / "tv_genres").glob("added=1.*") if "C" in str(spark.read.parquet(str(f)).collect()))
+    (lost / "_SUCCESS").unlink()
+    assert rows(store.read("tv_genres")) == [(1, "A"), (2, "B")]
+    assert not store.in_one_folder("tv_genres")
+    store.overwrite("tv_genres", store.read("tv_genres"))
+    assert store.in_one_folder("tv_genres") and rows(store.read("tv_genres")) == [(1, "A"), (2, "B")]
+
+
+def test_a_write_works_its_rows_out_once(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    stats = spark.range(500).selectExpr("cast(id % 7 as string) AS user_id", "cast(id as string) AS item_id", "id AS total_sessions")
+    counting = stats.mapInPandas(counted, stats.schema)
+    assert store.overwrite("user_item_stats", counting)["rows"] == 500
+    assert seen.value == 500
+
+
+def test_a_job_leaves_no_steps(spark):
+    paths = []
+
+    @job
+    def run(spark):
+        paths.append(scratch_path(spark, "step"))
+        spark.range(3).write.parquet(paths[0])
+        return spark.read.parquet(paths[0]).count()
+
+    assert run(spark) == 3
+    assert not os.path.exists(paths[0])
+    assert os.path.dirname(scratch_path(spark, "step")) == os.path.dirname(os.path.dirname(paths[0]))
 
 
 def test_raw_events_drop_nulls_keep_duplicates(spark, store):
@@ -154,6 +193,23 @@ def test_metadata_load(spark, store, files):
     assert len(set(ids)) == 4 and min(ids) > 0
 
 
+@pytest.mark.parametrize(
+    ("table", "line", "message"),
+    [
+        ("episodes", "tt3\t\\N\t1\t1", "parent_t_const"),
+        ("roles", "tt1\t1\t\\N\tactor\t\\N\t\\N", "n_const"),
+        ("titles", "tt3\t" + "x" * 50 + "\tOne\tOne\t0\t1999\t\\N\t90\tDrama", "type"),
+    ],
+)
+def test_declared_constraints_stop_the_load(spark, store, files, table, line, message):
+    loads.load_imdb_tables(spark, store, files)
+    with open(files[table], "a") as file:
+        file.write(line + "\n")
+    with pytest.raises(ValueError, match=message):
+        loads.load_imdb_tables(spark, store, files, mode="overwrite")
+    assert store.read("titles").count() == 2 and store.read("directors").count() == 2
+
+
 def test_nightly_refresh(spark, store, land, tmp_path):
     paths = loads.LandedPaths(
         playback=land("log", {"Ann": [
@@ -177,6 +233,8 @@ def test_nightly_refresh(spark, store, land, tmp_path):
     assert (session.total_seconds_watched, session.session_count, session.completion_ratio, session.outcome) == (900, 2, 0.9, "completed")
     assert store.read("user_item_stats").first().total_sessions == 1
     assert TableStore(spark, next(str(p) for p in (tmp_path / "bak").iterdir())).read("movie_genres").first().name == "Gone"
+    loads.load_history(spark, store, paths.playback, num_days=10, as_of="2025-08-31")  # the events come later
+    assert store.read("raw_events").count() == 0
     # half a catalogue must not prune the other half
     land("cat", {"TotalRecordCount": 2, "Items": [{"Id": "1", "Name": "One", "Type": "Movie"}]})
     with pytest.raises(ValueError, match="1 of 2"):
