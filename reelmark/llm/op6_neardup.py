@@ -2,19 +2,21 @@
 
 0. Equal vectors (by 128 bits of hash) are one class that stands for its copies, so a vector that a third of
    all rows hold is compared once; its copies link with each other and with whatever the class links with.
-1. Start: vectors that share a random-hyperplane signature meet in groups of bounded size, in several
-   tables; each keeps its ``LIST`` nearest.
+1. Start: vectors that share a random-hyperplane signature meet in groups of bounded size, in as many tables
+   as let a pair at the threshold miss all of them with chance ``MISS``; each keeps its ``LIST`` nearest.
 2. Descent: neighbours of a vector, taken both ways, are compared with each other and improve each
-   other's lists, round by round.
+   other's lists, round by round, until at most ``SETTLED`` of the lists change.
 3. Links of at least the threshold are joined to components. A list full of links is saturated: there may
-   be more. It is enlarged to its whole component, compared block by block with exact counts, so groups of
-   any size get every link, and no pair becomes a row. (All components are; a small one costs nothing.)
-4. Audit: the links of ``AUDIT`` vectors, taken by hash, are counted by brute force against all rows. While
-   less than ``RECALL`` of them was found, further tables are added.
+   be more. Those inside its component are counted exactly, block by block, and no pair becomes a row. For
+   those outside, vectors keep a second list, of the ``LIST`` nearest in other components, and steps 1 to 3 are
+   done again with components as they are now, until no list is full of links: each time components join.
+4. Audit, as a mean over vectors: the links of ``AUDIT`` vectors that have any, found by brute force against all
+   rows (up to ``ASKED`` are asked), and ``AUDIT`` planted vectors, each just within the threshold of a row's.
+   While less than ``RECALL`` of either was found, further tables are added; after ``ATTEMPTS`` the run fails.
 
-Groups that exceed a task's share are cut by hash into sub-groups; NN-descent does not need every pair
-of them, and step 3 restores what the cut lost. Vectors travel by join, nothing that grows is broadcast,
-and every step is a written table.
+Groups that exceed a task's share are cut by further hyperplanes, and by hash where these don't part them;
+NN-descent does not need every pair of them, and steps 2 and 3 restore what the cut lost. Vectors travel by
+join, nothing that grows is broadcast, and every step is a written table.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link with
 nothing and are their own component; vectors link only with those of as many components; repeated rows
@@ -24,6 +26,9 @@ there is none; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,24 +37,24 @@ from pyspark.sql import functions as F
 from reelmark.llm import graph, vectors
 from reelmark.session import cut_lineage
 
-LIST, TABLES, ROUNDS = 8, 8, 2
+LIST, TABLES, MISS, SETTLED = 8, 8, 0.01, 0.01  # TABLES at the least
 GROUP, NEAR, BLOCK = 256, 48, 1024  # rows of a signature aimed at; of a neighbourhood; of a component's block
-AUDIT, RECALL, ATTEMPTS = 200, 0.98, 4
+FURTHER = 24  # hyperplanes for signatures that too many rows share
+AUDIT, ASKED, RECALL, ATTEMPTS = 200, 12_800, 0.98, 8
 HOT, SALTS = 2048, 32  # copies of a class that are looked up by one task; keys that the copies of larger ones have
+LOG = logging.getLogger(__name__)
 
 
-def _best(unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, cosine) of each row's k nearest others."""
-    cos = unit @ unit.T
-    np.fill_diagonal(cos, -2.0)
-    n = len(cos)
-    k = min(k, n - 1)
+def _best(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, cosine) of each row's k nearest; those at -2 are none."""
+    k = min(k, len(cos) - 1)
     if k < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     j = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    i = np.repeat(np.arange(n), k)
+    i = np.repeat(np.arange(len(cos)), k)
     j = j.ravel()
-    return i, j, cos[i, j]
+    some = cos[i, j] > -2
+    return i[some], j[some], cos[i[some], j[some]]
 
 
 def _segments(table: pa.Table, *keys: str) -> list[np.ndarray]:
@@ -64,17 +69,28 @@ def _segments(table: pa.Table, *keys: str) -> list[np.ndarray]:
 
 
 def _pairs(table: pa.Table, keys: tuple[str, ...], floors: bool) -> pa.Table:
-    unit, rows = vectors.unit(vectors.matrix(table["x"])), table["row"].to_numpy()
-    floor = table["floor"].to_numpy() if floors else None
+    """(u, v, cos, away) of each group's nearest, among all and among those of other components (``away``)."""
+    unit, rows, roots = vectors.unit(vectors.matrix(table["x"])), table["row"].to_numpy(), table["root"].to_numpy()
     out = []
     for at in _segments(table, *keys):
-        i, j, cos = _best(unit[at], LIST)
+        cos = unit[at] @ unit[at].T
+        np.fill_diagonal(cos, -2.0)
+        cos[:, rows[at] < 0] = -2.0  # planted vectors are in no list
+        found = [_best(cos, LIST)]
+        root = roots[at]
+        if len(np.unique(root)) < len(root):
+            cos[root[:, None] == root] = -2.0
+            found.append(_best(cos, LIST))
+        i, j, near = (np.concatenate(c) for c in zip(*found))
+        away = root[i] != root[j]
         if floors:
-            better = (cos > floor[at][i]) & (rows[at][i] != rows[at][j])
-            i, j, cos = i[better], j[better], cos[better]
-        out.append((rows[at][i], rows[at][j], cos))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    return pa.table(dict(zip(("u", "v", "cos"), columns)))
+            floor = np.where(away, table["away_floor"].to_numpy()[at][i], table["floor"].to_numpy()[at][i])
+            better = near > floor
+            i, j, near, away = i[better], j[better], near[better], away[better]
+        out.append((rows[at][i], rows[at][j], near, away))
+    none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)]
+    columns = [np.concatenate(c) for c in zip(*out)] if out else none
+    return pa.table(dict(zip(("u", "v", "cos", "away"), columns)))
 
 
 def equal_classes(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,10 +128,12 @@ def by_class(named: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
-    """The LIST nearest of each vector."""
+    """The LIST nearest of each vector (``nth`` up to LIST), and the LIST nearest in other components (``away``)."""
     order = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
-    once = pairs.groupBy("u", "v").agg(F.max("cos").alias("cos"))
-    return cut_lineage(once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LIST).drop("_n"))
+    apart = Window.partitionBy("u", "away").orderBy(F.desc("cos"), "v")
+    once = pairs.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.max("away").alias("away"))
+    ranked = once.withColumns({"nth": F.row_number().over(order), "_n": F.row_number().over(apart)})
+    return cut_lineage(ranked.where((F.col("nth") <= LIST) | (F.col("away") & (F.col("_n") <= LIST))).drop("_n"))
 
 
 def _grouped(rows: DataFrame, group: list[str], most: int) -> DataFrame:
@@ -124,53 +142,108 @@ def _grouped(rows: DataFrame, group: list[str], most: int) -> DataFrame:
     return rows.join(sizes, group).withColumn("sub", F.pmod(F.xxhash64("row", *group), F.ceil(F.col("_size") / most)).cast("int")).drop("_size")
 
 
-def start(valid: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
-    """(u, v, cos) of vectors with the same signature."""
+def table_count(count: int, threshold: float) -> tuple[int, int]:
+    """(bits of a signature, tables): a pair at the threshold misses all tables with chance MISS at the most."""
     bits = max(2, (max(1, count // GROUP)).bit_length())
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, TABLES if meet >= 1 else max(TABLES, math.ceil(math.log(MISS) / math.log1p(-max(meet, 1e-3))))
+
+
+def start(placed: DataFrame, count: int, threshold: float, seed: int) -> DataFrame:
+    """(u, v, cos, away) of vectors with the same signature."""
+    bits, tables = table_count(count, threshold)
+    wide = bits + FURTHER
 
     def sign(batches):
         for batch in batches:
             x = vectors.matrix(batch.column(1))
-            planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits))
-            above = (x @ planes > 0).reshape(len(x), tables, bits)
-            signature = above @ (1 << np.arange(bits, dtype=np.int64))
+            draw = np.random.default_rng([seed, x.shape[1]])
+            signatures = []
+            for _ in range(tables):
+                above = x @ draw.standard_normal((x.shape[1], wide)) > 0
+                signatures.append(above @ (1 << np.arange(wide, dtype=np.int64)))
+            signature = np.stack(signatures, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(batch.column(0).to_numpy(), tables)),
                     pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))),
-                    pa.array(signature.ravel()),
+                    pa.array((signature & ((1 << bits) - 1)).ravel()),
+                    pa.array((signature >> bits).ravel()),
                 ],
-                names=["row", "tab", "sig"],
+                names=["row", "tab", "sig", "further"],
             )
 
-    dims = [r[0] for r in valid.select("dim").distinct().collect()]  # kinds of vectors, a few
+    dims = [r[0] for r in placed.select("dim").distinct().collect()]  # kinds of vectors, a few
     signed = None
     for dim in dims:
-        own = valid.where(F.col("dim") == dim).select("row", "x").mapInArrow(sign, "row long, tab int, sig long")
+        own = placed.where(F.col("dim") == dim).select("row", "x").mapInArrow(sign, "row long, tab int, sig long, further long")
         own = own.withColumn("dim", F.lit(dim))
         signed = own if signed is None else signed.unionByName(own)
-    met = _grouped(cut_lineage(signed), ["dim", "tab", "sig"], 4 * GROUP).join(valid.select("row", "x"), "row")
-    return met.groupBy("dim", "tab", "sig", "sub").applyInArrow(
-        lambda t: _pairs(t, ("tab",), False), "u long, v long, cos double"
+    signed = cut_lineage(signed)
+    group = ["dim", "tab", "sig"]
+    sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    cuts = F.least(F.lit(FURTHER), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_size") / (4 * GROUP))))).cast("int")
+    parted = signed.join(sizes, group).withColumn("part", F.pmod("further", F.pow(F.lit(2.0), cuts).cast("long")))
+    group = [*group, "part"]
+    met = _grouped(parted.drop("_size", "further"), group, 4 * GROUP).join(placed.select("row", "x", "root"), "row")
+    return met.groupBy(*group, "sub").applyInArrow(
+        lambda t: _pairs(t, ("tab",), False), "u long, v long, cos double, away boolean"
     )
 
 
-def descend(valid: DataFrame, lists: DataFrame) -> DataFrame:
+def descend(placed: DataFrame, lists: DataFrame) -> DataFrame:
     """One round: better pairs among the neighbours of each vector."""
     both = lists.select("u", F.col("v").alias("row")).unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("row")))
     both = both.unionByName(lists.select("u", F.col("u").alias("row"))).distinct()
+
+    def least(listed):
+        return F.when(F.count_if(listed) >= LIST, F.min(F.when(listed, F.col("cos")))).otherwise(F.lit(-2.0))
+
+    # The nearest elsewhere are the LIST best that are away; some of them may be among the LIST best of all.
     floors = lists.groupBy(F.col("u").alias("row")).agg(
-        F.when(F.count(F.lit(1)) >= LIST, F.min("cos")).otherwise(F.lit(-2.0)).alias("floor")
+        least(F.col("nth") <= LIST).alias("floor"), least(F.col("away")).alias("away_floor")
+    )
+    known = placed.select("row", "dim", "x", "root").join(floors, "row", "left").withColumns(
+        {c: F.coalesce(c, F.lit(-2.0)) for c in ("floor", "away_floor")}
     )
-    known = valid.select("row", "dim", "x").join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     near = _grouped(both, ["u"], NEAR)
     tasks = max(1, int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 8
     hub = F.pmod(F.xxhash64("u", "sub"), F.lit(tasks))
     return near.join(known, "row").groupBy("dim", hub.alias("task")).applyInArrow(
-        lambda t: _pairs(t, ("u", "sub"), True), "u long, v long, cos double"
+        lambda t: _pairs(t, ("u", "sub"), True), "u long, v long, cos double, away boolean"
     )
 
 
+def settle(placed: DataFrame, lists: DataFrame, count: int) -> DataFrame:
+    """Rounds of descent until few lists change."""
+    while True:
+        now = _lists(lists.drop("nth").unionByName(descend(placed, lists)))
+        changed = now.join(lists, ["u", "v"], "left_anti").select("u").distinct().count()
+        lists = now
+        if changed <= SETTLED * count:
+            return lists
+
+
+def place(probed: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Adds ``root``: a vector's component so far, at first itself."""
+    if members is None:
+        return cut_lineage(probed.withColumn("root", F.col("row")))
+    return cut_lineage(probed.join(members, "row", "left").withColumn("root", F.coalesce("root", "row")))
+
+
+def replaced(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """(u, v, cos, away) under new components."""
+    of = placed.select("row", "root")
+    u, v = (of.select(F.col("row").alias(c), F.col("root").alias(f"_{c}")) for c in "uv")
+    return lists.select("u", "v", "cos").join(u, "u").join(v, "v").select("u", "v", "cos", (F.col("_u") != F.col("_v")).alias("away"))
+
+
+def saturated(lists: DataFrame, threshold: float) -> bool:
+    """Whether some list of vectors in other components is full of links, so that there may be more."""
+    links = lists.where(F.col("away") & (F.col("cos") >= threshold) & (F.col("u") >= 0))
+    return not links.groupBy("u").count().where(F.col("count") >= LIST).isEmpty()
+
+
 def exact_links(valid: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(row, n_links) of the classes in components (row, root): every pair of a component once, in blocks."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
@@ -204,31 +277,71 @@ def exact_links(valid: DataFrame, members: DataFrame, threshold: float) -> DataF
     return joined.groupBy("dim", "task").applyInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links"))
 
 
-def audit(valid: DataFrame, links: DataFrame, threshold: float, seed: int) -> float:
-    """The share of true links found, over the links of ``AUDIT`` classes with all rows by brute force."""
-    asked = valid.orderBy(F.xxhash64("row", F.lit(seed))).limit(AUDIT).select("row", "dim", "x").collect()
-    by_dim: dict[int, list] = {}
-    for r in asked:
-        by_dim.setdefault(r["dim"], []).append(r["x"])
-    rows = {d: [r["row"] for r in asked if r["dim"] == d] for d in by_dim}
-    units = {d: vectors.unit(np.array(xs, np.float64)) for d, xs in by_dim.items()}
+def _asked(valid: DataFrame, count: int, most: int, seed: int) -> pa.Table:
+    """About ``most`` vectors, by hash."""
+    share = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, most / count) * (1 << 30))
+    return valid.where(share).select("row", "dim", "x").orderBy("row").toArrow()
+
+
+def planted(valid: DataFrame, count: int, threshold: float, seed: int) -> DataFrame | None:
+    """Vectors just within the threshold of some rows', as rows below 0 that stand for no copies."""
+    asked = _asked(valid, count, AUDIT, seed + 1)
+    cos, draw, rows = min(1.0, threshold + 1e-4), np.random.default_rng(seed), []
+    for at in _segments(asked, "dim"):
+        x = vectors.unit(vectors.matrix(asked["x"].take(pa.array(at))))
+        if x.shape[1] < 2:
+            continue
+        other = draw.standard_normal(x.shape)
+        other = vectors.unit(other - (other * x).sum(axis=1, keepdims=True) * x)
+        rows += [(-1 - len(rows) - k, v.tolist(), x.shape[1], 0) for k, v in enumerate(cos * x + math.sqrt(1 - cos * cos) * other)]
+    if not rows:
+        return None
+    made = valid.sparkSession.createDataFrame(rows, "row long, x array<double>, dim int, copies long")
+    kind = valid.schema["x"].dataType.simpleString()
+    return cut_lineage(made.withColumn("x", F.col("x").cast(kind)) if kind == "array<float>" else made)
+
+
+def linked(valid: DataFrame, count: int, threshold: float, seed: int) -> DataFrame:
+    """(row, copies, actual) of about AUDIT classes that link with others; ``actual`` counts their links, by brute force."""
+    most = AUDIT
+    while True:
+        asked = _asked(valid, count, most, seed)
+        units = {}
+        for at in _segments(asked, "dim"):
+            own = asked.take(pa.array(at))
+            units[own["dim"][0].as_py()] = (own["row"].to_numpy(), vectors.unit(vectors.matrix(own["x"])))
+
+        def tally(batches, units=units):
+            for batch in batches:
+                for at in _segments(pa.table({"dim": batch.column(2)}), "dim"):
+                    dim = batch.column(2)[int(at[0])].as_py()
+                    if dim not in units:
+                        continue
+                    rows, asking = units[dim]
+                    given = vectors.unit(vectors.matrix(batch.column(1).take(pa.array(at)))).T
+                    copies = batch.column(3).to_numpy()[at]
+                    for k in range(0, len(rows), BLOCK):
+                        found = (asking[k : k + BLOCK] @ given >= threshold) @ copies
+                        some = found > 0
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(rows[k : k + BLOCK][some], pa.int64()), pa.array(found[some], pa.int64())], names=["row", "n"]
+                        )
+
+        sums = valid.select("row", "x", "dim", "copies").mapInArrow(tally, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
+        # Copies are no finding: only links with other classes count.
+        true = cut_lineage(
+            sums.join(valid.select("row", "copies"), "row").select("row", "copies", (F.col("n") - F.col("copies")).alias("actual")).where("actual > 0")
+        )
+        if most >= min(count, ASKED) or true.count() >= AUDIT:
+            return true
+        most *= 8
 
-    def count(batches):
-        for batch in batches:
-            for at in _segments(pa.table({"dim": batch.column(2)}), "dim"):
-                dim = batch.column(2)[int(at[0])].as_py()
-                if dim in units:
-                    hits = units[dim] @ vectors.unit(vectors.matrix(batch.column(1).take(pa.array(at)))).T >= threshold
-                    found = hits @ batch.column(3).to_numpy()[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[dim], pa.int64()), pa.array(found)], names=["row", "n"])
-
-    true = valid.select("row", "x", "dim", "copies").mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
-    # Copies are no finding: only links with other classes count.
-    known = true.join(valid.select("row", "copies"), "row").join(links, "row", "left").select(
-        (F.col("n") - F.col("copies")).alias("true"), (F.coalesce("n_links", F.col("copies") - 1) + 1 - F.col("copies")).alias("found")
-    )
-    both = known.agg(F.sum("true"), F.sum(F.least("true", "found"))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+
+def audit(true: DataFrame, links: DataFrame) -> float:
+    """The share of a vector's true links that were found, as a mean over vectors that have any; 1 if none has."""
+    found = F.coalesce("n_links", F.col("copies") - 1) + 1 - F.col("copies")
+    mean = true.join(links, "row", "left").agg(F.avg(F.least("actual", found) / F.col("actual"))).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95, *, id_column: str = "vec_id", vector: str = "embedding", seed: int = 41) -> DataFrame:
@@ -237,16 +350,31 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, *, id_column: str
     valid, named, classes = equal_classes(every)
     count = valid.count()
     links = members = lists = None
-    for attempt in range(ATTEMPTS if count else 0):
-        found = start(valid, count, TABLES, seed + attempt)
-        lists = _lists(found if lists is None else lists.unionByName(found))
-        for _ in range(ROUNDS):
-            lists = _lists(lists.unionByName(descend(valid, lists)))
-        members = graph.components(lists.where(F.col("cos") >= threshold).select("u", "v")).withColumnRenamed("node", "row")
-        members = cut_lineage(members)
-        links = cut_lineage(exact_links(valid, members, threshold))
-        if audit(valid, links, threshold, seed) >= RECALL:
-            break
+    if count:
+        probes, true = planted(valid, count, threshold, seed), linked(valid, count, threshold, seed)
+        probed = valid if probes is None else valid.unionByName(probes)
+        probe_count = 0 if probes is None else probes.count()
+        searches, attempts, recall = 0, 0, 0.0
+        placed = place(probed, None)
+        while recall < RECALL:
+            found = start(placed, count, threshold, seed + searches)
+            lists = settle(placed, _lists(found if lists is None else replaced(lists, placed).unionByName(found)), count)
+            searches += 1
+            near = lists.where((F.col("cos") >= threshold) & (F.col("u") >= 0)).select("u", "v")
+            ties = near if members is None else near.unionByName(members.select(F.col("row").alias("u"), F.col("root").alias("v")))
+            members = cut_lineage(graph.components(ties).withColumnRenamed("node", "row"))
+            full = saturated(lists, threshold)
+            placed = place(probed, members)
+            if full:
+                continue
+            links = cut_lineage(exact_links(valid, members, threshold))
+            seen = lists.where((F.col("u") < 0) & (F.col("cos") >= threshold - 1e-6)).select("u").distinct().count()
+            natural, made = audit(true, links), seen / probe_count if probe_count else 1.0
+            recall = min(natural, made)
+            LOG.info("recall %.4f of %d vectors with links, %.4f of %d planted, after %d searches", natural, true.count(), made, probe_count, searches)
+            attempts += 1
+            if recall < RECALL and attempts == ATTEMPTS:
+                raise RuntimeError(f"near duplicates: recall {recall:.4f} is below {RECALL} after {searches} searches")
     if links is None:
         judged = named.select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     else:
