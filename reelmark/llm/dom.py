@@ -13,6 +13,8 @@ INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr br input".split()
 )
+#: Elements that can stand in a head; the start tag of any other, or text, ends it, as its end tag may be left out.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: A start tag (key) ends these open elements, up to the nearest of the bounds.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -79,6 +81,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     at = 0
     for m in TOKEN.finditer(page):
+        if m.start() > at and stack[-1][0] == "head" and page[at : m.start()].strip():
+            end({"head"})
         if m.start() > at and not skipped:
             piece = page[at : m.start()]
             text.append(piece)
@@ -93,6 +97,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name not in VOID:
                 end({name})
             continue
+        if skipped == 1 and name not in HEAD:
+            end({"head"})
         if name in VOID:
             if name in ("br", "hr", "img"):
                 text.append(" ")
@@ -106,6 +112,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             end(*ENDS[name])
         if name in ("html", "body") and len(stack) > 1 and any(s == name for s, _ in stack):
             continue
+        if name == "head" and any(s in ("head", "body") for s, _ in stack):
+            continue
         if m["attrs"].rstrip().endswith("/") and name in ("path", "use"):
             continue
         block = stack[-1][1]
@@ -116,6 +124,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         stack.append((name, block))
         skipped += name in SKIPPED
         links += name == "a"
+    if at < len(page) and stack[-1][0] == "head" and page[at:].strip():
+        end({"head"})
     if at < len(page) and not skipped:
         text.append(page[at:])
     while len(stack) > 1:
