@@ -16,11 +16,17 @@ from reelmark.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
 HAS_WORD = r"[^\x20\x09-\x0D]"
+HAS_LETTER = r"\p{L}"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (no text, no letters) go; a missing label becomes the predicted one."""
+    """Documents without any language (no text, no letters) go; a missing label becomes the predicted one.
+
+    Where no label can be learned, so that none can be predicted, it stays null.
+    """
     model = op7_language.fit(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)))
     judged = op7_language.identify(docs, model).where(F.col("lang_pred") != op7_language.UNKNOWN)
     named = F.col("doc").withField("lang", F.coalesce("doc.lang", "lang_pred"))
     return judged.select(named.alias("doc")).select("doc.*")
