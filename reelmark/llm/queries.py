@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm import op1_mix, op2_pack, op3_urls, op4_search, op5_shard, op6_neardup, op8_jaccard, op9_extract, op10_counts
-from reelmark.llm import op12_chat
+from reelmark.llm import op12_chat, op13_repair
 from reelmark.llm import op7_language as op7_language_id
 from reelmark.llm.frames import table
 
@@ -203,3 +203,85 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(coalesce(sum(so_far) FILTER (role = 'assistant' OR pos = size), 0) AS BIGINT) AS formatted_chars
 FROM summed GROUP BY conv_id
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_repair.repair(op13_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def _repair_sql() -> str:
+    """The same cheapest edits by recursion over the rows, with whole strings for lists."""
+
+    def then(place: str, cost: str, letter: str, said: str | None = None) -> str:
+        parts = f"{place}.c + {cost}, 'a': {place}.a || '{letter}', 't': {place}.t"
+        return f"{{'c': {parts}" + (f" || CASE WHEN {place}.t = '' THEN '' ELSE chr(10) END || {said}}}" if said else "}")
+
+    def least(*ways: str) -> str:
+        return f"list_min(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL))"
+
+    def going(condition: str, way: str) -> str:
+        return f"CASE WHEN {condition} THEN {way} END"
+
+    kept, extra, said = "NOT r.gone", "r.extra", "r.role || ':' || r.text"
+    user, reply = "'user:' || r.text", "'assistant:' || r.text"
+    to_user = [going(f"{kept} AND r.initial = 'u'", then(f"d.p{i}", extra, "K", said)) for i in (0, 1, 3)]
+    to_user += [going(kept, then(f"d.p{i}", f"3 + {extra}", "R", user)) for i in (0, 1, 3)]
+    step = [
+        least(then("d.p0", "4", "D")),
+        least(then("d.p1", "4", "D"), going(f"{kept} AND r.initial = 's'", then("d.p0", extra, "K", said))),
+        least(then("d.p2", "4", "D"), *to_user),
+        least(
+            then("d.p3", "4", "D"), going(f"{kept} AND r.initial = 'a'", then("d.p2", extra, "K", said)),
+            going(kept, then("d.p2", f"3 + {extra}", "R", reply)),
+        ),
+    ]
+    put_user = least("n2", *(then(f"n{i}", "3", "I", "'user:'") for i in (0, 1, 3)))
+    put_reply = least("n3", then("p2", "3", "I", "'assistant:'"))
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+    return rf"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), bytes AS (SELECT DISTINCT k, 4294967295::UBIGINT AS crc, 1 AS i FROM hit
+), crcs AS (
+  SELECT k, crc, i FROM bytes UNION ALL
+  SELECT k, list_reduce([xor(crc, ascii(k[i])::UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+    lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END), i + 1 FROM crcs WHERE i <= length(k)
+), kinds AS (
+  SELECT k, xor(max_by(crc, i), 4294967295::UBIGINT) % 20 AS kind FROM crcs GROUP BY k
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit JOIN kinds USING (k) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged
+), judged AS (
+  SELECT *, bare = '' AS is_blank, bare <> '' AND again AS is_copy, bare <> '' AND NOT again AND NOT regexp_matches(bare, '[.!?]$') AS is_cut,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM placed
+), rows AS (SELECT *, is_blank OR is_copy AS gone, CASE WHEN is_cut THEN 3 ELSE 0 END AS extra FROM judged
+), places AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS p0, {none} AS p1,
+    {{'c': 3::BIGINT, 'a': 'I', 't': 'user:'}} AS p2, {{'c': 6::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS p3 FROM rows
+  UNION ALL
+  SELECT conv_id, pos, n0, n1, p2, {put_reply} FROM (
+    SELECT *, {put_user} AS p2 FROM (
+      SELECT r.conv_id, r.pos, {', '.join(f'{way} AS n{i}' for i, way in enumerate(step))}
+      FROM places d JOIN rows r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.pos = d.pos + 1) ways) users
+), ends AS (SELECT conv_id, max_by({least('p0', 'p3')}, pos) AS best FROM places GROUP BY conv_id
+), faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+    count(*) FILTER (is_copy) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_sql()
