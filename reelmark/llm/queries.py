@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm import op1_mix, op2_pack, op3_urls, op4_search, op5_shard, op6_neardup, op8_jaccard, op9_extract, op10_counts
-from reelmark.llm import op12_chat, op13_repair
+from reelmark.llm import op11_phrases, op12_chat, op13_repair
 from reelmark.llm import op7_language as op7_language_id
 from reelmark.llm.frames import table
 
@@ -256,11 +256,12 @@ WITH RECURSIVE hit AS (
     unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit JOIN kinds USING (k) WHERE kind <> 0
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
     regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged
+), told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed
 ), judged AS (
   SELECT *, bare = '' AS is_blank, bare <> '' AND again AS is_copy, bare <> '' AND NOT again AND NOT regexp_matches(bare, '[.!?]$') AS is_cut,
-    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM placed
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM told
 ), rows AS (SELECT *, is_blank OR is_copy AS gone, CASE WHEN is_cut THEN 3 ELSE 0 END AS extra FROM judged
 ), places AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS p0, {none} AS p1,
@@ -285,3 +286,36 @@ LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e
 
 
 ORACLES["op13_conversation_repair"] = _repair_sql()
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size
+), f AS (SELECT lang, phrase, size, count(*) AS c FROM grams GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), candidates AS (SELECT lang, phrase, size, c AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND c >= 30
+), cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+  SELECT t.lang, t.phrase, t.a, t.w, t.k, x.c AS l, y.c AS r, CAST(2000000::HUGEINT * t.a // (x.c + y.c) AS BIGINT) AS score FROM cuts t
+  JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(t.w[:k], ' ') JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(t.w[k + 1:], ' ')
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_sizes AS (SELECT *, unnest(range(2, size)) AS short FROM candidates WHERE size > 2
+), covers AS (
+  SELECT lang, unnest(list_transform(range(1, size - short + 2), lambda i: array_to_string(w[i:i + short - 1], ' '))) AS phrase, a AS most FROM inner_sizes
+), most AS (SELECT lang, phrase, max(most) AS most FROM covers GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN most m ON m.lang = w.lang AND m.phrase = w.phrase WHERE m.most IS NULL OR 100::HUGEINT * m.most < 80::HUGEINT * w.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
