@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,11 +27,9 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
-    re.S | re.I,
-)
+OPENING = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)")
+RAW_OPENING = re.compile(r"<(" + "|".join(RAW) + r")\b", re.I)
+RAW_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 MARKS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 BLANKS = re.compile(r"\s+")
 
@@ -44,11 +44,56 @@ class Node:
         self.chars = self.linked = 0
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of ``>`` and quotes, and where a tag ends that reads on from there outside quotes; -1 if nowhere.
+
+    One pass from the back, so that tags without an end cost no search each.
+    """
+    places = [m.start() for m in re.finditer("[>\"']", page)]
+    ends, same = [-1] * (len(places) + 1), {}
+    for i in range(len(places) - 1, -1, -1):
+        sign = page[places[i]]
+        if sign == ">":
+            ends[i] = places[i] + 1
+        else:
+            if sign in same:
+                ends[i] = ends[same[sign] + 1]
+            same[sign] = i
+    return places, ends
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of tags in order; comments and the like have no name. Linear in the page."""
+    places, ends = _tag_ends(page)
+    last = page.rfind(">")
+    at = page.find("<")
+    while 0 <= at:
+        stop, name, closing, attributes = -1, "", False, ""
+        raw, tag = RAW_OPENING.match(page, at), OPENING.match(page, at)
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            stop = len(page) if stop < 0 else stop + 3
+        elif at < last:
+            if tag:
+                stop = ends[bisect_left(places, tag.end())]
+            if raw and stop > 0:
+                close = RAW_CLOSING[raw[1].lower()].search(page, stop)
+                stop = close.end() if close else len(page)
+            elif tag and stop > 0:
+                name, closing, attributes = tag["name"].lower(), bool(tag["close"]), page[tag.end() : stop - 1]
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                stop = page.find(">", at + 1) + 1
+        if stop > 0:
+            yield at, stop, name, closing, attributes
+        at = page.find("<", max(stop, at + 1))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Blocks, parents before children, and (block, text) runs in page order; the root is block 0."""
     nodes = [Node("html", "", -1)]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block they are in
+    places: dict[str, list[int]] = {"html": [0]}  # of each name in the stack
     skipped = links = 0
     text: list[str] = []
 
@@ -69,31 +114,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         skipped -= name in SKIPPED
         links -= name == "a"
         stack.pop()
+        places[name].pop()
+
+    def is_open(name: str) -> bool:
+        return bool(places.get(name))
+
+    def topmost(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def end(names, bounds=frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in bounds:
-                return
+        found = topmost(names)
+        if found > max(0, topmost(bounds)):
+            while len(stack) > found:
+                pop()
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and stack[-1][0] == "head" and page[at : m.start()].strip():
+    for start, stop, name, closing, attributes in _tokens(page):
+        if start > at and stack[-1][0] == "head" and page[at:start].strip():
             end({"head"})
-        if m.start() > at and not skipped:
-            piece = page[at : m.start()]
+        if start > at and not skipped:
+            piece = page[at:start]
             text.append(piece)
             if links:
                 nodes[stack[-1][1]].linked += len(piece)
-        at = m.end()
-        name = m["name"]
+        at = stop
         if not name:
             continue
-        name = name.lower()
-        if m["close"]:
+        if closing:
             if name not in VOID:
                 end({name})
             continue
@@ -110,17 +157,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
         if name in ENDS:
             end(*ENDS[name])
-        if name in ("html", "body") and len(stack) > 1 and any(s == name for s, _ in stack):
+        if name in ("html", "body") and len(stack) > 1 and is_open(name):
             continue
-        if name == "head" and any(s in ("head", "body") for s, _ in stack):
+        if name == "head" and (is_open("head") or is_open("body")):
             continue
-        if m["attrs"].rstrip().endswith("/") and name in ("path", "use"):
+        if attributes.rstrip().endswith("/") and name in ("path", "use"):
             continue
         block = stack[-1][1]
         if name not in INLINE:
-            marks = " ".join(a or b or c for a, b, c in MARKS.findall(m["attrs"])) if m["attrs"] else ""
+            marks = " ".join(a or b or c for a, b, c in MARKS.findall(attributes)) if attributes else ""
             nodes.append(Node(name, marks.lower(), block))
             block = len(nodes) - 1
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, block))
         skipped += name in SKIPPED
         links += name == "a"

@@ -31,3 +31,15 @@ def test_extracted_text_does_not_need_the_end_of_the_head():
     model = op9_extract.Model([op9_extract.skeleton(s) for s in op9_extract.SKELETONS])
     page = "<html><head><title>T</title>{}<body><article><h1>One</h1><p>Two three four, and five.</p></article></body></html>"
     assert model.text(page.format("")) == model.text(page.format("</head>")) == "One\n\nTwo three four, and five."
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    from reelmark.llm import dom
+
+    for page in ("<a " * 350_000, "<b></p>x" * 120_000, "<p><button>" + "<b>" * 60_000 + "<ul>" * 60_000, "<a '\">" * 150_000, "<!x" * 300_000):
+        started = time.perf_counter()
+        dom.parse(page)
+        assert time.perf_counter() - started < 8
+    assert "".join(t for _, t in dom.parse("<a " * 3 + "x")[1]) == "<a <a <a x"
