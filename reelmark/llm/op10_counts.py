@@ -1,6 +1,6 @@
 """Token counts: pieces are counted once per distinct pre-token, then joined to the documents' frequencies.
 
-A task takes its documents in bounded blocks. Pre-tokens are found and hashed in numpy; those not met
+A task takes its documents in bounded blocks. Pre-tokens are found in numpy; those not met
 before in the task go through the vocabulary's merges once, for their number of pieces; a document's
 count is the sum over its pre-tokens. No ids are made and nothing is shuffled: a join of all (document,
 pre-token) rows over the network would move several times the input (README).
@@ -81,7 +81,7 @@ class Counter:
             whole, points, doc_starts = pretokens.joined([p or "" for p in plain])
             starts, ends = pretokens.word_spans(points, doc_starts)
             if len(starts):
-                pieces = self.known.of(whole, starts, ends, self._hashes(points, starts, ends))
+                pieces = self.known.of(whole, points, starts, ends)
                 sums = np.concatenate([[0], np.cumsum(pieces)])
                 at = np.searchsorted(starts, doc_starts)
                 out[first:end] = sums[at[1:]] - sums[at[:-1]]
@@ -90,10 +90,6 @@ class Counter:
                     out[first + i] = len(self.library.encode(texts[first + i], add_special_tokens=False))
         return out
 
-    @staticmethod
-    def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return pretokens.span_hashes(pretokens._char_values()[points], starts, ends)
-
 
 def token_counts(docs: DataFrame, path: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every document."""

@@ -77,26 +77,28 @@ class Ids:
         self.library, self.specials, self.merge = tokenizer(path), specials(path), merge(path)
         self.known = pretokens.Known(self._add)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.places = np.zeros(1, np.int64)  # where the ids of each known pre-token end
 
     def _add(self, tokens: list[str]) -> np.ndarray:
-        """Stores the ids of the tokens; returns place * 2**24 + number of each."""
+        """Stores the ids of the tokens; returns the number of each."""
         lists = [[p.id for p in self.merge(t)] for t in tokens]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, size.sum())
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(self.used, len(new)), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
-        place = self.used + np.cumsum(size) - size
+        first = len(self.places) - 1
+        self.places = np.concatenate([self.places, self.used + np.cumsum(size)])
         self.used += len(new)
-        return place << 24 | size
+        return np.arange(first, first + len(size))
 
     def of(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids after each other, ``end`` after each text; where each text's ids end."""
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
         whole, points, doc_starts = pretokens.joined(["" if i in odd else t for i, t in enumerate(texts)])
         starts, stops = pretokens.byte_spans(points, doc_starts)
-        found = self.known.of(whole, starts, stops, pretokens.span_hashes(pretokens._char_values()[points], starts, stops))
-        place, size = found >> 24, found & ((1 << 24) - 1)
+        found = self.known.of(whole, points, starts, stops)
+        place, size = self.places[found], self.places[found + 1] - self.places[found]
         sums = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(place - sums[:-1], size) + np.arange(sums[-1])]
         ends = sums[np.searchsorted(starts, doc_starts[1:])]
@@ -110,7 +112,7 @@ class Ids:
             return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
         if self.used > 1 << 23:  # forget: the arrays above are copies
             self.known = pretokens.Known(self._add)
-            self.used = 0
+            self.used, self.places = 0, np.zeros(1, np.int64)
         return np.insert(flat, ends, parts).astype(np.uint32), ends + np.arange(1, len(texts) + 1)
 
 

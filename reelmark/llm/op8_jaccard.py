@@ -34,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.llm import graph, pretokens
@@ -54,14 +55,22 @@ MU = 0.0085  # DivideSkip's published constant for choosing how many long lists
 # ---- sets --------------------------------------------------------------------------------
 
 
-def _byte_values() -> np.ndarray:
-    lower = np.arange(256)
-    lower[65:91] += 32
-    return pretokens.mixed((lower + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
 
-BYTE_VALUES = _byte_values()
-IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxhash64 of each word; worked out once a distinct word."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    which, words = pretokens.distinct(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))[which]
+
+
+def _chained(so_far: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of the words so far and one more; not a polynomial, so no pattern of words cancels out."""
+    return pretokens.mixed(so_far * np.uint64(0x9E3779B97F4A7C15) ^ word)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -78,21 +87,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    words = pretokens.span_hashes(BYTE_VALUES[data], starts, ends)
+    words = _word_hashes(LOWER[data], starts, ends)
     first = np.searchsorted(starts, offsets)
     grams = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        grams = grams * pretokens.BASE + words[k : len(words) - WORDS + 1 + k]
-    grams = pretokens.mixed(grams)
+        grams = _chained(grams, words[k : len(words) - WORDS + 1 + k])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WORDS:
             out.append(np.unique(grams[a : b - WORDS + 1]))
         elif b > a:
-            value = np.uint64(b - a)
+            value = np.array([b - a], np.uint64)
             for w in words[a:b]:
-                value = (value * pretokens.BASE + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
-            out.append(pretokens.mixed(np.array([value], np.uint64)))
+                value = _chained(value, w)
+            out.append(value)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -240,12 +248,7 @@ def ties(sets: list[np.ndarray], block: list[int] | None = None) -> list[tuple[i
 # ---- the join ----------------------------------------------------------------------------
 
 
-def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
-    """Follows from id and text alone, so it is the same in every reading of a table."""
-    return F.xxhash64(id_column, text)
-
-
-def _documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+def _documents(docs: DataFrame, id_column: str, text: str, key: str | None) -> DataFrame:
     """row, id, key, n, print, and the listed hashes, which copies in a task leave out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +274,7 @@ def _documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"),
-        row_key(id_column, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        (F.col(key) if key else F.lit(None)).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     return rows.mapInArrow(work, "row long, id long, key long, n long, print long, listed array<long>")
 
@@ -329,13 +332,13 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
     """(id, key, n_shingles, component_id, kept): kept is true of one row of each component.
 
-    ``key`` is `row_key`, by which a caller finds the rows again.
+    ``key`` names a column with a number for each row, by which a caller finds the rows again; without it, it is null.
     """
     spark = docs.sparkSession
-    whole, path = written(_documents(docs, id_column, text), "listed")
+    whole, path = written(_documents(docs, id_column, text, key), "listed")
     found = cut_lineage(whole.drop("listed"))
     classes = cut_lineage(
         found.where("n > 0").groupBy(F.col("print").alias("node")).agg(

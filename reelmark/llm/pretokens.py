@@ -2,7 +2,7 @@
 
 A vocabulary's pre-tokenizer splits text into runs of letters, numbers, other signs and white space. Here
 the code points of a block of documents are classed by table, token starts and ends follow from where
-classes change, and every token gets a 64-bit hash of its code points. A block is bounded, whatever the
+classes change, and equal tokens are found by their bytes. A block is bounded, whatever the
 documents: `blocks` cuts between documents, and one document is the least it can hold.
 """
 
@@ -14,14 +14,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK_CHARS = 3 << 20
 #: Classes of code points.
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 #: The endings that a split apostrophe takes along.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @functools.lru_cache(1)
@@ -44,24 +43,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(1)
-def _char_values() -> np.ndarray:
-    return mixed(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-@functools.lru_cache(2)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of spans of UTF-8 bytes that follow each other: which of the distinct ones each is, and these. Equal means equal bytes."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1  # a span that starts where another ends stays inside
+    held = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int32 if len(held) < 1 << 31 else np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+    spans = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, from one running sum."""
-    n = max(BLOCK_CHARS + (1 << 16), 1 << (len(values) + 1).bit_length() if len(values) > BLOCK_CHARS else 0)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(n, int(BASE))[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _powers(n, int(INVERSE))[starts] + (ends - starts).astype(np.uint64))
+def byte_places(points: np.ndarray) -> np.ndarray:
+    """Where each code point, and the end, lies in the UTF-8 form."""
+    places = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80).view(np.int8) + (points >= 0x800).view(np.int8) + (points >= 0x10000).view(np.int8), out=places[1:])
+    return places
 
 
 def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -142,30 +141,25 @@ def byte_spans(points: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray,
 
 
 class Known:
-    """Results per distinct token, found by its hash; forgets everything once it holds ``limit`` tokens.
+    """Results per distinct token; forgets everything once it holds ``limit`` tokens.
 
     ``work`` maps a list of distinct token strings to an array with a value each.
     """
 
     def __init__(self, work, limit: int = 1 << 19):
         self.work, self.limit = work, limit
-        self.keys, self.values = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.values: dict[bytes, int] = {}
 
-    def of(self, whole: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def of(self, whole: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The value of each token; ``work`` sees every token not known yet once."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == distinct[known]
-        values = np.empty(len(distinct), np.int64)
-        values[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            values[new] = self.work([whole[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            if len(self.keys) + len(new) > self.limit:
-                self.keys, self.values = distinct, values
-            else:
-                keys = np.concatenate([self.keys, distinct[new]])
-                order = np.argsort(keys)
-                self.keys, self.values = keys[order], np.concatenate([self.values, values[new]])[order]
-        return values[back]
+        if not len(starts):
+            return np.empty(0, np.int64)
+        places = byte_places(points)
+        which, tokens = distinct(np.frombuffer(whole.encode(), np.uint8), places[starts], places[ends])
+        tokens = tokens.to_pylist()
+        new = [t for t in tokens if t not in self.values]
+        if new:
+            if len(self.values) + len(new) > self.limit:
+                self.values, new = {}, tokens
+            self.values.update(zip(new, self.work([t.decode() for t in new]).tolist()))
+        return np.fromiter((self.values[t] for t in tokens), np.int64, len(tokens))[which]
