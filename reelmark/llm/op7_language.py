@@ -6,7 +6,7 @@ phrases (times the bits that name a place in the training text), the closer the
 needing fewest normalised phrases wins.
 
 Fitting reads a bounded sample: at most ``DOCS`` documents a language, the least hashes of as many buckets,
-and ``LETTERS`` letters of them; both are parameters. Everything else runs over whole texts: letters are
+and ``LETTERS`` letters of them, of a long text `RUNS` runs that lie evenly over all of it. Everything else runs over whole texts: letters are
 lower-cased, all else is a blank; automata are dense tables, and numpy parses many lanes of at most
 ``LANE`` signs side by side, each lane starting a new phrase.
 
@@ -30,6 +30,7 @@ from reelmark.llm import pretokens
 from reelmark.session import cut_lineage
 
 DOCS, LETTERS, LANE = 64, 20_000, 1024
+RUNS = 4  # parts of a long text, evenly over all of it, that the sample takes
 UNKNOWN = "und"
 
 
@@ -47,6 +48,14 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return kept[use], np.concatenate([[0], np.cumsum(use)])[starts[1:]]
 
 
+def spread(points: np.ndarray, most: int, runs: int = RUNS) -> list[np.ndarray]:
+    """All, or ``most`` of them in runs that lie evenly over the whole."""
+    if len(points) <= most:
+        return [points]
+    size = max(1, most // runs)
+    return [points[a : a + size] for a in np.linspace(0, len(points) - size, max(1, most // size)).astype(np.int64)]
+
+
 def suffix_automaton(signs: list[int], alphabet: int) -> np.ndarray:
     """Transitions of every state (rows) by sign; -1 where there is none. State 0 is the start."""
     step, link, length, last = [{}], [-1], [0], 0
@@ -90,7 +99,7 @@ class Model:
             points, ends = letters(samples[name])
             share = max(1, most // max(1, len(ends)))
             begins = np.concatenate([[0], ends[:-1]])
-            parts = [points[b:e][:share] for b, e in zip(begins, ends)]
+            parts = [part for b, e in zip(begins, ends) for part in spread(points[b:e], share)]
             lines[name] = np.concatenate([np.append(p, 0) for p in parts])[:most]
         known = np.unique(np.concatenate([np.zeros(1, np.uint32), *lines.values()]))  # 0 comes first
         self.sign_of = np.full(0x110000, len(known), np.uint16)
@@ -154,8 +163,11 @@ def fit(docs: DataFrame, use: Column, *, id_column: str = "doc_id", text: str =
     )
     picked = cut_lineage(rows.groupBy("label", F.pmod("key", F.lit(most_docs)).alias("bucket")).agg(F.min("key").alias("key")))
     # Every key is one document or copies of it; the sample's texts, a bounded number, come to the driver.
+    size = 8 * LETTERS // most_docs // RUNS
+    step = (F.length("text") - size) / (RUNS - 1)
+    runs = F.concat_ws(" ", *[F.col("text").substr((step * i).cast("int") + 1, F.lit(size)) for i in range(RUNS)])
     found = rows.join(picked.select("label", "key"), ["label", "key"], "left_semi").select(
-        "label", "key", F.substring("text", 1, 8 * LETTERS // most_docs).alias("text")
+        "label", "key", F.when(F.length("text") <= RUNS * size, F.col("text")).otherwise(runs).alias("text")
     ).dropDuplicates(["label", "key"])
     samples: dict[str, list[str]] = {}
     for row in sorted(found.collect(), key=lambda r: (r["label"], r["key"])):
@@ -169,10 +181,12 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
+            texts = batch.column(0).field(place).to_pylist()
+            names, scores = shared.value.predict([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc", "lang_pred", "score"]
             )
 
-    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("_text"))
+    place = docs.columns.index(text)
+    packed = docs.select(F.struct("*").alias("doc"))
     return packed.mapInArrow(work, f"doc {packed.schema['doc'].dataType.simpleString()}, lang_pred string, score double")
