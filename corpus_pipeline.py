@@ -15,8 +15,8 @@ from reelmark.llm.frames import table
 from reelmark.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
-HAS_WORD = r"[^\x20\x09-\x0D]"
 HAS_LETTER = r"\p{L}"
+ROW = "_row_of_the_stage"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays; documents without words link with nothing and stay."""
-    keys = op8_jaccard.jaccard_components(docs).where(F.col("kept") & (F.col("n_shingles") > 0)).select("key")
-    worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
-    stay = docs.where(worded).withColumn("key", op8_jaccard.row_key()).join(cut_lineage(keys), "key", "left_semi")
-    return stay.dropDuplicates(["key"]).drop("key").unionByName(docs.where(~worded))
+    numbered = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = op8_jaccard.jaccard_components(numbered, key=ROW)
+    stay = cut_lineage(found.where(F.col("kept")).select(F.col("key").alias(ROW)))
+    return numbered.join(stay, ROW, "left_semi").drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
