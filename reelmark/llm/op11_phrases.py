@@ -1,16 +1,21 @@
 """Phrase collocation mining by dynamic itemset counting.
 
-The corpus is written once in shards, which are scanned over and over, one after another. Words are counted from
-the first shard on. A longer phrase is counted from the scan after that by which both its beginning and
+The corpus is written once in shards, which are scanned over and over, one after another. Words are looked for from
+the first shard on. A longer phrase is looked for from the scan after that by which both its beginning and
 its end (all words but the last, all but the first) have come up to the threshold, whatever the lengths being
-counted besides, and until it has been through every shard once. Most phrases of all lengths thus start within
-the first cycle and end in the second, instead of one pass over the corpus per length.
+counted besides, in every shard once. Most phrases of all lengths thus start within the first cycle, instead of one pass
+over the corpus per length.
 
-What a scan may count is told to its tasks as bitmaps of hashes, one of the phrases that came up to the threshold and
-one of those that did so within the last cycle. A bitmap that takes one phrase for another lets too much be
-counted, never too little: counts are kept per shard, so a shard counted again changes nothing, and a phrase that
-comes up to the threshold has beginnings and ends that do so too, hence a full cycle. Phrases are counted as strings;
-hashes only choose. Bitmaps have 16 bits a phrase up to `MAX_BITS`, beyond which they only choose less well.
+A phrase that occurs often enough in all must occur its share of that in some shard. So a phrase looked for is
+kept once a shard has that many, and a kept one is counted for one full cycle, until its count in each shard
+is known; what no shard has its share of is counted by its shard and forgotten. The table of counts then holds few
+phrases besides the frequent ones.
+
+What a scan is to count is told to its tasks as bitmaps of hashes: of phrases that came up to the threshold, of those
+that did so within the last cycle, and of kept phrases whose count in this shard is not known. A bitmap that takes one
+phrase for another lets too much be counted, never too little, and what is counted is counted whole in
+its shard. Phrases are counted as strings; hashes only choose. Bitmaps have 16 bits a phrase up to `MAX_BITS`, beyond
+which they only choose less well.
 
 In a task, texts of a language are taken together in blocks of bytes, split in numpy and counted by numbers of
 words; a block is bounded, as a long text is cut between pieces or, within one, between words with the
@@ -38,7 +43,10 @@ from reelmark.session import cut_lineage, scratch_path
 #: Signs between words of a piece, and signs between pieces.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
-BLOCK = 8 << 20  # bytes of text counted together
+SHARDS = 3
+BLOCK = 4 << 20  # bytes of text counted together
+ROWS = 1 << 16  # counts handed on together
+REACHED, RECENT, OPEN = range(3)  # kinds of bitmaps
 MAX_BITS = 1 << 26
 CHUNK_BITS = 15  # bits of a bitmap that one row holds
 SEED = 42  # of Spark's xxhash64
@@ -110,17 +118,18 @@ class Bits:
     """Phrases by their hashes."""
 
     def __init__(self, size: int):
-        self.mask, self.bytes = np.uint64(size - 1), np.zeros(size // 8, np.uint8)
+        self.mask, self.bytes, self.any = np.uint64(size - 1), np.zeros(size // 8, np.uint8), False
 
     def hold(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes & self.mask
         return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_block(lang: str, parts: list[tuple[bytes, int]], lengths: list[int], chosen: dict[int, tuple[Bits, Bits]]):
-    """(length, phrases, counts) for each length: what a block of one language holds of it.
+def count_block(lang: str, parts: list[tuple[bytes, int]], sought: list[int], chosen: dict[int, list[Bits]]):
+    """(length, phrases, counts, open) for each length: what a block of one language holds of it.
 
-    Lengths above one only where beginning and end are in the first bitmap of their length, one of them in the second.
+    Of a length sought that is all words, and longer phrases whose beginning and end have both reached the threshold, one
+    of them lately; of every length the open phrases. Length 0 is the number of all words.
     """
     whole = np.frombuffer(b"\n".join(p for p, _ in parts) + b"\n", np.uint8).copy()
     whole[(whole >= 65) & (whole <= 90)] += 32
@@ -143,25 +152,29 @@ def count_block(lang: str, parts: list[tuple[bytes, int]], lengths: list[int], c
         if tail:
             begins[np.searchsorted(starts, at - 1 - tail) : np.searchsorted(starts, at - 1)] = False
 
-    longest = max(lengths)
-    if longest > 1:
-        texts = vocabulary.cast(pa.binary()).to_pylist()
-        own = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in texts), np.uint64, len(texts))
-        first = np.array([xxhash.xxh64_intdigest(lang.encode(), SEED)], np.uint64)
-        chain = hashed(own, hashed(first, np.array([SEED], np.uint64)))[code]
+    if 1 in sought:
+        yield 0, pa.array([""]), np.array([begins.sum()]), np.array([True])
+    longest = max([*sought, *(n for n, bits in chosen.items() if bits[OPEN].any)], default=0)
+    texts = vocabulary.cast(pa.binary()).to_pylist()
+    own = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in texts), np.uint64, len(texts))
+    first = np.array([xxhash.xxh64_intdigest(lang.encode(), SEED)], np.uint64)
+    chain = before = None
     for length in range(1, longest + 1):
         count = len(code) - length + 1
         if count <= 0:
             return
-        if length > 2:
-            chain = hashed(own[code[length - 2 :]], chain[: count + 1])  # of length - 1 words
-        if length not in lengths:
-            continue
-        fits = begins[:count] & (piece[:count] == piece[length - 1 :])
-        if length > 1:
-            reached, recent = chosen[length - 1]
-            held, new = reached.hold(chain[: count + 1]), recent.hold(chain[: count + 1])
-            fits &= held[:-1] & held[1:] & (new[:-1] | new[1:])
+        if length == 1:
+            chain = hashed(own, hashed(first, np.array([SEED], np.uint64)))[code]
+        else:
+            before, chain = chain, hashed(own[code[length - 1 :]], chain[:count])
+        fits = np.zeros(count, bool)
+        if length == 1 and length in sought:
+            fits[:] = True
+        elif length in sought:
+            held, new = (chosen[length - 1][kind].hold(before) for kind in (REACHED, RECENT))
+            fits = held[:-1] & held[1:] & (new[:-1] | new[1:])
+        opened = chosen[length][OPEN].hold(chain) if length in chosen and chosen[length][OPEN].any else np.zeros(count, bool)
+        fits = (fits | opened) & begins[:count] & (piece[:count] == piece[length - 1 :])
         where = np.flatnonzero(fits)
         if not len(where):
             continue
@@ -174,26 +187,32 @@ def count_block(lang: str, parts: list[tuple[bytes, int]], lengths: list[int], c
         _, first_at, counts = np.unique(key, return_index=True, return_counts=True)
         where = where[first_at]
         columns = [vocabulary.take(pa.array(code[where + j])) for j in range(length)]
-        yield length, columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " "), counts
+        yield length, columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " "), counts, opened[where]
 
 
-def _counting(lengths: list[int], chosen, block: int):
+def _counting(sought: list[int], longest: int, chosen, block: int):
     """A task's counts of one shard."""
 
     def counted(lang: str, parts: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for length, phrases, counts in count_block(lang, parts, lengths, chosen.value):
-            rows = len(phrases)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]).take(pa.array(np.zeros(rows, np.int8))), pa.array(np.full(rows, length, np.int32)), phrases, pa.array(counts)],
-                names=["lang", "n", "phrase", "now"],
-            )
+        for length, phrases, counts, opened in count_block(lang, parts, sought, chosen.value):
+            for at in range(0, len(phrases), ROWS):
+                some = phrases[at : at + ROWS]
+                rows = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang]).take(pa.array(np.zeros(rows, np.int8))), pa.array(np.full(rows, length, np.int32)), some,
+                        pa.array(counts[at : at + ROWS]), pa.array(opened[at : at + ROWS]),
+                    ],
+                    names=["lang", "n", "phrase", "now", "open"],
+                )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                for part in segments(text, block, max(lengths) - 1):
+            texts = batch.column(1).cast(pa.binary())
+            for row, lang in enumerate(batch.column(0).to_pylist()):
+                for part in segments(texts[row].as_py(), block, longest - 1):
                     held.setdefault(lang, []).append(part)
                     sizes[lang] = sizes.get(lang, 0) + len(part[0])
                     if sizes[lang] >= block or sum(sizes.values()) >= 2 * block:
@@ -206,27 +225,32 @@ def _counting(lengths: list[int], chosen, block: int):
     return work
 
 
-def _bitmaps(state: DataFrame, lengths: list[int], since: int) -> dict[int, tuple[Bits, Bits]]:
-    """Of the phrases of each length that came up to the threshold: all, and those from scan ``since`` on."""
-    frequent = state.where(F.col("reached").isNotNull() & F.col("n").isin(lengths))
-    sizes = {r["n"]: r["count"] for r in frequent.groupBy("n").count().collect()}  # a row per length
-    bits = {n: min(MAX_BITS, 1 << max(CHUNK_BITS, (16 * count - 1).bit_length())) for n, count in sizes.items()}
+def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[Bits]], list[int]]:
+    """For each length the bitmaps of phrases, by kind; and the lengths of which some phrase reached the threshold since ``since``."""
+    reached, open_ = F.col("reached").isNotNull(), F.col(shard).isNull()
+    recent = F.coalesce(F.col("reached") >= since, F.lit(False))
+    phrases = state.where("n > 0")
+    counted = phrases.groupBy("n").agg(F.count(F.lit(1)).alias("all"), F.max(recent).alias("recent")).collect()  # a row per length
+    if not counted:
+        return {}, []
+    bits = {r["n"]: min(MAX_BITS, 1 << max(CHUNK_BITS, (16 * r["all"] - 1).bit_length())) for r in counted}
     mask = F.create_map(*[F.lit(x) for n, size in bits.items() for x in (n, size - 1)])[F.col("n")]
-    placed = frequent.select("n", (F.col("reached") >= since).alias("new"), _phrase_hash().bitwiseAND(mask).alias("place"))
+    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
+    placed = phrases.select("n", _phrase_hash().bitwiseAND(mask).alias("place"), F.explode(kinds).alias("kind"))
     in_row = F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
-    rows = placed.groupBy("n", "new", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
-    out = {n: (Bits(size), Bits(size)) for n, size in bits.items()}
-    for n, new, row, chunk in rows.toLocalIterator():  # at most MAX_BITS for each
+    rows = placed.groupBy("n", "kind", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
+    out = {n: [Bits(size) for _ in range(3)] for n, size in bits.items()}
+    for n, kind, row, chunk in rows.toLocalIterator():  # at most MAX_BITS for each
         some, at = np.frombuffer(chunk, np.uint8), row << (CHUNK_BITS - 3)
-        for held in out[n] if new else out[n][:1]:
-            held.bytes[at : at + len(some)] |= some
-    return out
+        out[n][kind].bytes[at : at + len(some)] |= some
+        out[n][kind].any = True
+    return out, sorted(r["n"] for r in counted if r["recent"])
 
 
-def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int = 4, block: int = BLOCK) -> DataFrame:
-    """(lang, n, phrase, total, reached): all words, and at least all phrases that occur ``threshold`` times, with exact counts.
+def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """(lang, n, phrase, total, reached): every phrase that occurs ``threshold`` times, and the scan by which it had come up to that.
 
-    Phrases below the threshold, where ``reached`` is null, are there too as far as they were counted.
+    Where ``reached`` is null, phrases below the threshold that were kept, with their counts; n = 0 is the number of all words.
     """
     spark = docs.sparkSession
     corpus = scratch_path(spark, "shards")
@@ -235,34 +259,32 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
     dealt.write.partitionBy("shard").parquet(corpus)
 
     per_shard = [f"in_{i}" for i in range(shards)]
-    columns = ", ".join(f"{c} long" for c in per_shard)
-    state = spark.createDataFrame([], f"lang string, n int, phrase string, {columns}, total long, reached int")
-    path, scan, recent = None, 0, []
+    state = spark.createDataFrame([], f"lang string, n int, phrase string, {', '.join(f'{c} long' for c in per_shard)}, reached int")
+    path, scan, share = None, 0, -(-threshold // shards)
     while True:
-        lengths = ([1] if scan < shards else []) + [n + 1 for n in recent]
-        if not lengths:
-            break
-        chosen = spark.sparkContext.broadcast(_bitmaps(state, recent, scan - shards) if recent else {})
         shard = scan % shards
-        schema = "lang string, text string, shard int"
-        rows = spark.read.schema(schema).parquet(corpus).where(F.col("shard") == shard).select("lang", "text")
-        found = rows.mapInArrow(_counting(lengths, chosen, block), "lang string, n int, phrase string, now long")
-        both = found.unionByName(state.drop("total"), allowMissingColumns=True)
-        sums = both.groupBy("lang", "n", "phrase").agg(
-            F.sum("now").alias("now"), *[F.max(c).alias(c) for c in per_shard], F.min("reached").alias("reached")
-        )
-        kept = [F.coalesce(F.greatest(c, "now") if i == shard else F.col(c), F.lit(0)).alias(c) for i, c in enumerate(per_shard)]
-        merged = sums.select("lang", "n", "phrase", *kept, "reached").withColumn("total", sum(F.col(c) for c in per_shard))
-        first_reached = F.when(F.col("total") >= threshold, F.coalesce("reached", F.lit(scan)))
-        state, newer = written(merged.withColumn("reached", first_reached), "counts")
-        if path:
-            removed(spark, path)
-        chosen.unpersist()
-        path, scan = newer, scan + 1
-        fresh = state.where((F.col("reached") >= scan - shards) & (F.col("n") < longest))
-        recent = sorted(r["n"] for r in fresh.select("n").distinct().collect())  # a row per length
+        chosen, recent = _bitmaps(state, per_shard[shard], scan - shards)
+        sought = ([1] if scan < shards else []) + [n + 1 for n in recent if n < longest]
+        if sought or any(bits[OPEN].any for bits in chosen.values()):
+            shared = spark.sparkContext.broadcast(chosen)
+            schema = "lang string, text string, shard int"
+            rows = spark.read.schema(schema).parquet(corpus).where(F.col("shard") == shard).select("lang", "text")
+            found = rows.mapInArrow(_counting(sought, longest, shared, block), "lang string, n int, phrase string, now long, open boolean")
+            summed = found.groupBy("lang", "n", "phrase").agg(F.sum("now").alias("now"), F.max("open").alias("open"))
+            kept = summed.where(F.col("open") | (F.col("now") >= share)).drop("open")
+            both = state.join(kept, ["lang", "n", "phrase"], "full").withColumn(per_shard[shard], F.coalesce(per_shard[shard], "now", F.lit(0)))
+            total = sum(F.coalesce(c, F.lit(0)) for c in per_shard)
+            reached = F.coalesce("reached", F.when(total >= threshold, scan))
+            state, newer = written(both.select("lang", "n", "phrase", *per_shard, reached.alias("reached")), "counts")
+            if path:
+                removed(spark, path)
+            shared.unpersist()
+            path = newer
+        elif scan >= shards and not state.where("n > 0").where(" OR ".join(f"{c} IS NULL" for c in per_shard)).limit(1).count():
+            break
+        scan += 1
     removed(spark, corpus)
-    return state.select("lang", "n", "phrase", "total", "reached")
+    return state.select("lang", "n", "phrase", sum(F.coalesce(c, F.lit(0)) for c in per_shard).alias("total"), F.when(F.col("n") > 0, F.col("reached")).alias("reached"))
 
 
 def _joined(start, size):
@@ -270,7 +292,7 @@ def _joined(start, size):
 
 
 def collocations(
-    docs: DataFrame, threshold: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, cover: int = 80, shards: int = 4, block: int = BLOCK
+    docs: DataFrame, threshold: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, cover: int = 80, shards: int = SHARDS, block: int = BLOCK
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language by how firmly their parts hold together.
 
@@ -278,7 +300,7 @@ def collocations(
     counting. Those are left out that a longer phrase accounts for to ``cover`` hundredths.
     """
     counted = count_phrases(docs, threshold, longest, shards, block)
-    sizes = counted.where("n = 1").groupBy("lang").agg(F.sum("total").alias("n"))
+    sizes = counted.where("n = 0").select("lang", F.col("total").alias("n"))
     frequent = cut_lineage(counted.where("reached IS NOT NULL").select("lang", F.col("n").alias("size"), "phrase", "total"))
     phrases = frequent.where("size > 1").withColumn("_words", F.split("phrase", " ")).withColumnRenamed("total", "a")
     parts = phrases.select("lang", "phrase", "size", "a", "_words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

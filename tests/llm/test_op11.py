@@ -72,13 +72,16 @@ def test_equals_counting_everything(spark, monkeypatch, shards, block, bits):
     assert sorted(map(tuple, got.collect())) == expected(texts(), 5, 30)
 
 
-def everything(state, lengths, since):
-    out = {}
-    for n in lengths:
-        bits = op11_phrases.Bits(1 << 15)
-        bits.bytes[:] = 255
-        out[n] = (bits, bits)
-    return out
+def everything(state, shard, since):
+    known = state.where("n > 0").groupBy("n").agg(F.max(F.coalesce(F.col("reached") >= since, F.lit(False))).alias("recent"), F.max(F.col(shard).isNull()).alias("open"))
+    out, recent = {}, []
+    for row in known.collect():
+        out[row["n"]] = [op11_phrases.Bits(1 << 15) for _ in range(3)]
+        for kind, bits in enumerate(out[row["n"]]):
+            bits.bytes[:] = 255
+            bits.any = kind != op11_phrases.OPEN or row["open"]
+        recent += [row["n"]] if row["recent"] else []
+    return out, sorted(recent)
 
 
 def test_a_phrase_is_counted_after_its_parts_are_frequent(spark):
