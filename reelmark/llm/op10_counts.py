@@ -97,10 +97,9 @@ def token_counts(docs: DataFrame, path: str, *, id_column: str = "doc_id", text:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counter.counts(texts))], names=[id_column, "n_bytes", "n_tokens"]
-            )
+            parts = [counter.counts(texts) for _, texts in pretokens.text_blocks(batch.column(1))]
+            counts = np.concatenate([np.zeros(0, np.int64), *parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], names=[id_column, "n_bytes", "n_tokens"])
 
     given = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column), given.alias("_text"), F.octet_length(given).cast("long").alias("_bytes"))

@@ -228,9 +228,9 @@ def pack(docs: DataFrame, path: str, *, id_column: str = "doc_id", text: str = "
         types = [None, *[pa.int64()] * 6, pa.binary()]
         for batch in batches:
             types[0] = batch.schema.field(0).type
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in pretokens.blocks(texts):
-                yield from out(packer.add(*coder.of(texts[a:b], end), keys[a:b]))
+            keys = batch.column(0).to_pylist()
+            for first, texts in pretokens.text_blocks(batch.column(1)):
+                yield from out(packer.add(*coder.of(texts, end), keys[first : first + len(texts)]))
         yield from out(packer.close())
 
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("_text"))

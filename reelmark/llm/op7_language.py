@@ -181,10 +181,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).field(place).to_pylist()
-            names, scores = shared.value.predict([t or "" for t in texts])
+            names, scores = [], [np.zeros(0)]
+            for _, texts in pretokens.text_blocks(batch.column(0).field(place)):
+                found = shared.value.predict(texts)
+                names += found[0]
+                scores.append(found[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc", "lang_pred", "score"]
+                [batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=["doc", "lang_pred", "score"]
             )
 
     place = docs.columns.index(text)

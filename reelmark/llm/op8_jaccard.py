@@ -45,7 +45,7 @@ from reelmark.session import cut_lineage
 WORDS = 5
 LISTED = 3  # tenths of a set
 TASK = 1 << 20  # shingles
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 BITMAP = 1 << 23
 SEEN = 1 << 20
 HEAP = 512  # entries of short lists that a heap merges

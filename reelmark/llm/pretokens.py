@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 1 << 20
 #: Classes of code points.
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 #: The endings that a split apostrophe takes along.
@@ -76,6 +77,22 @@ def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
+def text_blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a batch's blocks: only a block's texts are Python strings at a time; null is empty.
+
+    Afterwards memory that Arrow keeps for reuse goes back, as a worker outlives its stage.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    ends = np.cumsum(sizes + 1)
+    first = 0
+    while first < len(column):
+        end = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK_CHARS, side="right"))
+        end = max(first + 1, end)
+        yield first, [t or "" for t in column.slice(first, end - first).to_pylist()]
+        first = end
+    pa.default_memory_pool().release_unused()
+
+
 def joined(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The texts after each other with a break after each, their code points, and where each text starts."""
     whole = "\x00".join(texts) + "\x00"
