@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.plans.joins import lookup_join, repeat_rows
@@ -212,3 +212,30 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         for name, rows in tables.items()
     ]
     return reduce(DataFrame.unionByName, counts).orderBy(F.desc("row_count"), "table_name")
+
+
+def _firsts_of_user(counted: DataFrame, name: str, measure: str, n: int) -> DataFrame:
+    """The n greatest per user, ties by name; the cut is applied before the shuffle too."""
+    order = Window.partitionBy("user_id").orderBy(F.desc(measure), name)
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def top_genres_of_users(sessions: DataFrame, genres: DataFrame, n: int = 5) -> DataFrame:
+    """Each user's most common genres: (user_id, rank, genre_name, sessions), a session counting once for each genre of its item.
+
+    Sessions are counted per user and item before they meet the genres, so a hot item or user joins as one row each.
+    """
+    per_item = sessions.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
+    of_item = genres.where(F.col("genre_name").isNotNull()).groupBy("item_id").agg(F.collect_set("genre_name").alias("_genres"))
+    joined = lookup_join(per_item, of_item, "item_id", "inner", salt_on=["user_id"])
+    counted = joined.select("user_id", "_n", F.explode("_genres").alias("genre_name")).groupBy("user_id", "genre_name").agg(
+        F.sum("_n").alias("sessions")
+    )
+    return _firsts_of_user(counted, "genre_name", "sessions", n).select("user_id", "rank", "genre_name", "sessions")
+
+
+def top_items_of_users(stats: DataFrame, library: DataFrame, n: int = 5) -> DataFrame:
+    """Each user's most watched items: (user_id, rank, item_id, item_name, total_seconds_watched), ties by id."""
+    firsts = _firsts_of_user(stats.select("user_id", "item_id", "total_seconds_watched"), "item_id", "total_seconds_watched", n)
+    named = lookup_join(firsts, library.select("item_id", "item_name"), "item_id", "left", salt_on=["user_id"])
+    return named.select("user_id", "rank", "item_id", "item_name", "total_seconds_watched")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.functions.blocks import DIGITS, nearest_in_block
+from reelmark.operators import nearest
 from reelmark.plans.joins import lookup_join
 from reelmark.session import cut_lineage
 
@@ -129,23 +130,29 @@ def nearest_titles(queries: DataFrame, profiles: DataFrame, k: int) -> DataFrame
     return scored.withColumn("position", F.row_number().over(best_first)).where(F.col("position") <= k)
 
 
-def knn_similar_titles(titles: DataFrame, k: int = 5, of: DataFrame | None = None) -> DataFrame:
-    """The k nearest other titles of every title: (title, rank, neighbour, distance).
-
-    ``titles`` comes from `title_profiles`; ``of``, a frame with the titles to ask for, narrows the
-    questions but not the answers. distance = 1 - cosine, ties by id. The title itself is
-    left out by id, so k + 1 are fetched per profile; titles sharing nothing have distance 1 and fill
-    up when fewer than k overlap.
-    """
+def similar_search(titles: DataFrame, k: int, of: DataFrame | None = None, signed: bool = False) -> tuple[DataFrame, nearest.Search]:
+    """The titles asked for, and for each profile of theirs the k + 1 nearest titles of all."""
     profiles = cut_lineage(_first_members(titles, k + 1))
     if of is None:
         asked, queries = titles, profiles
     else:
         asked = cut_lineage(lookup_join(titles, of.select("title").distinct(), "title", "left_semi"))
         queries = cut_lineage(asked.groupBy("profile").agg(F.any_value("vector").alias("vector")))
+    return asked, nearest.search(queries.select(F.col("profile").alias("query_id"), "vector"), profiles, k + 1, signed)
+
+
+def knn_similar_titles(titles: DataFrame, k: int = 5, of: DataFrame | None = None, signed: bool = False) -> DataFrame:
+    """The k nearest other titles of every title: (title, rank, neighbour, distance).
+
+    ``titles`` comes from `title_profiles`; ``of``, a frame with the titles to ask for, narrows the
+    questions but not the answers. distance = 1 - cosine, ties by id. The title itself is
+    left out by id, so k + 1 are fetched per profile; titles sharing nothing have distance 1 and fill
+    up when fewer than k overlap. Negative weights need ``signed``.
+    """
+    asked, found = similar_search(titles, k, of, signed)
     # Written so that the join below knows its size: usually small enough to broadcast.
     best = cut_lineage(
-        nearest_titles(queries.select(F.col("profile").alias("query_id"), "vector"), profiles, k + 1)
+        found.found
         .groupBy(F.col("query_id").alias("profile"))
         .agg(F.sort_array(F.collect_list(F.struct("position", "title", "similarity"))).alias("_best"))
     )
@@ -203,7 +210,7 @@ def knn_for_user(taste: DataFrame, titles: DataFrame, k: int = 20) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("genre", "weight"))).alias("vector")
         )
     )
-    return nearest_titles(queries, profiles, k).select(
+    return nearest.search(queries, profiles, k).found.select(
         F.col("query_id").alias("user_id"),
         F.col("position").alias("rank"),
         "title",

@@ -675,6 +675,32 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, t_const) AS rank FROM scored)
 SELECT user_id, CAST(rank AS INTEGER) AS rank, t_const AS title, round(1 - s, 9) AS distance FROM ranked WHERE rank <= 20"""
 
+_FOR_USER = ORACLES["knn_for_user"]
+ORACLES["because_you_watched"] = f"""SELECT n.title, t.primary_name AS title_name, n.rank, n.neighbour, u.primary_name AS neighbour_name, n.distance
+FROM ({ORACLES["knn_of_watched_titles"]}) n
+JOIN (WITH {TITLES} SELECT * FROM titles) t ON t.t_const = n.title JOIN (WITH {TITLES} SELECT * FROM titles) u ON u.t_const = n.neighbour"""
+ORACLES["recommend_for_users"] = f"""SELECT n.user_id, n.rank, n.title, t.primary_name AS title_name, n.distance
+FROM ({_FOR_USER}) n JOIN (WITH {TITLES} SELECT * FROM titles) t ON t.t_const = n.title"""
+ORACLES["recommend_unseen"] = f"""WITH {TASTE},
+shared AS (SELECT user_id, u.t_const, sum(t.weight * u.weight) AS s FROM taste t JOIN units u USING (genre) GROUP BY 1, 2),
+scored AS (
+  SELECT p.user_id, v.t_const, round(coalesce(s, 0), 9) AS s
+  FROM (SELECT DISTINCT user_id FROM taste) p JOIN vectors v ON true
+  LEFT JOIN shared ON shared.user_id = p.user_id AND shared.t_const = v.t_const
+  WHERE NOT EXISTS (SELECT 1 FROM sessions w WHERE w.user_id = p.user_id AND w.item_id = v.t_const)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, t_const) AS rank FROM scored)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, t_const AS title, t.primary_name AS title_name, round(1 - s, 9) AS distance
+FROM ranked JOIN titles t USING (t_const) WHERE rank <= 5"""
+ORACLES["top_genres_of_users"] = f"""WITH {SESSIONS}, {TITLES},
+of_item AS (SELECT DISTINCT t_const AS item_id, genre FROM tagged WHERE genre IS NOT NULL),
+counted AS (SELECT user_id, genre AS genre_name, count(*) AS sessions FROM sessions JOIN of_item USING (item_id) GROUP BY 1, 2)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, genre_name, sessions FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sessions DESC, genre_name) AS rank FROM counted) WHERE rank <= 5"""
+ORACLES["top_items_of_users"] = f"""WITH {STATS}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total_seconds_watched DESC, item_id) AS rank FROM stats)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, item_name, total_seconds_watched
+FROM ranked LEFT JOIN lib USING (item_id) WHERE rank <= 5"""
+
 # ---- constraints --------------------------------------------------------------------------------------
 
 ORACLES["dq_unique"] = """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmark import schemas
 from reelmark.operators import history, library, maintenance, quality, similar, titles
+from reelmark.plans.joins import lookup_join
 from reelmark.session import cut_lineage, job
 from reelmark.sources import landing, tsv
 from reelmark.sources.cache import encoded_cache
@@ -199,14 +200,60 @@ def load_imdb_tables(
     return load_metrics(spark, metrics)
 
 
-def similar_titles(
-    spark: SparkSession, store: TableStore, cache_path: str, k: int = 5, refresh: bool = False
-) -> DataFrame:
-    """Neighbours of every stored title, from the cached genre encoding."""
+def _profiles(spark: SparkSession, store: TableStore, cache_path: str, refresh: bool) -> DataFrame:
+    """Unit genre vectors of all stored titles, from the cached genre encoding."""
     encoded = encoded_cache(
         spark,
         cache_path,
         lambda: titles.onehot_genres(titles.title_genre_counts(store.read("titles"), store.read("genres"))),
         refresh,
     )
-    return similar.knn_similar_titles(similar.title_profiles(titles.encoded_to_vectors(encoded)), k)
+    return similar.title_profiles(titles.encoded_to_vectors(encoded))
+
+
+def similar_titles(
+    spark: SparkSession, store: TableStore, cache_path: str, k: int = 5, refresh: bool = False
+) -> DataFrame:
+    """Neighbours of every stored title, from the cached genre encoding."""
+    return similar.knn_similar_titles(_profiles(spark, store, cache_path, refresh), k)
+
+
+def _named(rows: DataFrame, store: TableStore, title: str, name: str) -> DataFrame:
+    names = store.read("titles").select(F.col("t_const").alias(title), F.col("primary_name").alias(name))
+    return lookup_join(rows, names, title, "left")
+
+
+def because_you_watched(
+    spark: SparkSession, store: TableStore, cache_path: str, of: list[str] | DataFrame, k: int = 5, refresh: bool = False
+) -> DataFrame:
+    """The titles like the chosen ones, as a person reads them.
+
+    ``of`` is a short list of title ids or a frame with a column ``title``; ids that are not stored give no rows.
+    Returns (title, title_name, rank, neighbour, neighbour_name, distance).
+    """
+    chosen = of if isinstance(of, DataFrame) else spark.createDataFrame([(t,) for t in of], "title string")
+    found = similar.knn_similar_titles(_profiles(spark, store, cache_path, refresh), k, of=chosen)
+    both = _named(_named(found, store, "title", "title_name"), store, "neighbour", "neighbour_name")
+    return both.select("title", "title_name", "rank", "neighbour", "neighbour_name", "distance")
+
+
+def recommend_for_users(
+    spark: SparkSession, store: TableStore, cache_path: str, k: int = 20, unseen: bool = False, refresh: bool = False
+) -> DataFrame:
+    """The titles nearest to what each user watched, weighted by completion: (user_id, rank, title, title_name, distance).
+
+    Sessions of the store are matched to titles by id. ``unseen`` leaves out what the user has a session of; so
+    many more titles are searched for as the user with most titles has watched.
+    """
+    profiles = _profiles(spark, store, cache_path, refresh)
+    watched = store.read("sessions").select("user_id", F.col("item_id").alias("title"), F.col("completion_ratio").alias("weight"))
+    taste = similar.user_taste_vector(watched, profiles)
+    if unseen:
+        seen = cut_lineage(watched.select("user_id", "title").distinct())
+        most = seen.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        found = similar.knn_for_user(taste, profiles, k + most).join(seen, ["user_id", "title"], "left_anti")
+        by_rank = Window.partitionBy("user_id").orderBy("rank")
+        found = found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
+    else:
+        found = similar.knn_for_user(taste, profiles, k)
+    return _named(found, store, "title", "title_name").select("user_id", "rank", "title", "title_name", "distance")

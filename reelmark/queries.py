@@ -795,7 +795,7 @@ def knn_dense_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = data.table(spark, sf, "embeddings").select(
         "vec_id", similar.dense_to_vector("embedding").alias("vector")
     )
-    return similar.knn_similar_titles(similar.title_profiles(vectors, "vec_id"))
+    return similar.knn_similar_titles(similar.title_profiles(vectors, "vec_id"), signed=True)
 
 
 def _taste(spark: SparkSession, sf: str, profiles: DataFrame) -> DataFrame:
@@ -816,6 +816,43 @@ def knn_for_user(spark: SparkSession, sf: str) -> DataFrame:
     return similar.knn_for_user(_taste(spark, sf, profiles), profiles)
 
 
+def _titles_and_sessions(spark: SparkSession, sf: str) -> TableStore:
+    store = _store(spark, "recommend")
+    store.overwrite("titles", data.titles(spark, sf))
+    store.overwrite("genres", data.genres(spark, sf))
+    store.overwrite("sessions", _sessions(spark, sf))
+    return store
+
+
+@query
+def because_you_watched(spark: SparkSession, sf: str) -> DataFrame:
+    store = _titles_and_sessions(spark, sf)
+    watched = store.read("sessions").select(F.col("item_id").alias("title"))
+    return loads.because_you_watched(spark, store, scratch_path(spark, "encoded"), watched)
+
+
+@query
+def recommend_for_users(spark: SparkSession, sf: str) -> DataFrame:
+    return loads.recommend_for_users(spark, _titles_and_sessions(spark, sf), scratch_path(spark, "encoded"))
+
+
+@query
+def recommend_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    return loads.recommend_for_users(spark, _titles_and_sessions(spark, sf), scratch_path(spark, "encoded"), k=5, unseen=True)
+
+
+@query
+def top_genres_of_users(spark: SparkSession, sf: str) -> DataFrame:
+    genres = data.genres(spark, sf).select(F.col("t_const").alias("item_id"), F.col("genre").alias("genre_name"))
+    return reports.top_genres_of_users(_sessions(spark, sf), genres)
+
+
+@query
+def top_items_of_users(spark: SparkSession, sf: str) -> DataFrame:
+    stats = history.user_item_stats(_sessions(spark, sf), data.library(spark, sf))
+    return reports.top_items_of_users(stats, data.library(spark, sf))
+
+
 # ---- constraints -----------------------------------------------------------------------------------
 
 
