@@ -25,8 +25,14 @@ def _kind(number: Column) -> Column:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as playback events on twenty items, three of which the library lacks."""
-    number = F.get_json_object("props", "$.k").cast("int") % 20
+    """`events` as playback events: half on twenty hot items, three of which the library lacks, half over all of `part`.
+
+    There are five events to a part; of the second half, those of one in thirty-five are of items the library lacks.
+    """
+    hot = F.col("event_id") % 2 == 0
+    folded = F.get_json_object("props", "$.k").cast("long") % 20
+    number = F.when(hot, folded).otherwise(F.floor(F.col("event_id") / 5))
+    missing = F.when(hot, folded >= 17).otherwise(F.col("event_id") % 35 == 1)
     return (
         table(spark, sf_dir, "events")
         .select(
@@ -36,6 +42,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("user_name"),
             F.floor(F.col("value") * 20).cast("long").alias("duration"),
             number.alias("_number"),
+            missing.alias("_missing"),
         )
         .select(
             "row_id",
@@ -43,7 +50,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_format("event_ts", "HH:mm:ss").alias("time"),
             "user_id",
             F.concat(F.lit("Item "), F.col("_number").cast("string")).alias("item_name"),
-            F.concat(F.when(F.col("_number") >= 17, "clip-").otherwise(""), F.col("_number").cast("string")).alias(
+            F.concat(F.when(F.col("_missing"), "clip-").otherwise(""), F.col("_number").cast("string")).alias(
                 "item_id"
             ),
             _kind(F.col("_number")).alias("item_type"),

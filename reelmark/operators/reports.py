@@ -35,22 +35,10 @@ def outcome_distribution(sessions: DataFrame) -> DataFrame:
     )
 
 
-def _value_counts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(metric, value as text, n): each column's distinct values, from one scan, written for reuse."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in columns]
-    )
-    return cut_lineage(
-        rows.select(F.explode(pairs).alias("_p"))
-        .select("_p.metric", "_p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _numbers(counted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return counted.where(F.col("metric").isin(*columns)).withColumn("value", F.col("value").cast("double"))
+def _long(rows: DataFrame, columns: tuple[str, ...], kind: str) -> DataFrame:
+    """(metric, value): a row for each value of the columns that is not null."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast(kind).alias("value")) for c in columns])
+    return rows.select(F.explode(pairs).alias("_p")).select("_p.metric", "_p.value").where(F.col("value").isNotNull())
 
 
 def describe_sessions(
@@ -60,40 +48,29 @@ def describe_sessions(
 
     Among equally frequent texts the first in order is the top one.
     """
-    counted = _value_counts(sessions, numeric + text)
-    numbers = _numbers(counted, numeric)
-    n, value = F.col("n"), F.col("value")
+    narrow = cut_lineage(sessions.select(*numeric, *text))  # read by each of the passes below
+    numbers = _long(narrow, numeric, "double")
     moments = numbers.groupBy("metric").agg(
-        F.sum("n").alias("count"),
-        (F.sum(value * n) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # One row per described column, so broadcasting it does not depend on the data.
-    spread = (
-        numbers.join(F.broadcast(moments.select("metric", "mean", "count")), "metric")
-        .groupBy("metric", "count")
-        .agg(F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))).alias("_squares"))
-        .select(
-            "metric",
-            F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))).alias("std"),
-        )
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
     )
     quartiles = (
-        exact_quantiles(numbers, [0.25, 0.5, 0.75])
+        exact_quantiles(numbers.withColumn("n", F.lit(1).cast("long")), [0.25, 0.5, 0.75])
         .groupBy("metric")
         .pivot("probability", [0.25, 0.5, 0.75])
         .agg(F.first("quantile"))
         .toDF("metric", "p25", "p50", "p75")
     )
     texts = (
-        counted.where(F.col("metric").isin(*text))
+        _long(narrow, text, "string")
+        .groupBy("metric", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("metric")
         .agg(
             F.sum("n").alias("count"),
             F.count(F.lit(1)).alias("unique"),
             # least of (-n, value): the most frequent, ties by text
-            F.min(F.struct((-n).alias("n"), "value")).alias("_top"),
+            F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("_top"),
         )
     )
 
@@ -102,7 +79,7 @@ def describe_sessions(
 
     figures = ("mean", "std", "min", "p25", "p50", "p75", "max")
     nothing = F.lit(None)
-    numeric_rows = moments.join(spread, "metric").join(quartiles, "metric").select(
+    numeric_rows = moments.join(quartiles, "metric").select(
         "metric",
         "count",
         nothing.cast("long").alias("unique"),
@@ -128,20 +105,26 @@ def session_histograms(
 
     A column whose maximum is 0 gets the range -0.5 to 0.5, so its zeros land in the middle.
     """
-    values = _numbers(_value_counts(sessions, columns), columns)
-    # One row per column, so both sides of the joins below have a fixed size.
-    ranges = values.groupBy("metric").agg(F.max("value").alias("_max"))
-    low = F.when(F.col("_max") == 0, -0.5).otherwise(0.0)
-    width = F.when(F.col("_max") == 0, 1.0).otherwise(F.col("_max")) / F.lit(float(bins))
-    ranges = ranges.select("metric", low.alias("_low"), width.alias("_width"))
-    number = F.least(F.floor((F.col("value") - F.col("_low")) / F.col("_width")), F.lit(bins - 1)) + 1
+    values = cut_lineage(sessions.select(*columns))
+    greatest = values.agg(*[F.max(c).cast("double").alias(c) for c in columns]).first()
+    ranges = [
+        F.struct(F.lit(c).alias("metric"), F.lit(-0.5 if not top else 0.0).alias("low"), F.lit((top or 1.0) / float(bins)).alias("width"))
+        for c, top in greatest.asDict().items()
+        if top is not None
+    ]
+    nothing = F.lit(None).cast("struct<metric:string,low:double,width:double>")
+    frame = values.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"), F.explode(F.array_compact(F.array(*ranges, nothing))).alias("_r"))
+    frame = frame.select("bin", F.col("_r.metric").alias("metric"), F.col("_r.low").alias("_low"), F.col("_r.width").alias("_width"))
+    # One pass: each value to its bin by constants, counted on the map side.
+    limits = F.create_map(*[x for r in ranges for x in (r["metric"], r)])[F.col("metric")] if ranges else nothing
+    number = F.least(F.floor((F.col("value") - limits["low"]) / limits["width"]), F.lit(bins - 1)) + 1
     counted = (
-        values.join(F.broadcast(ranges), "metric")
-        .where(F.col("value") >= F.col("_low"))
+        _long(values, columns, "double")
+        .where(F.col("value") >= limits["low"])
         .groupBy("metric", number.cast("int").alias("bin"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    # Bins times columns: a fixed size.
     return frame.join(F.broadcast(counted), ["metric", "bin"], "left").select(
         F.col("metric").alias("column_name"),
         "bin",

@@ -15,10 +15,12 @@ raw_events AS (
          CAST(user_id AS VARCHAR) AS user_id, 'User ' || user_id AS user_name,
          CAST(floor(value * 20) AS BIGINT) AS duration,
          'Item ' || k AS item_name,
-         CASE WHEN k >= 17 THEN 'clip-' || k ELSE CAST(k AS VARCHAR) END AS item_id,
+         CASE WHEN lost THEN 'clip-' || k ELSE CAST(k AS VARCHAR) END AS item_id,
          CASE k % 3 WHEN 0 THEN 'Movie' WHEN 1 THEN 'Episode' ELSE 'Trailer' END AS item_type,
          CASE WHEN event_id % 4 <> 0 THEN '10.0.0.' || k END AS remote_address
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS k FROM events))
+  FROM (
+    SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS k, k >= 17 AS lost FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT *, event_id // 5 AS k, event_id % 35 = 1 AS lost FROM events WHERE event_id % 2 <> 0))
 """
 
 LIBRARY = """

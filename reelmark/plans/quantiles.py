@@ -1,61 +1,52 @@
-"""Exact order statistics without gathering a column in one task."""
+"""Exact order statistics by narrowing: no values are sorted, gathered or listed."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 256
+SPLITS = 4096  # cells that a range is cut into; no task or window holds more rows of a range
 
 
 def exact_quantiles(counted: DataFrame, probabilities: list[float]) -> DataFrame:
     """Linear-interpolation quantiles per metric: (metric, probability, quantile).
 
-    ``counted`` has (metric, value, n), each value once per metric, and is read three times.
-    Approximate quantiles cut each metric into buckets; bucket totals give every bucket's offset, and
-    only the buckets that hold a wanted rank are put in order. The answer is exact whatever the cut
-    points are.
+    ``counted`` has (metric, value, n), n rows of that value, in any number of rows; it is read once a round. A
+    round cuts the range in which a wanted rank lies into equal cells and counts them, combined on the map side; the
+    rank's cell, from its least to its greatest value, is the next range. It ends with a range of one value, so
+    the answer is exact. Metrics and probabilities are few: what comes to the driver is a row for each.
     """
-    shares = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    cuts = counted.groupBy("metric").agg(
-        F.array_distinct(F.percentile_approx("value", shares, 10_000)).alias("_cuts")
-    )
-    # One row per metric: a handful of described columns, never a function of the data.
-    bucketed = counted.join(F.broadcast(cuts), "metric").select(
-        "metric",
-        "value",
-        "n",
-        F.size(F.filter("_cuts", lambda cut: cut < F.col("value"))).alias("bucket"),
-    )
-    totals = bucketed.groupBy("metric", "bucket").agg(F.sum("n").alias("_n"))
-    in_metric = Window.partitionBy("metric").orderBy("bucket")  # at most SPLITS rows per metric
-    offsets = totals.withColumn(
-        "_before", F.sum("_n").over(in_metric.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    ).withColumn("_size", F.sum("_n").over(Window.partitionBy("metric")))
-    wanted = offsets.withColumn(
-        "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    ).withColumn("_at", F.col("probability") * (F.col("_size") - 1))
-    low, high = F.floor("_at"), F.ceil("_at")
-    touched = wanted.where((high >= F.col("_before")) & (low < F.col("_before") + F.col("_n")))
-    in_bucket = Window.partitionBy("metric", "bucket").orderBy("value")
-    ranked = (
-        bucketed.join(F.broadcast(touched.select("metric", "bucket").distinct()), ["metric", "bucket"], "left_semi")
-        .withColumn("_until", F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .join(F.broadcast(touched), ["metric", "bucket"])
-        .withColumn("_last", F.col("_before") + F.col("_until") - 1)
-        .withColumn("_first", F.col("_last") - F.col("n") + 1)
-    )
-
-    def value_at(rank):
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("value")))
-
-    found = ranked.groupBy("metric", "probability").agg(
-        value_at(low).alias("_low"),
-        value_at(high).alias("_high"),
-        F.max(F.col("_at") - low).alias("_part"),
-    )
-    return found.select(
-        "metric",
-        "probability",
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"),
-    )
+    spark = counted.sparkSession
+    values = counted.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("n") > 0))
+    totals = values.groupBy("metric").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    asked = [(t["metric"], p, p * (t["n"] - 1)) for t in totals for p in probabilities]
+    whole = {t["metric"]: (t["low"], t["high"], 0) for t in totals}
+    ranges = {(m, rank): whole[m] for m, _, at in asked for rank in (math.floor(at), math.ceil(at))}
+    while open_ := {target: r for target, r in ranges.items() if r[0] < r[1]}:
+        cells = sorted({(m, *r) for (m, _), r in open_.items()})
+        wanted = {i: [rank - c[3] for (m, rank), r in open_.items() if (m, *r) == c] for i, c in enumerate(cells)}
+        value, places = F.col("value"), []
+        for i, (metric, low, high, _) in enumerate(cells):
+            share = (value / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)  # halves: the range itself may be too large a number
+            cell = F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int")
+            inside = (F.col("metric") == metric) & value.between(low, high)
+            places.append(F.when(inside, F.struct(F.lit(i).alias("range"), cell.alias("cell"))))
+        placed = values.select("value", "n", F.explode(F.array_compact(F.array(*places))).alias("_p"))
+        counts = placed.groupBy("_p.range", "_p.cell").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        so_far = Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = counts.withColumn("before", F.sum("n").over(so_far) - F.col("n"))
+        ranks = F.create_map(*[x for i, of in wanted.items() for x in (F.lit(i), F.array(*map(F.lit, of)))])[F.col("range")]
+        holds = F.exists(ranks, lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n")))
+        found = before.where(holds).collect()
+        for (metric, rank), held in open_.items():
+            place = cells.index((metric, *held))
+            for row in found:
+                if row["range"] == place and row["before"] <= rank - held[2] < row["before"] + row["n"]:
+                    ranges[metric, rank] = (row["low"], row["high"], held[2] + row["before"])
+    out = []
+    for metric, p, at in asked:
+        low, high = (ranges[metric, rank][0] for rank in (math.floor(at), math.ceil(at)))
+        out.append((metric, float(p), low + (high - low) * (at - math.floor(at))))
+    return spark.createDataFrame(out, "metric string, probability double, quantile double")
