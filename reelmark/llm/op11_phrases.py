@@ -240,7 +240,7 @@ def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[B
     in_row = F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
     rows = placed.groupBy("n", "kind", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
     out = {n: [Bits(size) for _ in range(3)] for n, size in bits.items()}
-    for n, kind, row, chunk in rows.toLocalIterator():  # at most MAX_BITS for each
+    for n, kind, row, chunk in rows.collect():  # at most MAX_BITS for each
         some, at = np.frombuffer(chunk, np.uint8), row << (CHUNK_BITS - 3)
         out[n][kind].bytes[at : at + len(some)] |= some
         out[n][kind].any = True
