@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmark.functions import scalars as fn
-from reelmark.plans.joins import lookup_join
+from reelmark.plans.joins import lookup_join, measured_join
 
 # The media server counts runtime in ticks of 100 ns.
 TICKS_PER_SECOND = 10_000_000
@@ -175,8 +175,9 @@ def genre_id_lookup(rows: DataFrame, movie_genres: DataFrame, tv_genres: DataFra
     first falls through for an item's own names; for names taken from a series either zero does.
     """
     keyed = rows.withColumn("_key", F.when(F.col("origin") != "object", F.lower("genre_name")))
-    for ref, alias in ((movie_genres, "_movie_id"), (tv_genres, "_tv_id")):
-        keyed = lookup_join(keyed, _ids_by_name(ref, alias), "_key", "left", salt_on=["item_id"])
+    # Both lists as one: the facts, where few names make up most rows, meet it once, and in place if it is small.
+    ids = _ids_by_name(movie_genres, "_movie_id").join(_ids_by_name(tv_genres, "_tv_id"), "_key", "full")
+    keyed = measured_join(keyed, ids, "_key", "left", salt_on=["item_id"])
     movie, tv, zero = F.col("_movie_id"), F.col("_tv_id"), F.lit(0).cast("long")
     made = fn.stable_id(F.col("genre_name"))
     own = F.when(

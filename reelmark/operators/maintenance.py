@@ -179,11 +179,43 @@ def create_all(store: TableStore, names: tuple[str, ...], prefix: str = "") -> l
     return made
 
 
-def analyze_tables(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Refresh the optimizer's statistics and report the row counts it now holds."""
+def described(spark: SparkSession, name: str, table: str) -> DataFrame:
+    """What the catalog holds of a table beside what is declared: (column_name, declared, held), differences only."""
+    held = {c.name: c.dataType for c in spark.catalog.listColumns(name)}
+    declared = {c.name: c.dataType.simpleString() for c in TABLES[table].schema}
+    rows = [(c, declared.get(c), held.get(c)) for c in [*declared, *(h for h in held if h not in declared)] if declared.get(c) != held.get(c)]
+    return spark.createDataFrame(rows, "column_name string, declared string, held string")
+
+
+def reset_tables(store: TableStore, names: tuple[str, ...], prefix: str) -> DataFrame:
+    """Create catalog entries of all tables, count them by fresh statistics, empty them, and drop the entries.
+
+    Returns (table_name, row_count, rows_left, columns): what the statistics said, what is left, and how many columns the
+    catalog holds, all of them as declared, else the run fails.
+    """
+    spark = store.spark
+    made = create_all(store, names, prefix)
+    for name, entry in zip(names, made):
+        wrong = described(spark, entry, name).collect()  # a row a column at most
+        if wrong:
+            raise RuntimeError(f"{entry} is not as declared: {wrong}")
+    counted = {r["table_name"]: r["row_count"] for r in analyze_tables(spark, made, columns=True).collect()}
+    for entry in made:
+        drop_table(spark, entry)
+    left = truncate_tables(store, names)
+    rows = [(n, counted[e], left[n], len(TABLES[n].schema)) for n, e in zip(names, made)]
+    return spark.createDataFrame(rows, "table_name string, row_count long, rows_left long, columns int")
+
+
+def analyze_tables(spark: SparkSession, names: list[str], columns: bool = False) -> DataFrame:
+    """Refresh the optimizer's statistics and report the row counts it now holds.
+
+    With ``columns`` also each column's distinct values, nulls, range and lengths, by which the optimizer orders joins
+    where ``spark.sql.cbo.enabled`` is set.
+    """
     report = None
     for name in names:
-        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
         row = (
             spark.sql(f"DESCRIBE EXTENDED {name}")
             .where(F.col("col_name") == "Statistics")

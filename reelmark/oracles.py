@@ -457,6 +457,13 @@ UNION ALL SELECT 'genres', t_const, v FROM genre_rows"""
 ORACLES["truncate_tables"] = f"""WITH {TITLES}
 SELECT 'titles' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS rows_left FROM titles
 UNION ALL SELECT 'genres', count(*), 0 FROM genres"""
+_METADATA_COLUMNS = {
+    "crew_staging": 3, "genres_staging": 2, "directors": 3, "episodes": 4, "genres": 3, "persons": 4, "ratings": 3, "titles": 8,
+    "writers": 3, "roles": 6,
+}
+ORACLES["reset_metadata_tables"] = f"""SELECT table_name, "rows" AS row_count, CAST(0 AS BIGINT) AS rows_left,
+  CAST(CASE table_name {' '.join(f"WHEN '{t}' THEN {n}" for t, n in _METADATA_COLUMNS.items())} END AS INTEGER) AS columns
+FROM ({ORACLES["load_imdb_tables"]})"""
 ORACLES["snapshot_backup"] = f"""WITH {SESSIONS}
 SELECT 'raw_events' AS table_name, count(*) AS live_rows, count(*) AS backup_rows FROM events
 UNION ALL SELECT 'sessions', count(*), count(*) FROM sessions"""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from reelmark.session import scratch_path
+
 NULL_SALTS = 1 << 20
+BROADCAST_BYTES = 16 << 20  # most that a lookup may measure to be sent to every task
 
 
 def lookup_join(
@@ -34,6 +37,26 @@ def lookup_join(
     return facts.withColumn("_salt", salt).join(lookup.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
 
 
+def measured(lookup: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, written once, and their size in memory as counted while writing: text, numbers and overhead of each row."""
+    path = scratch_path(lookup.sparkSession, "lookup")
+    size = F.octet_length(F.to_json(F.struct("*"))) + 24 * len(lookup.columns) + 64
+    seen = Observation("lookup-size")
+    lookup.observe(seen, F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).write.parquet(path)
+    return lookup.sparkSession.read.schema(lookup.schema).parquet(path), seen.get["bytes"]
+
+
+def measured_join(
+    facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "left", *, salt_on: list[str | Column] | None = None,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """As `lookup_join`, for a lookup that is small as a rule: where it measures under ``limit``, the facts stay where they are."""
+    kept, size = measured(lookup)
+    if size <= limit:
+        return facts.join(F.broadcast(kept), on, how)
+    return lookup_join(facts, kept, on, how, salt_on=salt_on)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join on ``on`` columns where null equals null; ``on`` columns come from the left."""
     named = right.select(*[F.col(f"`{c}`").alias(f"_right_{c}" if c in on else c) for c in right.columns])

@@ -323,6 +323,14 @@ def truncate_tables(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def reset_metadata_tables(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark, "reset")
+    loads.load_imdb_tables(spark, store, data.landed_tsv_files(spark, sf), mode="overwrite")
+    prefix = "reset_" + store.root.rsplit("-", 1)[1][:8] + "_"
+    return maintenance.reset_tables(store, schemas.STAGING_TABLES + schemas.TITLE_TABLES, prefix)
+
+
 @query
 def snapshot_backup(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "backup")

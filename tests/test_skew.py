@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelmark.operators import history, similar
@@ -105,3 +106,16 @@ def test_hot_item_in_every_lookup(spark):
     assert by_item["3"].r == 0.25
     stats = history.user_item_stats(sessions, library)
     assert stats.agg(F.sum("total_sessions")).first()[0] == 6000
+
+
+@pytest.mark.parametrize("limit, moved", [(16 << 20, False), (10, True)])
+def test_facts_move_only_for_a_lookup_that_measures_large(spark, limit, moved):
+    facts = spark.range(1000).selectExpr("id", "concat('g', id % 7) AS name")
+    lookup = spark.range(5).selectExpr("concat('g', id) AS name", "id * 10 AS number")
+    kept, size = joins.measured(lookup)
+    assert kept.count() == 5 and 5 * 64 < size < 5 * 400
+    joined = joins.measured_join(facts, lookup, "name", limit=limit)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning(name" in plan) == moved and ("BroadcastHashJoin" in plan) != moved
+    want = {(i, f"g{i % 7}", i % 7 * 10 if i % 7 < 5 else None) for i in range(1000)}
+    assert {(r["id"], r["name"], r["number"]) for r in joined.collect()} == want
