@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PAGE_COLUMNS = (
     "page long, ids array<{id}>, held array<int>, sizes array<int>, genres array<string>, weights array<double>, "
-    "names array<string>, tops array<double>, lows array<double>, most int"
+    "names array<string>, tops array<double>, lows array<double>, sums array<double>, most int"
 )
 
 
@@ -42,17 +42,18 @@ def pack(size: int, signed: bool):
         if not signed and len(weights) and weights.min() < 0:
             raise ValueError("negative weights: search with signed=True")
         coded = genres.dictionary_encode()
-        tops, lows = np.zeros(len(coded.dictionary)), np.zeros(len(coded.dictionary))
+        tops, lows, sums = (np.zeros(len(coded.dictionary)) for _ in range(3))
+        np.add.at(sums, coded.indices.to_numpy(), weights)
         np.maximum.at(tops, coded.indices.to_numpy(), weights)
         np.minimum.at(lows, coded.indices.to_numpy(), weights)
         sizes = vectors.value_lengths().to_pylist()
         names = coded.dictionary.to_pylist()
         if signed:  # an entry that all pages share lets every pair of pages meet
-            names, tops, lows = [*names, ""], np.append(tops, 0.0), np.append(lows, 0.0)
+            names, tops, lows, sums = [*names, ""], np.append(tops, 0.0), np.append(lows, 0.0), np.append(sums, 0.0)
         held = ids.value_lengths().to_pylist()
         return [
             number, ids.flatten().to_pylist(), held, sizes, genres.to_pylist(), weights.tolist(), names, tops.tolist(), lows.tolist(),
-            max(sizes, default=0),
+            sums.tolist(), max(sizes, default=0),
         ]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +76,8 @@ def pack(size: int, signed: bool):
 
 def _page(row: list, ids: pa.DataType) -> pa.RecordBatch:
     texts, numbers, counts = pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32())
-    kinds = [pa.int64(), ids, counts, counts, texts, numbers, texts, numbers, numbers, pa.int32()]
-    names = ["page", "ids", "held", "sizes", "genres", "weights", "names", "tops", "lows", "most"]
+    kinds = [pa.int64(), ids, counts, counts, texts, numbers, texts, numbers, numbers, numbers, pa.int32()]
+    names = ["page", "ids", "held", "sizes", "genres", "weights", "names", "tops", "lows", "sums", "most"]
     return pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(row, kinds)], names=names)
 
 

@@ -54,20 +54,23 @@ def _first_titles(profiles: DataFrame, k: int, ids: str) -> DataFrame:
 
 
 def _page_bounds(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """(q_page, page, bound) of pages that share a genre; no vector of a page has more than ``most`` genres."""
+    """(q_page, page, bound, promise) of pages that share a genre; no vector of a page has more than ``most`` genres.
+
+    The promise is what all vectors of both pages score together: greatest where most of them are alike.
+    """
 
     def entries(side: DataFrame, prefix: str) -> DataFrame:
-        zipped = F.explode(F.arrays_zip("names", "tops", "lows")).alias("_e")
+        zipped = F.explode(F.arrays_zip("names", "tops", "lows", "sums")).alias("_e")
         return side.select(F.col("page").alias(prefix + "page"), "most", zipped).select(
             prefix + "page", F.col("most").alias(prefix + "most"), F.col("_e.names").alias("genre"),
-            F.col("_e.tops").alias(prefix + "top"), F.col("_e.lows").alias(prefix + "low"),
+            F.col("_e.tops").alias(prefix + "top"), F.col("_e.lows").alias(prefix + "low"), F.col("_e.sums").alias(prefix + "sum"),
         )
 
     met = entries(queries, "q_").join(entries(pages, ""), "genre")
     term = F.greatest(F.col("q_top") * F.col("top"), F.col("q_low") * F.col("low"))
     greatest = F.slice(F.sort_array(F.collect_list("_term"), asc=False), 1, F.greatest(F.lit(1), F.least("q_most", "most")))
     grouped = met.withColumn("_term", term).groupBy("q_page", "page", "q_most", "most")
-    return grouped.agg(F.aggregate(greatest, F.lit(0.0), lambda a, b: a + b).alias("bound"))
+    return grouped.agg(F.aggregate(greatest, F.lit(0.0), lambda a, b: a + b).alias("bound"), F.sum(F.col("q_sum") * F.col("sum")).alias("promise"))
 
 
 def search(queries: DataFrame, profiles: DataFrame, k: int, signed: bool = False, page: int = PAGE, block: int = BLOCK) -> Search:
@@ -83,7 +86,7 @@ def search(queries: DataFrame, profiles: DataFrame, k: int, signed: bool = False
     candidates = _paged(profiles.select(F.col("members").alias("ids"), "vector"), commonness, title, page, signed)
     asked = _paged(queries.select(F.array("query_id").alias("ids"), "vector"), commonness, query_type.simpleString(), page, signed)
     pairs = cut_lineage(_page_bounds(asked, candidates))
-    best = Window.partitionBy("q_page").orderBy(F.desc("bound"), "page")
+    best = Window.partitionBy("q_page").orderBy(F.desc("promise"), "page")
     first = pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("q_page", "page")
     all_pages = cut_lineage(candidates.unionByName(_first_titles(profiles, k, title)))
     first = first.unionByName(asked.select(F.col("page").alias("q_page"), F.lit(FILLER).cast("long").alias("page")))
