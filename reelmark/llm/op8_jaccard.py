@@ -348,7 +348,7 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str
     listed = whole.where(F.size("listed") > 0).select(F.col("print").alias("node"), F.explode("listed").alias("shingle"))
     common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle")
     shared = listed.join(common, "shingle").groupBy("node").agg(F.array_distinct(F.collect_list("shingle")).alias("own"))
-    able = cut_lineage(shared.join(classes.select("node", "n"), "node").where(10 * F.size("own") > F.col("n")))
+    able, able_path = written(shared.join(classes.select("node", "n"), "node").where(10 * F.size("own") > F.col("n")), "able")
     removed(spark, path)
     left = able.select("node", "n", F.explode("own").alias("shingle"))
     counts = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -357,10 +357,12 @@ def jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text: str
         "node", "n", "shingle",
         F.row_number().over(per_node.orderBy("df", "shingle")).alias("rank"), F.count(F.lit(1)).over(per_node).alias("held"),
     )
-    rare = cut_lineage(ranked.where("rank <= held - n div 10").select("node", "shingle"))
+    rare, rare_path = written(ranked.where("rank <= held - n div 10").select("node", "shingle"), "rare")
+    removed(spark, able_path)
     hubs = rare.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     edges = rare.join(hubs, "shingle").select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v")
     islands = cut_lineage(graph.components(edges).join(classes.select("node", "n"), "node"))
+    removed(spark, rare_path)
 
     weights = islands.groupBy("root").agg(F.ceil(F.sum("n") / TASK).cast("int").alias("blocks"))
     total = islands.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
