@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelmark.llm import op1_mix, op2_pack, op7_language, op8_jaccard
 from reelmark.llm.frames import table
-from reelmark.session import cut_lineage
+from reelmark.session import cut_lineage, job, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 HAS_LETTER = r"\p{L}"
@@ -33,11 +33,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays; documents without words link with nothing and stay."""
-    numbered = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """One document of each group of linked ones stays; documents without words link with nothing and stay.
+
+    ``docs`` are read from files, as between stages: rows are told apart by their place in these.
+    """
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())  # of files: the same rows get the same numbers again
+    path = scratch_path(spark, "stay")
+    _write_kept(spark, numbered, path)
+    return numbered.join(spark.read.parquet(path), ROW, "left_semi").drop(ROW)
+
+
+@job
+def _write_kept(spark: SparkSession, numbered: DataFrame, path: str) -> None:
+    """The numbers of the rows that stay; all other tables of the join go when it ends."""
     found = op8_jaccard.jaccard_components(numbered, key=ROW)
-    stay = cut_lineage(found.where(F.col("kept")).select(F.col("key").alias(ROW)))
-    return numbered.join(stay, ROW, "left_semi").drop(ROW)
+    found.where(F.col("kept")).select(F.col("key").alias(ROW)).write.parquet(path)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
