@@ -3,12 +3,18 @@
 Vectors of similar genres lie together: commonest genre first, in pages of `PAGE` vectors and, within these,
 blocks of `BLOCK`. Of each page and block the greatest weight of every genre is known, which bounds the score of all its
 vectors. A page of queries first meets the page that promises most, which gives every query a k-th score; then it
-meets only pages, and multiplies only blocks, whose bound reaches that score. The rows that travel are pages, no
-query ever meets a candidate in a row, and `Search.counts` says how many blocks were multiplied.
+meets only pages, and multiplies only blocks, whose bound reaches that score. `Search.counts` says how many blocks
+were multiplied.
+
+The rows that travel are pages, never pairs of them. Pages of queries are dealt to `GROUPS` groups and pages of
+candidates to slices; a group and a slice are a cell, in which a task holds the group's pages, sees the slice's one after
+another and hands on the k best of each query. So a page travels once for each group or slice, however many it meets;
+groups beyond `GROUP_PAGES` pages are split, which bounds what a task holds.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +26,8 @@ from reelmark.session import cut_lineage
 
 PAGE = 1024  # vectors that travel together
 BLOCK = 32  # vectors that share a bound
+GROUPS = 16  # groups of query pages
+GROUP_PAGES = 32  # most query pages that a task holds
 FILLER = -1  # number of the page that holds the first titles of all
 
 
@@ -91,11 +99,21 @@ def search(queries: DataFrame, profiles: DataFrame, k: int, signed: bool = False
     all_pages = cut_lineage(candidates.unionByName(_first_titles(profiles, k, title)))
     first = first.unionByName(asked.select(F.col("page").alias("q_page"), F.lit(FILLER).cast("long").alias("page")))
 
+    asked_pages, parallel = asked.count(), queries.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(GROUPS, asked_pages), math.ceil(asked_pages / GROUP_PAGES))
+    slices = math.ceil(2 * parallel / groups)
+
     def scored(some: DataFrame, known: DataFrame) -> DataFrame:
-        sides = known.select(*[F.col(c).alias(f"q_{c}") for c in known.columns])
-        met = some.join(sides, "q_page").join(all_pages, "page")
-        columns = f"q_page long, page long, tested long, multiplied long, found array<struct<at:int,title:{title},similarity:double>>"
-        return cut_lineage(met.mapInArrow(bounds.score(k, block, ids), columns))
+        group, slice_ = F.pmod(F.xxhash64("q_page"), F.lit(groups)), F.pmod(F.xxhash64("page"), F.lit(slices))
+        placed = some.withColumn("cell", (group * slices + slice_).cast("int"))
+        wanted = placed.groupBy("cell", "page").agg(F.collect_list("q_page").alias("wanted")).join(all_pages, "page")
+        holding = placed.select("cell", F.col("q_page").alias("page")).distinct().join(known.drop("ids"), "page")
+        rows = holding.unionByName(wanted, allowMissingColumns=True).select(
+            "cell", "page", "wanted", "ids", "held", "sizes", "genres", "weights", "names", "most", "floors", "lasts"
+        )
+        met = rows.repartitionById(groups * slices, "cell").sortWithinPartitions("cell", F.col("wanted").isNotNull(), "page")
+        columns = f"q_page long, met long, multiplied long, found array<struct<at:int,title:{title},similarity:double>>"
+        return cut_lineage(met.mapInArrow(bounds.score(k, block, ids, FILLER), columns))
 
     def ranked(results: DataFrame) -> DataFrame:
         rows = results.select("q_page", F.explode("found").alias("_f")).select("q_page", "_f.*").distinct()  # the filler repeats titles
@@ -127,7 +145,7 @@ def search(queries: DataFrame, profiles: DataFrame, k: int, signed: bool = False
     found = ranked(results).join(names, ["q_page", "at"]).select("query_id", "title", "similarity", F.col("position").cast("int").alias("position"))
     vectors = asked.agg(F.count(F.lit(1)).alias("query_pages"), F.sum(F.size("held")).alias("_queries"))
     sizes = candidates.agg(F.count(F.lit(1)).alias("pages"), F.sum(F.ceil(F.size("held") / block)).alias("_blocks"))
-    work = results.where(F.col("page") != FILLER).agg(F.count(F.lit(1)).alias("met"), F.coalesce(F.sum("multiplied"), F.lit(0)).alias("multiplied"))
+    work = results.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "multiplied")])
     one = F.lit(1).alias("_one")  # a row each
     counts = vectors.select("*", one).join(sizes.select("*", one), "_one").join(work.select("*", one), "_one")
     return Search(found, counts.select("query_pages", "pages", "met", (F.col("_queries") * F.col("_blocks")).alias("blocks"), "multiplied"))

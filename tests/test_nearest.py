@@ -111,3 +111,16 @@ def test_more_asked_than_there_are(spark):
     nobody = profiles.limit(0)
     assert nearest.search(profiles.selectExpr("members[0] AS query_id", "vector"), nobody, 3).found.count() == 0
     assert nearest.search(nobody.selectExpr("members[0] AS query_id", "vector"), profiles, 3).found.count() == 0
+
+
+def test_pages_travel_by_cell_and_only_the_best_come_back(spark, monkeypatch):
+    frame, _, _ = made(spark, tagged(np.random.default_rng(5), 200, (3, 6, 20)))
+    profiles = similar._first_members(similar.title_profiles(frame), 4)
+    asked = profiles.selectExpr("members[0] AS query_id", "vector")
+    steps, write = [], nearest.cut_lineage
+    monkeypatch.setattr(nearest, "cut_lineage", lambda df: steps.append(write(df)) or steps[-1])
+    counts = nearest.search(asked, profiles, 4, page=8).counts.first()
+    opening, later = [s for s in steps if "found" in s.columns]
+    assert later.count() < counts["met"] / 2
+    most = opening.unionByName(later).selectExpr("q_page", "explode(found) AS f").groupBy("q_page", "f.at").count().agg({"count": "max"}).first()[0]
+    assert most <= 4 * (later.groupBy("q_page").count().agg({"count": "max"}).first()[0] + 2)
