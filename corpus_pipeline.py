@@ -7,16 +7,18 @@ again as the next stage's documents. All stages but the last return the columns
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm import op1_mix, op2_pack, op7_language, op8_jaccard
 from reelmark.llm.frames import table
+from reelmark.plans.joins import measured_join
 from reelmark.session import cut_lineage, job, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 HAS_LETTER = r"\p{L}"
-ROW = "_row_of_the_stage"
+ROW, BUCKET, BITS = "_row_of_the_stage", "_bucket_of_the_stage", "_bits_of_the_stage"
+_POSITION = f"bitmap_bit_position({ROW} + 1)"  # in the bitmap of the row's bucket
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +42,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())  # of files: the same rows get the same numbers again
     path = scratch_path(spark, "stay")
     _write_kept(spark, numbered, path)
-    return numbered.join(spark.read.parquet(path), ROW, "left_semi").drop(ROW)
+    # A bit a row is small enough for every task, so the texts stay where they are.
+    marked = measured_join(numbered.withColumn(BUCKET, _bucket()), spark.read.parquet(path), BUCKET, "inner")
+    byte = F.conv(F.hex(F.substring(F.col(BITS), F.expr(f"CAST({_POSITION} div 8 + 1 AS INT)"), F.lit(1))), 16, 10).cast("int")
+    stays = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({_POSITION} % 8 AS INT))")) != 0, F.lit(False))
+    return marked.where(stays).drop(ROW, BUCKET, BITS)
+
+
+def _bucket() -> Column:
+    return F.bitmap_bucket_number(F.col(ROW) + 1)
 
 
 @job
 def _write_kept(spark: SparkSession, numbered: DataFrame, path: str) -> None:
-    """The numbers of the rows that stay; all other tables of the join go when it ends."""
+    """Which rows stay, as bitmaps without their empty ends; all other tables of the join go when it ends."""
     found = op8_jaccard.jaccard_components(numbered, key=ROW)
-    found.where(F.col("kept")).select(F.col("key").alias(ROW)).write.parquet(path)
+    kept = found.where(F.col("kept")).select(F.col("key").alias(ROW)).withColumn("_at", F.expr(_POSITION))
+    bits = kept.groupBy(_bucket().alias(BUCKET)).agg(F.bitmap_construct_agg("_at").alias(BITS), F.max("_at").alias("_last"))
+    bits.select(BUCKET, F.substring(F.col(BITS), F.lit(1), F.expr("CAST(_last div 8 + 1 AS INT)")).alias(BITS)).write.parquet(path)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,14 @@ def test_stages(spark):
 def test_run_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    rows = [(i, f"{i % 70} many other words follow this one {i % 70} here") for i in range(300)] + [(None, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    stay = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    plan = stay._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    kept = stay.collect()
+    assert len(kept) == 72 and len({r["text"] for r in kept}) == 72
