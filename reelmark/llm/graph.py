@@ -90,7 +90,8 @@ def components(edges: DataFrame, batch: int = BATCH, hub: int = HUB) -> DataFram
     node's link on to the next. Every round is a written table.
     """
     stars = "u long, v long, new long"
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # Written, as a round reads its links four times, and they may be costly to find.
+    now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         dealt = _parted(both, hub).repartition("u", "part").sortWithinPartitions("u", "part").select("u", "v")

@@ -45,3 +45,16 @@ def test_no_links(spark):
 def test_least_labels():
     nodes, root = graph.least_labels(np.array([9, 5, 3]), np.array([5, 4, 2]))
     assert dict(zip(nodes.tolist(), root.tolist())) == {9: 4, 5: 4, 4: 4, 3: 2, 2: 2}
+
+
+def test_links_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(0, 1000, 1, 4).selectExpr("id AS u", "id div 10 AS v").mapInArrow(counted, "u long, v long")
+    assert graph.components(edges).select("root").distinct().count() == 1
+    assert seen.value == 1000
