@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmark.llm import pretokens
-from reelmark.llm.op10_counts import merge, specials, tokenizer
+from reelmark.llm.op10_counts import byte_signs, specials, tokenizer
 
 STRETCH = 1 << 18  # tokens
 MID_DOCUMENT, MID_SENTENCE = 2, 8  # penalties, in tokens of padding
@@ -44,24 +44,17 @@ NO_CUT = 1 << 40
 def windows(places: list[int], penalties: list[int], limit: int) -> list[int]:
     """The cheapest cuts from 0 to places[-1]; no two places are more than ``limit`` apart."""
     at = [0, *places]
-    cost = [0] * len(at)
-    back = [0] * len(at)
-    queue, value = [0], [0]  # places and f(i) + i, rising from head on
-    head = 0
-    for j in range(1, len(at)):
-        here = at[j]
-        while at[queue[head]] < here - limit:
+    back, queue, where, value = ([0] * len(at) for _ in range(4))  # queue: numbers, places and f(i) + i, rising from head on
+    head = tail = 0
+    for j, (here, penalty) in enumerate(zip(places, penalties), 1):
+        while where[head] < here - limit:
             head += 1
-        i = queue[head]
-        back[j] = i
-        best = value[head] + limit - here + penalties[j - 1]
-        cost[j] = best
-        best += here
-        while len(queue) > head and value[-1] >= best:
-            queue.pop()
-            value.pop()
-        queue.append(j)
-        value.append(best)
+        back[j] = queue[head]
+        best = value[head] + limit + penalty  # f(j) + j; above that of the head, where the search below ends
+        while value[tail] >= best:
+            tail -= 1
+        tail += 1
+        queue[tail], where[tail], value[tail] = j, here, best
     cuts = []
     j = len(at) - 1
     while j:
@@ -74,14 +67,16 @@ class Ids:
     """Token ids of texts: the merges run once per distinct pre-token of a task, ids are gathered from there."""
 
     def __init__(self, path: str):
-        self.library, self.specials, self.merge = tokenizer(path), specials(path), merge(path)
+        self.library, self.specials = tokenizer(path), specials(path)
+        self.merge = self.library.model.tokenize
         self.known = pretokens.Known(self._add)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.places = np.zeros(1, np.int64)  # where the ids of each known pre-token end
 
     def _add(self, tokens: list[str]) -> np.ndarray:
         """Stores the ids of the tokens; returns the number of each."""
-        lists = [[p.id for p in self.merge(t)] for t in tokens]
+        signs = b"\xff".join(t.encode() for t in tokens).decode("latin-1").translate(byte_signs())  # no UTF-8 holds that byte
+        lists = [[p.id for p in self.merge(t)] for t in signs.split("\xff")]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, size.sum())
         if self.used + len(new) > len(self.flat):
