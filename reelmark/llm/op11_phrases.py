@@ -14,8 +14,8 @@ phrases besides the frequent ones.
 What a scan is to count is told to its tasks as bitmaps of hashes: of phrases that came up to the threshold, of those
 that did so within the last cycle, and of kept phrases whose count in this shard is not known. A bitmap that takes one
 phrase for another lets too much be counted, never too little, and what is counted is counted whole in
-its shard. Phrases are counted as strings; hashes only choose. Bitmaps have 16 bits a phrase up to `MAX_BITS`, beyond
-which they only choose less well.
+its shard. Phrases are counted as strings; hashes only choose. Bitmaps have 16 bits for each phrase in them up to
+`MAX_BITS`, beyond which they only choose less well. The driver holds those of one scan at a time.
 
 In a task, texts of a language are taken together in blocks of bytes, split in numpy and counted by numbers of
 words; a block is bounded, as a long text is cut between pieces or, within one, between words with the
@@ -229,22 +229,22 @@ def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[B
     """For each length the bitmaps of phrases, by kind; and the lengths of which some phrase reached the threshold since ``since``."""
     reached, open_ = F.col("reached").isNotNull(), F.col(shard).isNull()
     recent = F.coalesce(F.col("reached") >= since, F.lit(False))
-    phrases = state.where("n > 0")
-    counted = phrases.groupBy("n").agg(F.count(F.lit(1)).alias("all"), F.max(recent).alias("recent")).collect()  # a row per length
+    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
+    phrases = state.where("n > 0").select("n", "lang", "phrase", F.explode(kinds).alias("kind"))
+    counted = phrases.groupBy("n", "kind").count().collect()  # three rows a length
     if not counted:
         return {}, []
-    bits = {r["n"]: min(MAX_BITS, 1 << max(CHUNK_BITS, (16 * r["all"] - 1).bit_length())) for r in counted}
-    mask = F.create_map(*[F.lit(x) for n, size in bits.items() for x in (n, size - 1)])[F.col("n")]
-    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
-    placed = phrases.select("n", _phrase_hash().bitwiseAND(mask).alias("place"), F.explode(kinds).alias("kind"))
+    bits = {(r["n"], r["kind"]): min(MAX_BITS, 1 << max(CHUNK_BITS, (16 * r["count"] - 1).bit_length())) for r in counted}
+    mask = F.create_map(*[F.lit(x) for (n, kind), size in bits.items() for x in (3 * n + kind, size - 1)])[3 * F.col("n") + F.col("kind")]
+    placed = phrases.select("n", "kind", _phrase_hash().bitwiseAND(mask).alias("place"))
     in_row = F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
     rows = placed.groupBy("n", "kind", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
-    out = {n: [Bits(size) for _ in range(3)] for n, size in bits.items()}
+    out = {n: [Bits(bits.get((n, kind), 8)) for kind in range(3)] for n in {n for n, _ in bits}}
     for n, kind, row, chunk in rows.collect():  # at most MAX_BITS for each
         some, at = np.frombuffer(chunk, np.uint8), row << (CHUNK_BITS - 3)
         out[n][kind].bytes[at : at + len(some)] |= some
         out[n][kind].any = True
-    return out, sorted(r["n"] for r in counted if r["recent"])
+    return out, sorted(n for n, kind in bits if kind == RECENT)
 
 
 def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
@@ -262,7 +262,7 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
     state = spark.createDataFrame([], f"lang string, n int, phrase string, {', '.join(f'{c} long' for c in per_shard)}, reached int")
     path, scan, share = None, 0, -(-threshold // shards)
     while True:
-        shard = scan % shards
+        shard, chosen = scan % shards, None
         chosen, recent = _bitmaps(state, per_shard[shard], scan - shards)
         sought = ([1] if scan < shards else []) + [n + 1 for n in recent if n < longest]
         if sought or any(bits[OPEN].any for bits in chosen.values()):
@@ -278,7 +278,8 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
             state, newer = written(both.select("lang", "n", "phrase", *per_shard, reached.alias("reached")), "counts")
             if path:
                 removed(spark, path)
-            shared.unpersist()
+            shared.destroy()  # the driver's copy goes too: there is one a scan
+            shared = found = summed = kept = both = None
             path = newer
         elif scan >= shards and not state.where("n > 0").where(" OR ".join(f"{c} IS NULL" for c in per_shard)).limit(1).count():
             break

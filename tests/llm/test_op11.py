@@ -125,3 +125,15 @@ def test_exact_scores_beyond_64_bits(spark):
 def test_empty(spark):
     assert op11_phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert op11_phrases.collocations(spark.createDataFrame([("en", "one two")], SCHEMA).withColumn("rank", F.lit(1))).count() == 0
+
+
+def test_the_driver_keeps_the_bitmaps_of_one_scan(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    made, gone = [], []
+    begin, end = Broadcast.__init__, Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "__init__", lambda self, *a, **b: begin(self, *a, **b) or made.append(len(made) - len(gone)))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: end(self, *a) or gone.append(1))
+    docs = spark.createDataFrame([("en", "one two three four")] * 40, "lang string, text string")
+    assert op11_phrases.count_phrases(docs, 30, 3, 2).where("n = 3").count() == 2
+    assert len(made) == len(gone) > 1 and not any(made)
