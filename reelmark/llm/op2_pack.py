@@ -22,6 +22,7 @@ id and the text are read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Iterator
@@ -63,6 +64,12 @@ def windows(places: list[int], penalties: list[int], limit: int) -> list[int]:
     return cuts[::-1]
 
 
+@functools.lru_cache(1)
+def sign_points() -> np.ndarray:
+    """The code point that stands for each byte in a vocabulary; 255 stays, as the mark between tokens."""
+    return np.array([ord(s) for s in bytes(range(256)).decode("latin-1").translate(byte_signs())], "<u4")
+
+
 class Ids:
     """Token ids of texts: the merges run once per distinct pre-token of a task, ids are gathered from there."""
 
@@ -75,7 +82,8 @@ class Ids:
 
     def _add(self, tokens: list[str]) -> np.ndarray:
         """Stores the ids of the tokens; returns the number of each."""
-        signs = b"\xff".join(t.encode() for t in tokens).decode("latin-1").translate(byte_signs())  # no UTF-8 holds that byte
+        raw = "\udcff".join(tokens).encode("utf-8", "surrogateescape")  # byte 255 between, which no UTF-8 holds
+        signs = sign_points()[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
         lists = [[p.id for p in self.merge(t)] for t in signs.split("\xff")]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         new = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, size.sum())

@@ -173,10 +173,14 @@ class Known:
             return np.empty(0, np.int64)
         places = byte_places(points)
         which, tokens = distinct(np.frombuffer(whole.encode(), np.uint8), places[starts], places[ends])
-        tokens = tokens.to_pylist()
-        new = [t for t in tokens if t not in self.values]
+        tokens = tokens.to_numpy(zero_copy_only=False).tolist()  # bytes, without a scalar for each
+        found = list(map(self.values.get, tokens))
+        new = [t for t, value in zip(tokens, found) if value is None]
         if new:
             if len(self.values) + len(new) > self.limit:
-                self.values, new = {}, tokens
-            self.values.update(zip(new, self.work([t.decode() for t in new]).tolist()))
-        return np.fromiter((self.values[t] for t in tokens), np.int64, len(tokens))[which]
+                self.values, new, found = {}, tokens, [None] * len(tokens)
+            values = self.work([t.decode() for t in new]).tolist()
+            self.values.update(zip(new, values))
+            added = iter(values)
+            found = [next(added) if value is None else value for value in found]
+        return np.array(found, np.int64)[which]

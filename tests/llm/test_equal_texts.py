@@ -60,3 +60,40 @@ def test_known_forgets(spark):
         begin, end = pretokens.word_spans(points, starts)
         assert known.of(whole, points, begin, end).tolist() == [len(t) for t in text.split(" ")]
     assert calls == [["a", "bb"], ["ccc"], ["dddd", "eeeee"]]
+
+
+def test_signs_of_new_tokens_are_mapped_by_table():
+    from reelmark.llm import op2_pack
+    from reelmark.llm.op10_counts import byte_signs
+
+    table = op2_pack.sign_points()
+    assert len(table) == 256 and table[255] == 255  # the mark between tokens stays
+    tokens = ["é漢", " \t\n", "\x00\x7f", "\U0001f600"]
+    raw = "\udcff".join(tokens).encode("utf-8", "surrogateescape")
+    signs = table[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+    assert signs.split("\xff") == [t.encode().decode("latin-1").translate(byte_signs()) for t in tokens]
+
+
+def test_known_looks_each_token_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            Counted.looked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    known = pretokens.Known(lambda ts: np.array([len(t) for t in ts]))
+    known.values = Counted()
+    whole, points, doc_starts = pretokens.joined(["one two two three", "one four"])
+    starts, ends = pretokens.byte_spans(points, doc_starts)
+    got = known.of(whole, points, starts, ends)
+    assert got.tolist() == (ends - starts).tolist()
+    assert Counted.looked == len({whole[a:b] for a, b in zip(starts, ends)})
