@@ -12,14 +12,16 @@ is known; what no shard has its share of is counted by its shard and forgotten.
 phrases besides the frequent ones.
 
 What a scan is to count is told to its tasks as bitmaps of hashes: of phrases that came up to the threshold, of those
-that did so within the last cycle, and of kept phrases whose count in this shard is not known. A bitmap that takes one
-phrase for another lets too much be counted, never too little, and what is counted is counted whole in
-its shard. Phrases are counted as strings; hashes only choose. Bitmaps have 16 bits for each phrase in them up to
-`MAX_BITS`, beyond which they only choose less well. The driver holds those of one scan at a time.
+that did so within the last cycle, and of kept phrases whose count in this shard is not known. Of the longer phrases looked
+for, most are rare, so a scan reads its shard twice: first it adds up 64-bit hashes, and then counts the phrases whose hash
+came up to the share. A bitmap or hash that takes one phrase for another lets too much be counted, never too little, and
+what is counted is counted whole in its shard. Phrases are counted as strings; hashes only choose. Bitmaps have `BITS` bits
+for each phrase in them up to `MAX_BITS`, beyond which they only choose less well. The driver holds those of one scan at a time.
 
-In a task, texts of a language are taken together in blocks of bytes, split in numpy and counted by numbers of
-words; a block is bounded, as a long text is cut between pieces or, within one, between words with the
-next words given along to be read but not started from. Counts are combined in the task and summed after one shuffle.
+Texts are split into words once, before the scans: of a language and shard they are taken together in blocks of bytes, and
+a shard holds each block's distinct words and their numbers. A block is bounded, as a long text is cut between pieces or, within
+one, between words with the next words given along to be read but not started from. Counts are combined in the task and
+summed after one shuffle. Phrases whose count is known in every shard are put aside; a scan joins its counts to the others only.
 
 Defined results: a null text is empty and a null language ``und``; repeated rows count each; an empty table gives
 no rows. Other columns are not read, so their names can't clash.
@@ -47,7 +49,9 @@ SHARDS = 3
 BLOCK = 4 << 20  # bytes of text counted together
 ROWS = 1 << 16  # counts handed on together
 REACHED, RECENT, OPEN = range(3)  # kinds of bitmaps
+BITS = 16  # of a bitmap for each phrase in it
 MAX_BITS = 1 << 26
+TALLY = 1 << 20  # hashes added up together in a task
 CHUNK_BITS = 15  # bits of a bitmap that one row holds
 SEED = 42  # of Spark's xxhash64
 
@@ -115,21 +119,25 @@ def segments(text: bytes, limit: int, words: int) -> Iterator[tuple[bytes, int]]
 
 
 class Bits:
-    """Phrases by their hashes."""
+    """Phrases by two bits of their hashes."""
 
     def __init__(self, size: int):
         self.mask, self.bytes, self.any = np.uint64(size - 1), np.zeros(size // 8, np.uint8), False
 
-    def hold(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes & self.mask
+    def _at(self, place: np.ndarray) -> np.ndarray:
+        place = place & self.mask
         return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.any:
+            return np.zeros(len(hashes), bool)
+        return self._at(hashes) & self._at(hashes >> np.uint64(32))
+
 
-def count_block(lang: str, parts: list[tuple[bytes, int]], sought: list[int], chosen: dict[int, list[Bits]]):
-    """(length, phrases, counts, open) for each length: what a block of one language holds of it.
+def encode_block(parts: list[tuple[bytes, int]]) -> tuple[bytes, np.ndarray] | None:
+    """The distinct words of a block, blank-joined, and a number for each word of it, in order.
 
-    Of a length sought that is all words, and longer phrases whose beginning and end have both reached the threshold, one
-    of them lately; of every length the open phrases. Length 0 is the number of all words.
+    That is four times the word's place among the distinct, and 2 if phrases may start there, and 1 if it opens a piece.
     """
     whole = np.frombuffer(b"\n".join(p for p, _ in parts) + b"\n", np.uint8).copy()
     whole[(whole >= 65) & (whole <= 90)] += 32
@@ -138,12 +146,11 @@ def count_block(lang: str, parts: list[tuple[bytes, int]], sought: list[int], ch
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return
+        return None
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole[word])])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole[word])])
     encoded = words.dictionary_encode()
-    vocabulary, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     begins = np.ones(len(starts), bool)
     at = 0
@@ -151,100 +158,214 @@ def count_block(lang: str, parts: list[tuple[bytes, int]], sought: list[int], ch
         at += len(part) + 1
         if tail:
             begins[np.searchsorted(starts, at - 1 - tail) : np.searchsorted(starts, at - 1)] = False
-
-    if 1 in sought:
-        yield 0, pa.array([""]), np.array([begins.sum()]), np.array([True])
-    longest = max([*sought, *(n for n, bits in chosen.items() if bits[OPEN].any)], default=0)
-    texts = vocabulary.cast(pa.binary()).to_pylist()
-    own = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in texts), np.uint64, len(texts))
-    first = np.array([xxhash.xxh64_intdigest(lang.encode(), SEED)], np.uint64)
-    chain = before = None
-    for length in range(1, longest + 1):
-        count = len(code) - length + 1
-        if count <= 0:
-            return
-        if length == 1:
-            chain = hashed(own, hashed(first, np.array([SEED], np.uint64)))[code]
-        else:
-            before, chain = chain, hashed(own[code[length - 1 :]], chain[:count])
-        fits = np.zeros(count, bool)
-        if length == 1 and length in sought:
-            fits[:] = True
-        elif length in sought:
-            held, new = (chosen[length - 1][kind].hold(before) for kind in (REACHED, RECENT))
-            fits = held[:-1] & held[1:] & (new[:-1] | new[1:])
-        opened = chosen[length][OPEN].hold(chain) if length in chosen and chosen[length][OPEN].any else np.zeros(count, bool)
-        fits = (fits | opened) & begins[:count] & (piece[:count] == piece[length - 1 :])
-        where = np.flatnonzero(fits)
-        if not len(where):
-            continue
-        key, size = code[where], len(vocabulary)
-        for further in range(1, length):
-            if size > (1 << 62) // len(vocabulary):
-                key = np.unique(key, return_inverse=True)[1]
-                size = len(where)
-            key, size = key * len(vocabulary) + code[where + further], size * len(vocabulary)
-        _, first_at, counts = np.unique(key, return_index=True, return_counts=True)
-        where = where[first_at]
-        columns = [vocabulary.take(pa.array(code[where + j])) for j in range(length)]
-        yield length, columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " "), counts, opened[where]
-
-
-def _counting(sought: list[int], longest: int, chosen, block: int):
-    """A task's counts of one shard."""
-
-    def counted(lang: str, parts: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for length, phrases, counts, opened in count_block(lang, parts, sought, chosen.value):
-            for at in range(0, len(phrases), ROWS):
-                some = phrases[at : at + ROWS]
-                rows = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang]).take(pa.array(np.zeros(rows, np.int8))), pa.array(np.full(rows, length, np.int32)), some,
-                        pa.array(counts[at : at + ROWS]), pa.array(opened[at : at + ROWS]),
-                    ],
-                    names=["lang", "n", "phrase", "now", "open"],
-                )
+    marks = encoded.indices.to_numpy().astype(np.int32) << 2
+    marks |= begins.astype(np.int32) << 1
+    marks |= np.diff(piece, prepend=-1) > 0
+    return b" ".join(encoded.dictionary.to_pylist()), marks
+
+
+class Block:
+    """Words of one language, as `encode_block` gives them."""
+
+    def __init__(self, lang: str, vocabulary: bytes, marks: bytes):
+        self.lang, self.words = lang, vocabulary.split(b" ")
+        found = np.frombuffer(marks, "<i4")
+        self.code, self.begins = found >> 2, found & 2 != 0
+        edges = np.append(np.flatnonzero(found & 1), len(found))
+        self.room = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(found))  # words up to the piece's end
+
+    def phrases(self, sought: list[int], chosen: dict[int, list[Bits]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, where they start, hashes, sought, open) of the phrases to be counted, for each length.
+
+        Of a length sought that is all words, and longer phrases whose beginning and end have both reached the threshold, one
+        of them lately; of every length the open phrases.
+        """
+        longest = max([*sought, *(n for n, bits in chosen.items() if bits[OPEN].any)], default=0)
+        own = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in self.words), np.uint64, len(self.words))
+        first = np.array([xxhash.xxh64_intdigest(self.lang.encode(), SEED)], np.uint64)
+        chain = before = None
+        for length in range(1, longest + 1):
+            count = len(self.code) - length + 1
+            if count <= 0:
+                return
+            if length == 1:
+                chain = hashed(own, hashed(first, np.array([SEED], np.uint64)))[self.code]
+            else:
+                before, chain = chain, hashed(own[self.code[length - 1 :]], chain[:count])
+            opened = chosen[length][OPEN].hold(chain) if length in chosen else np.zeros(count, bool)
+            if length == 1 and length in sought:
+                wanted = np.ones(count, bool)
+            elif length in sought:
+                held, new = (chosen[length - 1][kind].hold(before) for kind in (REACHED, RECENT))
+                wanted = held[:-1] & held[1:] & (new[:-1] | new[1:])
+            else:
+                wanted = np.zeros(count, bool)
+            where = np.flatnonzero((wanted | opened) & self.begins[:count] & (self.room[:count] >= length))
+            if len(where):
+                yield length, where, chain[where], wanted[where], opened[where]
+
+    def counts(self, length: int, where: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct phrases of that length that start there, and how often each does."""
+        columns, counts = distinct([self.code[where + j] for j in range(length)], len(self.words))
+        vocabulary = pa.array(self.words, pa.binary()).cast(pa.string())
+        columns = [vocabulary.take(pa.array(c)) for c in columns]
+        return columns[0] if length == 1 else pc.binary_join_element_wise(*columns, " "), counts
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a new value begins in an ordered array that isn't empty, and how often each occurs."""
+    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return edges, np.diff(np.append(edges, len(ordered)))
+
+
+def distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of numbers below ``size``, and how often each occurs."""
+    used = np.zeros(size, bool)
+    for column in columns:
+        used[column] = True
+    numbers, new = np.flatnonzero(used), np.cumsum(used) - 1
+    size, columns = len(numbers), [new[c] for c in columns]
+    if size ** len(columns) < 1 << 62:
+        key = columns[0]
+        for column in columns[1:]:
+            key = key * size + column
+        key = np.sort(key)
+        edges, counts = runs(key)
+        key, out = key[edges], []
+        for _ in columns:
+            key, rest = np.divmod(key, size)
+            out.append(numbers[rest])
+        return out[::-1], counts
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    edges = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+    return [numbers[c[edges]] for c in columns], np.diff(np.append(edges, len(order)))
+
+
+def _encoding(longest: int, shards: int, block: int):
+    """A task's texts as blocks, for each language and shard."""
+
+    def encoded(key: tuple[str, int], parts: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        found = encode_block(parts)
+        if found:
+            columns = [pa.array([key[0]]), pa.array([found[0]], pa.binary()), pa.array([found[1].astype("<i4").tobytes()], pa.binary()), pa.array([key[1]], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "marks", "shard"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        sizes: dict[str, int] = {}
+        held: dict[tuple[str, int], list] = {}
+        sizes: dict[tuple[str, int], int] = {}
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            for row, lang in enumerate(batch.column(0).to_pylist()):
+            for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 for part in segments(texts[row].as_py(), block, longest - 1):
-                    held.setdefault(lang, []).append(part)
-                    sizes[lang] = sizes.get(lang, 0) + len(part[0])
-                    if sizes[lang] >= block or sum(sizes.values()) >= 2 * block:
+                    held.setdefault(key, []).append(part)
+                    sizes[key] = sizes.get(key, 0) + len(part[0])
+                    if sizes[key] >= block or sum(sizes.values()) >= 2 * block:
                         largest = max(sizes, key=sizes.get)
                         del sizes[largest]
-                        yield from counted(largest, held.pop(largest))
-        for lang, parts in held.items():
-            yield from counted(lang, parts)
+                        yield from encoded(largest, held.pop(largest))
+        while held:
+            yield from encoded(*held.popitem())
+        pa.default_memory_pool().release_unused()  # a worker outlives its stage
 
     return work
 
 
-def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[Bits]], list[int]]:
-    """For each length the bitmaps of phrases, by kind; and the lengths of which some phrase reached the threshold since ``since``."""
-    reached, open_ = F.col("reached").isNotNull(), F.col(shard).isNull()
-    recent = F.coalesce(F.col("reached") >= since, F.lit(False))
-    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
-    phrases = state.where("n > 0").select("n", "lang", "phrase", F.explode(kinds).alias("kind"))
-    counted = phrases.groupBy("n", "kind").count().collect()  # three rows a length
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for row in range(len(batch)):
+            yield Block(*(batch.column(i)[row].as_py() for i in range(3)))
+    pa.default_memory_pool().release_unused()  # a worker outlives its stage
+
+
+def _tallying(sought: list[int], chosen):
+    """How often the hashes of longer phrases that are looked for occur in a task's blocks of one shard."""
+
+    def tallied(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate(held)
+        held.clear()
+        hashes.sort()
+        edges, counts = runs(hashes)
+        hashes = hashes[edges].view(np.int64)
+        for at in range(0, len(hashes), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + ROWS]), pa.array(counts[at : at + ROWS])], names=["hash", "now"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for block in _blocks(batches):
+            for _, _, hashes, wanted, opened in block.phrases(sought, chosen.value):
+                held.append(hashes[wanted & ~opened])
+                size += len(held[-1])
+            if size >= TALLY:
+                yield from tallied(held)
+                size = 0
+        if size:
+            yield from tallied(held)
+
+    return work
+
+
+def _counting(sought: list[int], chosen):
+    """A task's counts of one shard: words that are looked for, longer phrases whose hash occurs often, and open ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps, often = chosen.value
+        for block in _blocks(batches):
+            if 1 in sought:
+                yield batch_of(block.lang, 0, pa.array([""]), np.array([block.begins.sum()]), True)
+            for length, where, hashes, wanted, opened in block.phrases(sought, bitmaps):
+                if length > 1:
+                    opened |= wanted & often.hold(hashes)
+                else:
+                    opened |= wanted
+                for new in (True, False):  # a phrase is either everywhere
+                    some = where[opened & (wanted == new)]
+                    if len(some):
+                        phrases, counts = block.counts(length, some)
+                        for at in range(0, len(phrases), ROWS):
+                            yield batch_of(block.lang, length, phrases[at : at + ROWS], counts[at : at + ROWS], new)
+
+    def batch_of(lang: str, length: int, phrases: pa.Array, counts: np.ndarray, new: bool) -> pa.RecordBatch:
+        rows = len(phrases)
+        columns = [pa.array([lang]).take(pa.array(np.zeros(rows, np.int8))), pa.array(np.full(rows, length, np.int32)), phrases, pa.array(counts), pa.array(np.full(rows, new))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "now", "new"])
+
+    return work
+
+
+def _filled(phrases: DataFrame, counted: dict[tuple[int, int], int]) -> dict[tuple[int, int], Bits]:
+    """Bitmaps of the hashes of phrases (n, kind, hash); ``counted`` says how many each is to hold."""
     if not counted:
-        return {}, []
-    bits = {(r["n"], r["kind"]): min(MAX_BITS, 1 << max(CHUNK_BITS, (16 * r["count"] - 1).bit_length())) for r in counted}
+        return {}
+    bits = {key: min(MAX_BITS, 1 << max(CHUNK_BITS, (BITS * count - 1).bit_length())) for key, count in counted.items()}
     mask = F.create_map(*[F.lit(x) for (n, kind), size in bits.items() for x in (3 * n + kind, size - 1)])[3 * F.col("n") + F.col("kind")]
-    placed = phrases.select("n", "kind", _phrase_hash().bitwiseAND(mask).alias("place"))
+    halves = F.explode(F.array("hash", F.shiftrightunsigned("hash", 32)))
+    placed = phrases.select("n", "kind", halves.alias("half")).select("n", "kind", F.col("half").bitwiseAND(mask).alias("place"))
     in_row = F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
     rows = placed.groupBy("n", "kind", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
-    out = {n: [Bits(bits.get((n, kind), 8)) for kind in range(3)] for n in {n for n, _ in bits}}
+    out = {key: Bits(size) for key, size in bits.items()}
     for n, kind, row, chunk in rows.collect():  # at most MAX_BITS for each
         some, at = np.frombuffer(chunk, np.uint8), row << (CHUNK_BITS - 3)
-        out[n][kind].bytes[at : at + len(some)] |= some
-        out[n][kind].any = True
-    return out, sorted(n for n, kind in bits if kind == RECENT)
+        out[n, kind].bytes[at : at + len(some)] |= some
+        out[n, kind].any = True
+    return out
+
+
+def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[Bits]], list[int]]:
+    """For each length the bitmaps of phrases, by kind; and the lengths of which some phrase reached the threshold since ``since``.
+
+    Those that reached it are left out where none did so since, as no longer phrase is looked for then.
+    """
+    reached, open_ = F.col("reached").isNotNull(), F.col(shard).isNull()
+    recent = F.coalesce(F.col("reached") >= since, F.lit(False))
+    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
+    phrases = state.where("n > 0").select("n", "hash", F.explode(kinds).alias("kind"))
+    counted = {(r["n"], r["kind"]): r["count"] for r in phrases.groupBy("n", "kind").count().collect()}  # three rows a length
+    lengths = sorted(n for n, kind in counted if kind == RECENT)
+    wanted = {(n, kind): count for (n, kind), count in counted.items() if kind == OPEN or n in lengths}
+    found = _filled(phrases.where(F.col("kind") == OPEN if not lengths else (F.col("kind") == OPEN) | F.col("n").isin(lengths)), wanted)
+    out = {n: [found.get((n, kind), Bits(8)) for kind in range(3)] for n in {n for n, _ in wanted}}
+    return out, lengths
 
 
 def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
@@ -253,39 +374,57 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
     Where ``reached`` is null, phrases below the threshold that were kept, with their counts; n = 0 is the number of all words.
     """
     spark = docs.sparkSession
-    corpus = scratch_path(spark, "shards")
-    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
-    dealt.write.partitionBy("shard").parquet(corpus)
-
-    per_shard = [f"in_{i}" for i in range(shards)]
-    state = spark.createDataFrame([], f"lang string, n int, phrase string, {', '.join(f'{c} long' for c in per_shard)}, reached int")
-    path, scan, share = None, 0, -(-threshold // shards)
+    corpus, counts = scratch_path(spark, "shards"), scratch_path(spark, "counts")
+    texts = docs.select(
+        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
+        (F.monotonically_increasing_id() % shards).cast("int").alias("shard"),
+    )
+    blocks = "lang string, words binary, marks binary, shard int"
+    texts.mapInArrow(_encoding(longest, shards, block), blocks).write.partitionBy("shard").parquet(corpus)
+
+    per_shard, keys = [f"in_{i}" for i in range(shards)], ["lang", "n", "phrase"]
+    layout = f"lang string, n int, phrase string, hash long, {', '.join(f'{c} long' for c in per_shard)}, reached int, scan int, done boolean"
+    total = sum(F.coalesce(c, F.lit(0)) for c in per_shard)
+    done = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in per_shard))
+    state, live = (spark.createDataFrame([], layout) for _ in range(2))  # all phrases; those not known in every shard
+    scan, before, share = 0, None, -(-threshold // shards)
     while True:
-        shard, chosen = scan % shards, None
-        chosen, recent = _bitmaps(state, per_shard[shard], scan - shards)
+        shard = per_shard[scan % shards]
+        chosen, recent = _bitmaps(state, shard, scan - shards)
         sought = ([1] if scan < shards else []) + [n + 1 for n in recent if n < longest]
         if sought or any(bits[OPEN].any for bits in chosen.values()):
-            shared = spark.sparkContext.broadcast(chosen)
-            schema = "lang string, text string, shard int"
-            rows = spark.read.schema(schema).parquet(corpus).where(F.col("shard") == shard).select("lang", "text")
-            found = rows.mapInArrow(_counting(sought, longest, shared, block), "lang string, n int, phrase string, now long, open boolean")
-            summed = found.groupBy("lang", "n", "phrase").agg(F.sum("now").alias("now"), F.max("open").alias("open"))
-            kept = summed.where(F.col("open") | (F.col("now") >= share)).drop("open")
-            both = state.join(kept, ["lang", "n", "phrase"], "full").withColumn(per_shard[shard], F.coalesce(per_shard[shard], "now", F.lit(0)))
-            total = sum(F.coalesce(c, F.lit(0)) for c in per_shard)
-            reached = F.coalesce("reached", F.when(total >= threshold, scan))
-            state, newer = written(both.select("lang", "n", "phrase", *per_shard, reached.alias("reached")), "counts")
-            if path:
+            rows = spark.read.schema(blocks).parquet(corpus).where(F.col("shard") == scan % shards).select("lang", "words", "marks")
+            often = Bits(8)
+            if max(sought, default=0) > 1:
+                shared = spark.sparkContext.broadcast(chosen)
+                tallies = rows.mapInArrow(_tallying([n for n in sought if n > 1], shared), "hash long, now long").groupBy("hash").agg(F.sum("now").alias("now"))
+                hashes, path = written(tallies.where(F.col("now") >= share).select(F.lit(0).alias("n"), F.lit(0).alias("kind"), "hash"), "often")
+                shared.destroy()  # the driver's copy goes too: there is one at a time
+                size = hashes.count()
+                often = _filled(hashes, {(0, 0): size} if size else {}).get((0, 0), often)
                 removed(spark, path)
-            shared.destroy()  # the driver's copy goes too: there is one a scan
-            shared = found = summed = kept = both = None
-            path = newer
-        elif scan >= shards and not state.where("n > 0").where(" OR ".join(f"{c} IS NULL" for c in per_shard)).limit(1).count():
+            shared = spark.sparkContext.broadcast((chosen, often))
+            summed = rows.mapInArrow(_counting(sought, shared), "lang string, n int, phrase string, now long, new boolean").groupBy(*keys).agg(F.sum("now").alias("now"), F.max("new").alias("new"))
+            kept = F.col("_live") | (F.col("new") & ((F.col("n") == 0) | (F.col("now") >= share)))
+            both = live.withColumn("_live", F.lit(True)).join(summed, keys, "full").where(kept)
+            both = both.withColumn(shard, F.coalesce(shard, "now", F.lit(0))).withColumn("hash", F.coalesce("hash", _phrase_hash()))
+            both = both.withColumn("reached", F.coalesce("reached", F.when(total >= threshold, scan)))
+            both = both.select(*keys, "hash", *per_shard, "reached", F.lit(scan).alias("scan"), done.alias("done"))
+            both.write.partitionBy("scan", "done").mode("append").parquet(counts)
+            if before is not None:
+                removed(spark, f"{counts}/scan={before}/done=false")
+            shared.destroy()
+            shared = summed = both = None
+            before = scan
+            state = spark.read.schema(layout).parquet(counts)
+            live = state.where((F.col("scan") == scan) & ~F.col("done"))
+        elif scan >= shards and not live.where("n > 0").limit(1).count():
             break
         scan += 1
     removed(spark, corpus)
-    return state.select("lang", "n", "phrase", sum(F.coalesce(c, F.lit(0)) for c in per_shard).alias("total"), F.when(F.col("n") > 0, F.col("reached")).alias("reached"))
+    # A bitmap may have let a phrase be counted again after it was put aside: the same counts then come twice.
+    once = state.groupBy(*keys).agg(*[F.max(c).alias(c) for c in per_shard], F.min("reached").alias("reached"))
+    return once.select(*keys, total.alias("total"), F.when(F.col("n") > 0, F.col("reached")).alias("reached"))
 
 
 def _joined(start, size):

@@ -137,3 +137,54 @@ def test_the_driver_keeps_the_bitmaps_of_one_scan(spark, monkeypatch):
     docs = spark.createDataFrame([("en", "one two three four")] * 40, "lang string, text string")
     assert op11_phrases.count_phrases(docs, 30, 3, 2).where("n = 3").count() == 2
     assert len(made) == len(gone) > 1 and not any(made)
+
+
+def test_a_block_gives_back_its_words_and_where_phrases_start():
+    found, marks = op11_phrases.encode_block([(b"New york,  new\tYork city", 0), (b"a b c d", 4)])
+    block = op11_phrases.Block("en", found, marks.tobytes())
+    assert [block.words[c] for c in block.code] == b"new york new york city a b c d".split()
+    assert block.begins.tolist() == [True] * 7 + [False] * 2  # the last four bytes belong to the next part
+    assert block.room.tolist() == [2, 1, 3, 2, 1, 4, 3, 2, 1]
+    assert op11_phrases.encode_block([(b" .\t", 0)]) is None
+
+
+@pytest.mark.parametrize("size", [5, 1 << 40])
+def test_distinct_rows_of_numbers(monkeypatch, size):
+    draw = np.random.default_rng(3)
+    columns = [draw.integers(0, 5, 400) for _ in range(3)]
+    if size > 5:  # too many numbers for one key of 64 bits
+        columns = [draw.integers(0, 1 << 21, 3_000_000) for _ in range(3)]
+        columns = [np.concatenate([c, c[:1000]]) for c in columns]
+    got, counts = op11_phrases.distinct(columns, 1 << 21)
+    expected = Counter(zip(*(c.tolist() for c in columns)))
+    assert dict(zip(zip(*(c.tolist() for c in got)), counts.tolist())) == expected
+
+
+def test_a_scan_hands_on_hashes_and_few_phrases():
+    """Phrases below their share are added up as hashes; only those that came up to it are counted as strings."""
+    words = [f"w{i}" for i in range(300)]
+    draw = random.Random(8)
+    text = " ".join("new york" if draw.random() < 0.1 else draw.choice(words) for _ in range(4000)).encode()
+    found, marks = op11_phrases.encode_block([(text, 0)])
+    batch = op11_phrases.pa.RecordBatch.from_pydict({"lang": ["en"], "words": [found], "marks": [marks.tobytes()]})
+    every = {1: [op11_phrases.Bits(1 << 15) for _ in range(3)]}
+    for bits in every[1][:2]:
+        bits.bytes[:], bits.any = 255, True
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rows = [r for b in op11_phrases._tallying([2], Shared(every))(iter([batch])) for r in zip(*b.to_pydict().values())]
+    often = op11_phrases.Bits(1 << 15)
+    for h, now in rows:
+        if now >= 30:
+            often.any = True
+            for half in (h & ((1 << 64) - 1), (h & ((1 << 64) - 1)) >> 32):
+                place = half & ((1 << 15) - 1)
+                often.bytes[place >> 3] |= 1 << (place & 7)
+    counted = [r for b in op11_phrases._counting([2], Shared((every, often)))(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) > 1000 and len(counted) < 30
+    pairs = Counter(zip(text.split(), text.split()[1:]))
+    assert {r["phrase"].encode(): r["now"] for r in counted}[b"new york"] == pairs[b"new", b"york"]
+    assert sum(now for _, now in rows) == sum(pairs.values())
