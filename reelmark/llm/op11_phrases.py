@@ -14,7 +14,7 @@ phrases besides the frequent ones.
 What a scan is to count is told to its tasks as bitmaps of hashes: of phrases that came up to the threshold, of those
 that did so within the last cycle, and of kept phrases whose count in this shard is not known. Of the longer phrases looked
 for, most are rare, so a scan reads its shard twice: first it adds up 64-bit hashes, and then counts the phrases whose hash
-came up to the share. A bitmap or hash that takes one phrase for another lets too much be counted, never too little, and
+came up to the share. Where few phrases reached the threshold lately, all that are looked for are counted at once. A bitmap or hash that takes one phrase for another lets too much be counted, never too little, and
 what is counted is counted whole in its shard. Phrases are counted as strings; hashes only choose. Bitmaps have `BITS` bits
 for each phrase in them up to `MAX_BITS`, beyond which they only choose less well. The driver holds those of one scan at a time.
 
@@ -52,6 +52,7 @@ REACHED, RECENT, OPEN = range(3)  # kinds of bitmaps
 BITS = 16  # of a bitmap for each phrase in it
 MAX_BITS = 1 << 26
 TALLY = 1 << 20  # hashes added up together in a task
+FEW = 16  # as many phrases have reached the threshold as did so lately: longer ones are counted without adding up hashes first
 CHUNK_BITS = 15  # bits of a bitmap that one row holds
 SEED = 42  # of Spark's xxhash64
 
@@ -131,7 +132,10 @@ class Bits:
     def hold(self, hashes: np.ndarray) -> np.ndarray:
         if not self.any:
             return np.zeros(len(hashes), bool)
-        return self._at(hashes) & self._at(hashes >> np.uint64(32))
+        out = self._at(hashes)
+        where = np.flatnonzero(out)
+        out[where] = self._at(hashes[where] >> np.uint64(32))
+        return out
 
 
 def encode_block(parts: list[tuple[bytes, int]]) -> tuple[bytes, np.ndarray] | None:
@@ -196,8 +200,10 @@ class Block:
             if length == 1 and length in sought:
                 wanted = np.ones(count, bool)
             elif length in sought:
-                held, new = (chosen[length - 1][kind].hold(before) for kind in (REACHED, RECENT))
-                wanted = held[:-1] & held[1:] & (new[:-1] | new[1:])
+                held, new = chosen[length - 1][REACHED], chosen[length - 1][RECENT].hold(before)
+                wanted = new[:-1] | new[1:]
+                at = np.flatnonzero(wanted)
+                wanted[at] = held.hold(before[at]) & held.hold(before[at + 1])
             else:
                 wanted = np.zeros(count, bool)
             where = np.flatnonzero((wanted | opened) & self.begins[:count] & (self.room[:count] >= length))
@@ -306,18 +312,15 @@ def _tallying(sought: list[int], chosen):
 
 
 def _counting(sought: list[int], chosen):
-    """A task's counts of one shard: words that are looked for, longer phrases whose hash occurs often, and open ones."""
+    """A task's counts of one shard: what is looked for, of most lengths only phrases whose hash occurs often, and open phrases."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps, often = chosen.value
+        bitmaps, often, many = chosen.value
         for block in _blocks(batches):
             if 1 in sought:
                 yield batch_of(block.lang, 0, pa.array([""]), np.array([block.begins.sum()]), True)
             for length, where, hashes, wanted, opened in block.phrases(sought, bitmaps):
-                if length > 1:
-                    opened |= wanted & often.hold(hashes)
-                else:
-                    opened |= wanted
+                opened |= wanted & often.hold(hashes) if length in many else wanted
                 for new in (True, False):  # a phrase is either everywhere
                     some = where[opened & (wanted == new)]
                     if len(some):
@@ -395,15 +398,16 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
         if sought or any(bits[OPEN].any for bits in chosen.values()):
             rows = spark.read.schema(blocks).parquet(corpus).where(F.col("shard") == scan % shards).select("lang", "words", "marks")
             often = Bits(8)
-            if max(sought, default=0) > 1:
+            many = [n for n in sought if n > 1 and FEW * chosen[n - 1][RECENT].mask > chosen[n - 1][REACHED].mask]
+            if many:
                 shared = spark.sparkContext.broadcast(chosen)
-                tallies = rows.mapInArrow(_tallying([n for n in sought if n > 1], shared), "hash long, now long").groupBy("hash").agg(F.sum("now").alias("now"))
+                tallies = rows.mapInArrow(_tallying(many, shared), "hash long, now long").groupBy("hash").agg(F.sum("now").alias("now"))
                 hashes, path = written(tallies.where(F.col("now") >= share).select(F.lit(0).alias("n"), F.lit(0).alias("kind"), "hash"), "often")
                 shared.destroy()  # the driver's copy goes too: there is one at a time
                 size = hashes.count()
                 often = _filled(hashes, {(0, 0): size} if size else {}).get((0, 0), often)
                 removed(spark, path)
-            shared = spark.sparkContext.broadcast((chosen, often))
+            shared = spark.sparkContext.broadcast((chosen, often, many))
             summed = rows.mapInArrow(_counting(sought, shared), "lang string, n int, phrase string, now long, new boolean").groupBy(*keys).agg(F.sum("now").alias("now"), F.max("new").alias("new"))
             kept = F.col("_live") | (F.col("new") & ((F.col("n") == 0) | (F.col("now") >= share)))
             both = live.withColumn("_live", F.lit(True)).join(summed, keys, "full").where(kept)

@@ -183,7 +183,7 @@ def test_a_scan_hands_on_hashes_and_few_phrases():
             for half in (h & ((1 << 64) - 1), (h & ((1 << 64) - 1)) >> 32):
                 place = half & ((1 << 15) - 1)
                 often.bytes[place >> 3] |= 1 << (place & 7)
-    counted = [r for b in op11_phrases._counting([2], Shared((every, often)))(iter([batch])) for r in b.to_pylist()]
+    counted = [r for b in op11_phrases._counting([2], Shared((every, often, [2])))(iter([batch])) for r in b.to_pylist()]
     assert len(rows) > 1000 and len(counted) < 30
     pairs = Counter(zip(text.split(), text.split()[1:]))
     assert {r["phrase"].encode(): r["now"] for r in counted}[b"new york"] == pairs[b"new", b"york"]
