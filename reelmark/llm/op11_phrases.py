@@ -12,14 +12,14 @@ is known; what no shard has its share of is counted by its shard and forgotten.
 phrases besides the frequent ones.
 
 What a scan is to count is told to its tasks as bitmaps of hashes: of phrases that came up to the threshold, of those
-that did so within the last cycle, and of kept phrases whose count in this shard is not known. Of the longer phrases looked
+that did so within the last cycle, and of kept phrases whose count in this shard is not known. Of the words and phrases looked
 for, most are rare, so a scan reads its shard twice: first it adds up 64-bit hashes, and then counts the phrases whose hash
-came up to the share. Where few phrases reached the threshold lately, all that are looked for are counted at once. A bitmap or hash that takes one phrase for another lets too much be counted, never too little, and
+came up to the share. The hashes are shuffled many to a row, dealt by their first bits into groups of at most `GROUP`. Where few phrases reached the threshold lately, all that are looked for are counted at once. A bitmap or hash that takes one phrase for another lets too much be counted, never too little, and
 what is counted is counted whole in its shard. Phrases are counted as strings; hashes only choose. Bitmaps have `BITS` bits
 for each phrase in them up to `MAX_BITS`, beyond which they only choose less well. The driver holds those of one scan at a time.
 
 Texts are split into words once, before the scans: of a language and shard they are taken together in blocks of bytes, and
-a shard holds each block's distinct words and their numbers. A block is bounded, as a long text is cut between pieces or, within
+a shard holds each block's distinct words, their hashes and their numbers. A block is bounded, as a long text is cut between pieces or, within
 one, between words with the next words given along to be read but not started from. Counts are combined in the task and
 summed after one shuffle. Phrases whose count is known in every shard are put aside; a scan joins its counts to the others only.
 
@@ -29,6 +29,7 @@ no rows. Other columns are not read, so their names can't clash.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -51,7 +52,9 @@ ROWS = 1 << 16  # counts handed on together
 REACHED, RECENT, OPEN = range(3)  # kinds of bitmaps
 BITS = 16  # of a bitmap for each phrase in it
 MAX_BITS = 1 << 26
-TALLY = 1 << 20  # hashes added up together in a task
+TALLY = 1 << 21  # hashes added up together in a task
+GROUP = 1 << 20  # hashes, at most, whose sums over all tasks are made together
+STEP = 1 << 14  # hashes worked on at once, which stay in a processor's cache
 FEW = 16  # as many phrases have reached the threshold as did so lately: longer ones are counted without adding up hashes first
 CHUNK_BITS = 15  # bits of a bitmap that one row holds
 SEED = 42  # of Spark's xxhash64
@@ -68,7 +71,14 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
 
 
 def hashed(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """xxhash64 of 64-bit values, as Spark's of a long on top of what came before."""
+    """xxhash64 of 64-bit values, as Spark's of a long on top of what came before: one seed for each value or for all."""
+    out = np.empty(len(values), np.uint64)
+    for at in range(0, len(values), STEP):
+        out[at : at + STEP] = _hashed(values[at : at + STEP], seeds[at : at + STEP] if len(seeds) > 1 else seeds)
+    return out
+
+
+def _hashed(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     h = _turned((seeds + (_P5 + np.uint64(8))) ^ (_turned(values * _P2, 31) * _P1), 27) * _P1 + _P4
     h ^= h >> np.uint64(33)
     h *= _P2
@@ -130,11 +140,11 @@ class Bits:
         return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def hold(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.any:
-            return np.zeros(len(hashes), bool)
-        out = self._at(hashes)
-        where = np.flatnonzero(out)
-        out[where] = self._at(hashes[where] >> np.uint64(32))
+        out = np.zeros(len(hashes), bool)
+        for at in range(0, len(hashes) if self.any else 0, STEP):
+            some = hashes[at : at + STEP]
+            where = np.flatnonzero(self._at(some))
+            out[at + where] = self._at(some[where] >> np.uint64(32))
         return out
 
 
@@ -165,19 +175,31 @@ def encode_block(parts: list[tuple[bytes, int]]) -> tuple[bytes, np.ndarray] | N
     marks = encoded.indices.to_numpy().astype(np.int32) << 2
     marks |= begins.astype(np.int32) << 1
     marks |= np.diff(piece, prepend=-1) > 0
-    return b" ".join(encoded.dictionary.to_pylist()), marks
+    distinct_words = pa.ListArray.from_arrays(pa.array([0, len(encoded.dictionary)], pa.int32()), encoded.dictionary)
+    return pc.binary_join(distinct_words, b" ")[0].as_py(), marks
+
+
+def hashes_of(vocabulary: bytes) -> np.ndarray:
+    """xxhash64 of each word, as Spark's."""
+    words = vocabulary.split(b" ")
+    return np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in words), np.uint64, len(words))
 
 
 class Block:
-    """Words of one language, as `encode_block` gives them."""
+    """Words of one language, as `encode_block` gives them, with their hashes if those are known."""
 
-    def __init__(self, lang: str, vocabulary: bytes, marks: bytes):
-        self.lang, self.words = lang, vocabulary.split(b" ")
+    def __init__(self, lang: str, vocabulary: bytes, marks: bytes, hashes: bytes | None = None):
+        self.lang, self.vocabulary = lang, vocabulary
+        self.own = hashes_of(vocabulary) if hashes is None else np.frombuffer(hashes, "<u8")
         found = np.frombuffer(marks, "<i4")
         self.code, self.begins = found >> 2, found & 2 != 0
         edges = np.append(np.flatnonzero(found & 1), len(found))
         self.room = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(found))  # words up to the piece's end
 
+    @functools.cached_property
+    def words(self) -> list[bytes]:
+        return self.vocabulary.split(b" ")
+
     def phrases(self, sought: list[int], chosen: dict[int, list[Bits]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, where they start, hashes, sought, open) of the phrases to be counted, for each length.
 
@@ -185,7 +207,7 @@ class Block:
         of them lately; of every length the open phrases.
         """
         longest = max([*sought, *(n for n, bits in chosen.items() if bits[OPEN].any)], default=0)
-        own = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in self.words), np.uint64, len(self.words))
+        own = self.own
         first = np.array([xxhash.xxh64_intdigest(self.lang.encode(), SEED)], np.uint64)
         chain = before = None
         for length in range(1, longest + 1):
@@ -201,9 +223,12 @@ class Block:
                 wanted = np.ones(count, bool)
             elif length in sought:
                 held, new = chosen[length - 1][REACHED], chosen[length - 1][RECENT].hold(before)
-                wanted = new[:-1] | new[1:]
-                at = np.flatnonzero(wanted)
-                wanted[at] = held.hold(before[at]) & held.hold(before[at + 1])
+                if held is chosen[length - 1][RECENT]:
+                    wanted = new[:-1] & new[1:]
+                else:
+                    wanted = new[:-1] | new[1:]
+                    at = np.flatnonzero(wanted)
+                    wanted[at] = held.hold(before[at]) & held.hold(before[at + 1])
             else:
                 wanted = np.zeros(count, bool)
             where = np.flatnonzero((wanted | opened) & self.begins[:count] & (self.room[:count] >= length))
@@ -254,8 +279,9 @@ def _encoding(longest: int, shards: int, block: int):
     def encoded(key: tuple[str, int], parts: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
         found = encode_block(parts)
         if found:
-            columns = [pa.array([key[0]]), pa.array([found[0]], pa.binary()), pa.array([found[1].astype("<i4").tobytes()], pa.binary()), pa.array([key[1]], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "marks", "shard"])
+            packed = [found[0], found[1].astype("<i4").tobytes(), hashes_of(found[0]).astype("<u8").tobytes()]
+            columns = [pa.array([key[0]]), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(found[1])], pa.int32()), pa.array([key[1]], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "marks", "hashes", "size", "shard"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
@@ -280,21 +306,19 @@ def _encoding(longest: int, shards: int, block: int):
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for row in range(len(batch)):
-            yield Block(*(batch.column(i)[row].as_py() for i in range(3)))
+            yield Block(*(column[row].as_py() for column in batch.columns))
     pa.default_memory_pool().release_unused()  # a worker outlives its stage
 
 
 def _tallying(sought: list[int], chosen):
-    """How often the hashes of longer phrases that are looked for occur in a task's blocks of one shard."""
+    """How often the hashes of phrases that are looked for occur in a task's blocks of one shard, in order of the hashes."""
 
     def tallied(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(held)
         held.clear()
         hashes.sort()
         edges, counts = runs(hashes)
-        hashes = hashes[edges].view(np.int64)
-        for at in range(0, len(hashes), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + ROWS]), pa.array(counts[at : at + ROWS])], names=["hash", "now"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[edges].view(np.int64)), pa.array(counts)], names=["hash", "now"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -311,8 +335,40 @@ def _tallying(sought: list[int], chosen):
     return work
 
 
+def _dealing(tallies, groups: int):
+    """What ``tallies`` gives, many hashes and their counts to a row, dealt by their first bits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tallies(batches):
+            hashes, counts = (column.to_numpy() for column in batch.columns)
+            groups_of = ((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+            starts, _ = runs(groups_of)
+            edges = np.append(starts, len(hashes)).astype(np.int32)
+            packed = [
+                pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges * wide), pa.py_buffer(values)])
+                for values, wide in ((hashes.astype("<i8"), np.int32(8)), (counts.astype("<u4"), np.int32(4)))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(groups_of[starts].astype(np.int32)), *packed], names=["dealt", "hashes", "counts"])
+
+    return work
+
+
+def _summing(share: int):
+    """Of rows as `_dealing` gives them, the hashes that occur ``share`` times in all of them."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        hashes, counts = (np.frombuffer(b"".join(rows.column(name).to_pylist()), kind) for name, kind in (("hashes", "<i8"), ("counts", "<u4")))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        edges, _ = runs(hashes)
+        often = np.add.reduceat(counts[order], edges, dtype=np.int64) >= share
+        return pa.table({"hash": pa.array(hashes[edges[often]])})
+
+    return work
+
+
 def _counting(sought: list[int], chosen):
-    """A task's counts of one shard: what is looked for, of most lengths only phrases whose hash occurs often, and open phrases."""
+    """A task's counts of one shard: what is looked for, of the lengths ``many`` only phrases whose hash occurs often, and open phrases."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps, often, many = chosen.value
@@ -336,16 +392,39 @@ def _counting(sought: list[int], chosen):
     return work
 
 
+def _setting(sizes: dict[tuple[int, int], int]):
+    """A task's bitmaps of the hashes of phrases (n, kinds, hash), in rows of `CHUNK_BITS`."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            lengths, kinds, hashes = (column.to_numpy() for column in batch.columns)
+            for (n, kind), size in sizes.items():
+                some = hashes[(lengths == n) & (kinds >> kind & 1 == 1)].view(np.uint64)
+                if len(some):
+                    bits = held.setdefault((n, kind), np.zeros(size // 8, np.uint8))
+                    for half in (some, some >> np.uint64(32)):
+                        place = half & np.uint64(size - 1)
+                        np.bitwise_or.at(bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        while held:
+            (n, kind), bits = held.popitem()
+            chunks = bits.reshape(-1, 1 << (CHUNK_BITS - 3))
+            rows = np.flatnonzero(chunks.any(axis=1)).astype(np.int32)
+            for at in range(0, len(rows), 1024):
+                some = rows[at : at + 1024]
+                columns = [pa.array(np.full(len(some), n, np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array([chunks[r].tobytes() for r in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "kind", "row", "bits"])
+
+    return work
+
+
 def _filled(phrases: DataFrame, counted: dict[tuple[int, int], int]) -> dict[tuple[int, int], Bits]:
-    """Bitmaps of the hashes of phrases (n, kind, hash); ``counted`` says how many each is to hold."""
+    """Bitmaps of the hashes of phrases (n, kinds, hash); ``kinds`` has bit k set if the phrase is of kind k, ``counted`` says how many each is to hold."""
     if not counted:
         return {}
     bits = {key: min(MAX_BITS, 1 << max(CHUNK_BITS, (BITS * count - 1).bit_length())) for key, count in counted.items()}
-    mask = F.create_map(*[F.lit(x) for (n, kind), size in bits.items() for x in (3 * n + kind, size - 1)])[3 * F.col("n") + F.col("kind")]
-    halves = F.explode(F.array("hash", F.shiftrightunsigned("hash", 32)))
-    placed = phrases.select("n", "kind", halves.alias("half")).select("n", "kind", F.col("half").bitwiseAND(mask).alias("place"))
-    in_row = F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)))
-    rows = placed.groupBy("n", "kind", F.shiftright("place", CHUNK_BITS).alias("row")).agg(in_row.alias("bits"))
+    rows = phrases.select("n", "kinds", "hash").mapInArrow(_setting(bits), "n int, kind int, row int, bits binary")
+    rows = rows.groupBy("n", "kind", "row").agg(F.bitmap_or_agg("bits").alias("bits"))
     out = {key: Bits(size) for key, size in bits.items()}
     for n, kind, row, chunk in rows.collect():  # at most MAX_BITS for each
         some, at = np.frombuffer(chunk, np.uint8), row << (CHUNK_BITS - 3)
@@ -357,17 +436,23 @@ def _filled(phrases: DataFrame, counted: dict[tuple[int, int], int]) -> dict[tup
 def _bitmaps(state: DataFrame, shard: str, since: int) -> tuple[dict[int, list[Bits]], list[int]]:
     """For each length the bitmaps of phrases, by kind; and the lengths of which some phrase reached the threshold since ``since``.
 
-    Those that reached it are left out where none did so since, as no longer phrase is looked for then.
+    Those that reached it are left out where none did so since, as no longer phrase is looked for then; where all did so
+    since, one bitmap is both kinds.
     """
-    reached, open_ = F.col("reached").isNotNull(), F.col(shard).isNull()
-    recent = F.coalesce(F.col("reached") >= since, F.lit(False))
-    kinds = F.array_compact(F.array(F.when(reached, REACHED), F.when(recent, RECENT), F.when(open_, OPEN)))
-    phrases = state.where("n > 0").select("n", "hash", F.explode(kinds).alias("kind"))
-    counted = {(r["n"], r["kind"]): r["count"] for r in phrases.groupBy("n", "kind").count().collect()}  # three rows a length
+    holds = [F.col("reached").isNotNull(), F.coalesce(F.col("reached") >= since, F.lit(False)), F.col(shard).isNull()]
+    kinds = sum(F.when(of, 1 << kind).otherwise(0) for kind, of in enumerate(holds))
+    phrases = state.where("n > 0").select("n", kinds.cast("int").alias("kinds"), "hash", holds[OPEN].alias("open"))
+    rows = state.where("n > 0").groupBy("n").agg(*[F.count_if(of).alias(f"of_{kind}") for kind, of in enumerate(holds)]).collect()  # one a length
+    counted = {(r["n"], kind): r[f"of_{kind}"] for r in rows for kind in range(3) if r[f"of_{kind}"]}
     lengths = sorted(n for n, kind in counted if kind == RECENT)
     wanted = {(n, kind): count for (n, kind), count in counted.items() if kind == OPEN or n in lengths}
-    found = _filled(phrases.where(F.col("kind") == OPEN if not lengths else (F.col("kind") == OPEN) | F.col("n").isin(lengths)), wanted)
+    alike = [n for n in lengths if wanted[n, RECENT] == wanted[n, REACHED]]
+    for n in alike:
+        del wanted[n, RECENT]
+    found = _filled(phrases.where(F.col("open") | F.col("n").isin(lengths) if lengths else F.col("open")), wanted)
     out = {n: [found.get((n, kind), Bits(8)) for kind in range(3)] for n in {n for n, _ in wanted}}
+    for n in alike:
+        out[n][RECENT] = out[n][REACHED]
     return out, lengths
 
 
@@ -382,8 +467,9 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
         (F.monotonically_increasing_id() % shards).cast("int").alias("shard"),
     )
-    blocks = "lang string, words binary, marks binary, shard int"
+    blocks = "lang string, words binary, marks binary, hashes binary, size int, shard int"
     texts.mapInArrow(_encoding(longest, shards, block), blocks).write.partitionBy("shard").parquet(corpus)
+    words = dict(spark.read.schema(blocks).parquet(corpus).groupBy("shard").agg(F.sum("size")).collect())  # a row for each shard
 
     per_shard, keys = [f"in_{i}" for i in range(shards)], ["lang", "n", "phrase"]
     layout = f"lang string, n int, phrase string, hash long, {', '.join(f'{c} long' for c in per_shard)}, reached int, scan int, done boolean"
@@ -396,13 +482,15 @@ def count_phrases(docs: DataFrame, threshold: int, longest: int = 4, shards: int
         chosen, recent = _bitmaps(state, shard, scan - shards)
         sought = ([1] if scan < shards else []) + [n + 1 for n in recent if n < longest]
         if sought or any(bits[OPEN].any for bits in chosen.values()):
-            rows = spark.read.schema(blocks).parquet(corpus).where(F.col("shard") == scan % shards).select("lang", "words", "marks")
+            rows = spark.read.schema(blocks).parquet(corpus).where(F.col("shard") == scan % shards).select("lang", "words", "marks", "hashes")
             often = Bits(8)
-            many = [n for n in sought if n > 1 and FEW * chosen[n - 1][RECENT].mask > chosen[n - 1][REACHED].mask]
+            many = [n for n in sought if n == 1 or FEW * chosen[n - 1][RECENT].mask > chosen[n - 1][REACHED].mask]
             if many:
                 shared = spark.sparkContext.broadcast(chosen)
-                tallies = rows.mapInArrow(_tallying(many, shared), "hash long, now long").groupBy("hash").agg(F.sum("now").alias("now"))
-                hashes, path = written(tallies.where(F.col("now") >= share).select(F.lit(0).alias("n"), F.lit(0).alias("kind"), "hash"), "often")
+                groups = max(1, -(-words.get(scan % shards, 0) * len(many) // GROUP))
+                dealt = rows.mapInArrow(_dealing(_tallying(many, shared), groups), "dealt int, hashes binary, counts binary")
+                sums = dealt.groupBy("dealt").applyInArrow(_summing(share), "hash long")
+                hashes, path = written(sums.select(F.lit(0).alias("n"), F.lit(1).alias("kinds"), "hash"), "often")
                 shared.destroy()  # the driver's copy goes too: there is one at a time
                 size = hashes.count()
                 often = _filled(hashes, {(0, 0): size} if size else {}).get((0, 0), often)

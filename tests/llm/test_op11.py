@@ -188,3 +188,41 @@ def test_a_scan_hands_on_hashes_and_few_phrases():
     pairs = Counter(zip(text.split(), text.split()[1:]))
     assert {r["phrase"].encode(): r["now"] for r in counted}[b"new york"] == pairs[b"new", b"york"]
     assert sum(now for _, now in rows) == sum(pairs.values())
+
+
+def test_hashes_are_summed_over_tasks_in_few_rows():
+    draw = np.random.default_rng(4)
+    parts = [draw.integers(-(1 << 63), 1 << 63, 5000) for _ in range(3)]
+    common = draw.integers(-(1 << 63), 1 << 63, 50)
+    given, rows = Counter(), []
+    for i, part in enumerate(parts):
+        found = Counter(part.tolist()) + Counter({int(h): 2 + i for h in common})
+        given += found
+        tally = sorted((h % (1 << 64), h, n) for h, n in found.items())  # in the order of the unsigned hashes
+        batch = op11_phrases.pa.RecordBatch.from_pydict({"hash": [h for _, h, _ in tally], "now": [n for *_, n in tally]})
+        for dealt in op11_phrases._dealing(lambda batches: batches, 7)(iter([batch])):
+            assert len(dealt) == 7
+            rows += dealt.to_pylist()
+    got = []
+    for group in range(7):
+        some = op11_phrases.pa.Table.from_pylist([r for r in rows if r["dealt"] == group])
+        got += op11_phrases._summing(9)(some).column("hash").to_pylist()
+    assert sorted(got) == sorted(h for h, n in given.items() if n >= 9) == sorted(common.tolist())
+
+
+def test_words_below_their_share_are_not_counted_as_strings(spark, monkeypatch):
+    added, counting = [], op11_phrases._counting
+    monkeypatch.setattr(op11_phrases, "_counting", lambda sought, shared: added.append((sought, shared.value[2])) or counting(sought, shared))
+    docs = spark.createDataFrame([("en", f"one two rare{i}") for i in range(40)], SCHEMA)
+    rows = {r["phrase"]: r["total"] for r in op11_phrases.count_phrases(docs, 30, 2, 2).where("n > 0").collect()}
+    assert rows == {"one": 40, "two": 40, "one two": 40}
+    assert [1 in many for sought, many in added if 1 in sought] == [True, True]
+
+
+def test_words_are_hashed_once():
+    found, marks = op11_phrases.encode_block([(b"New york new\tYork city", 0)])
+    made = op11_phrases.hashes_of(found)
+    assert (op11_phrases.Block("en", found, marks.tobytes(), made.tobytes()).own == op11_phrases.Block("en", found, marks.tobytes()).own).all()
+    batch, *_ = op11_phrases._encoding(4, 1, 1 << 20)(iter([op11_phrases.pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["New york"], "shard": [0]})]))
+    assert batch.to_pylist()[0]["hashes"] == op11_phrases.hashes_of(b"new york").tobytes()
+    assert batch.to_pylist()[0]["size"] == 2
